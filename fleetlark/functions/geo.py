@@ -1,4 +1,10 @@
-"""Plane and sphere geometry as native column expressions."""
+"""Plane and sphere geometry as native expressions.
+
+Expressions over polygons are SQL text: they nest lambdas, and a text reaches the JVM in
+one call where a Column tree takes hundreds. Arguments named ``ring``, ``edges``, ``x`` and
+``y`` are SQL expressions. A ring is array<struct<lng,lat>>, edges are
+array<struct<x1,y1,x2,y2>>.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +15,17 @@ from pyspark.sql import functions as F
 
 from fleetlark.schemas import EARTH_RADIUS_KM, METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LNG
 
-# A point this close to an edge, in degrees, lies on it (about a tenth of a micrometre).
-EDGE_TOLERANCE = 1e-12
 # Areas are compared to this many decimals of a square degree.
 AREA_DECIMALS = 12
+# Boxes grow by this much more than a margin asks for, so that rounding loses nothing.
+_SLACK = 1.001
 
 
-def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Great-circle distance in kilometres."""
-    half = lambda a, b: F.sin(F.radians(b - a) / 2)
-    a = (F.pow(half(lat1, lat2), 2)
-         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(half(lng1, lng2), 2))
-    return EARTH_RADIUS_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))
+def haversine_km(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    """Great-circle distance in kilometres, as SQL text."""
+    half = lambda a, b: f"pow(sin(radians({b} - {a}) / 2), 2)"
+    a = f"({half(lat1, lat2)} + cos(radians({lat1})) * cos(radians({lat2})) * {half(lng1, lng2)})"
+    return f"({2 * EARTH_RADIUS_KM}D * atan2(sqrt({a}), sqrt(greatest(0D, 1 - {a}))))"
 
 
 def radius_box(lat: float, lng: float, metres: float) -> tuple[float, float, float, float] | None:
@@ -36,76 +41,87 @@ def radius_box(lat: float, lng: float, metres: float) -> tuple[float, float, flo
     return south, north, lng - reach, lng + reach
 
 
-def closed(ring: Column) -> Column:
+def closed(ring: str) -> Column:
     """The ring with its first vertex repeated at the end, unless it already is."""
-    first, last = ring[0], F.element_at(ring, -1)
-    same = (first["lng"] == last["lng"]) & (first["lat"] == last["lat"])
-    return F.when(same, ring).otherwise(F.concat(ring, F.array(first)))
+    return F.expr(f"CASE WHEN {ring}[0] = element_at({ring}, -1) THEN {ring} "
+                  f"ELSE concat({ring}, array({ring}[0])) END")
 
 
-def ring_edges(ring: Column) -> Column:
-    """Edges of a closed ring as array<struct<x1,y1,x2,y2>>."""
-    sides = F.size(ring) - 1
-    return F.zip_with(
-        F.slice(ring, 1, sides), F.slice(ring, 2, sides),
-        lambda p, q: F.struct(p["lng"].alias("x1"), p["lat"].alias("y1"),
-                              q["lng"].alias("x2"), q["lat"].alias("y2")))
+def ring_edges(ring: str) -> str:
+    """Edges of a closed ring."""
+    return (f"zip_with(slice({ring}, 1, size({ring}) - 1), slice({ring}, 2, size({ring}) - 1), (p, q) -> "
+            "struct(p.lng AS x1, p.lat AS y1, q.lng AS x2, q.lat AS y2))")
 
 
-def edges_area(edges: Column) -> Column:
+def edges_area(edges: str) -> str:
     """Area in square degrees; coordinates are taken relative to the first vertex."""
-    x0, y0 = edges[0]["x1"], edges[0]["y1"]
-    twice = F.aggregate(
-        edges, F.lit(0.0),
-        lambda acc, e: acc + (e["x1"] - x0) * (e["y2"] - y0) - (e["x2"] - x0) * (e["y1"] - y0))
-    return F.round(F.abs(twice) / 2, AREA_DECIMALS)
+    dx, dy = f"{edges}[0].x1", f"{edges}[0].y1"
+    return (f"round(abs(aggregate({edges}, 0D, (acc, e) -> acc + (e.x1 - {dx}) * (e.y2 - {dy})"
+            f" - (e.x2 - {dx}) * (e.y1 - {dy}))) / 2, {AREA_DECIMALS})")
 
 
-def on_edges(edges: Column, x: Column, y: Column) -> Column:
-    """True where the point lies on one of the edges."""
-    def touches(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        cross = dx * (y - e["y1"]) - dy * (x - e["x1"])
-        return (x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-                & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-                & (F.abs(cross) <= EDGE_TOLERANCE * F.greatest(F.abs(dx), F.abs(dy))))
-    return F.exists(edges, touches)
+def on_edges(edges: str, x: str, y: str) -> str:
+    """True where the point lies on one of the edges: exactly, in double arithmetic. That
+    holds for edges along the axes; on a sloped edge few doubles qualify."""
+    return (f"exists({edges}, e -> {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)"
+            f" AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
+            f" AND (e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1) = 0)")
 
 
-def inside_edges(edges: Column, x: Column, y: Column) -> Column:
+def inside_edges(edges: str, x: str, y: str) -> str:
     """Even-odd test: a ray to the east crosses an odd number of edges."""
-    def crosses(e: Column) -> Column:
-        return (((e["y1"] > y) != (e["y2"] > y))
-                & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return (f"(size(filter({edges}, e -> (e.y1 > {y}) != (e.y2 > {y})"
+            f" AND {x} < (e.x2 - e.x1) * ({y} - e.y1) / (e.y2 - e.y1) + e.x1)) % 2 = 1)")
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
+def covers(edges: str, x: str, y: str) -> str:
     """Interior or boundary."""
-    return on_edges(edges, x, y) | inside_edges(edges, x, y)
+    return f"({inside_edges(edges, x, y)} OR {on_edges(edges, x, y)})"
 
 
-def strictly_within(edges: Column, x: Column, y: Column) -> Column:
+def strictly_within(edges: str, x: str, y: str) -> str:
     """Interior only."""
-    return ~on_edges(edges, x, y) & inside_edges(edges, x, y)
-
+    return f"({inside_edges(edges, x, y)} AND NOT {on_edges(edges, x, y)})"
+
+
+def edge_distance_m(edges: str, x: str, y: str) -> str:
+    """Metres from the point to the nearest edge, in a plane tangent at the point; null
+    without edges.
+
+    The steps are separate transforms, each naming its values: in one expression every use
+    of an intermediate value would repeat its whole tree.
+    """
+    scale = f"(cos(radians({y})) * {METRES_PER_DEGREE_LNG}D)"
+    lat_scale = f"{METRES_PER_DEGREE_LAT}D"
+    placed = (f"transform({edges}, e -> named_struct('ax', (e.x1 - {x}) * s, 'ay', (e.y1 - {y}) * {lat_scale},"
+              f" 'dx', (e.x2 - e.x1) * s, 'dy', (e.y2 - e.y1) * {lat_scale}))")
+    measured = (f"transform({placed}, v -> named_struct('ax', v.ax, 'ay', v.ay, 'dx', v.dx, 'dy', v.dy,"
+                " 'along', -(v.ax * v.dx + v.ay * v.dy), 'length2', v.dx * v.dx + v.dy * v.dy))")
+    footed = (f"transform({measured}, v -> named_struct('ax', v.ax, 'ay', v.ay, 'dx', v.dx, 'dy', v.dy,"
+              " 'share', CASE WHEN v.length2 = 0 OR v.along <= 0 THEN 0D"
+              " WHEN v.along >= v.length2 THEN 1D ELSE v.along / v.length2 END))")
+    offset = f"transform({footed}, v -> named_struct('px', v.ax + v.share * v.dx, 'py', v.ay + v.share * v.dy))"
+    nearest = f"sqrt(array_min(transform({offset}, v -> v.px * v.px + v.py * v.py)))"
+    return f"transform(array({scale}), s -> {nearest})[0]"
+
+
+def fence_distance_m(edges: str, x: str, y: str) -> str:
+    """Metres to the polygon; zero inside and on the boundary."""
+    return f"CASE WHEN {covers(edges, x, y)} THEN 0D ELSE {edge_distance_m(edges, x, y)} END"
 
-def edge_distance_m(edges: Column, x: Column, y: Column) -> Column:
-    """Metres from the point to the nearest edge, in a plane tangent at the point."""
-    scale_x = F.cos(F.radians(y)) * METRES_PER_DEGREE_LNG
 
-    def distance(e: Column) -> Column:
-        ax, ay = (e["x1"] - x) * scale_x, (e["y1"] - y) * METRES_PER_DEGREE_LAT
-        bx, by = (e["x2"] - x) * scale_x, (e["y2"] - y) * METRES_PER_DEGREE_LAT
-        dx, dy = bx - ax, by - ay
-        length2 = dx * dx + dy * dy
-        share = F.when(length2 == 0, 0.0).otherwise(
-            F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / length2)))
-        px, py = ax + share * dx, ay + share * dy
-        return F.sqrt(px * px + py * py)
-    return F.array_min(F.transform(edges, distance))
+def boundary_near(edges: str, x: str, y: str, metres: float) -> str:
+    """Some edge is at most so many metres away; edges are first picked by their grown boxes."""
+    pad_y = f"{metres / METRES_PER_DEGREE_LAT * _SLACK!r}D"
+    pad_x = f"({metres * _SLACK!r}D / (cos(radians({y})) * {METRES_PER_DEGREE_LNG}D))"
+    picked = (f"filter({edges}, e -> least(e.y1, e.y2) <= {y} + {pad_y} AND greatest(e.y1, e.y2) >= {y} - {pad_y}"
+              f" AND least(e.x1, e.x2) <= {x} + {pad_x} AND greatest(e.x1, e.x2) >= {x} - {pad_x})")
+    return f"({edge_distance_m(picked, x, y)} <= {float(metres)!r}D)"
 
 
-def fence_distance_m(edges: Column, x: Column, y: Column) -> Column:
-    """Metres to the polygon; zero inside and on the boundary."""
-    return F.when(covers(edges, x, y), 0.0).otherwise(edge_distance_m(edges, x, y))
+def grown_box(metres: float) -> tuple[str, str]:
+    """Degrees (of longitude, of latitude) by which a box with sides ``south`` and ``north``
+    must grow to hold all points within the distance."""
+    pad_y = metres / METRES_PER_DEGREE_LAT * _SLACK
+    widest = f"least(89D, greatest(abs(south), abs(north)) + {pad_y!r}D)"
+    return f"({metres * _SLACK!r}D / (cos(radians({widest})) * {METRES_PER_DEGREE_LNG}D))", f"{pad_y!r}D"

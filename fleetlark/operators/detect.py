@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlark import schemas as S
 from fleetlark.functions import values as V
 from fleetlark.operators import ordered
-from fleetlark.operators.zones import FenceIndex, chosen_zone, with_zones
+from fleetlark.operators.zones import FenceIndex, chosen_zone, fence_index, with_zones
 
 Instant = str | datetime | Column
 Span = str | timedelta | int
@@ -68,9 +68,13 @@ def zone_steps(readings: DataFrame, fences: DataFrame, buffer_m: float = S.ZONE_
     """
     order = ordered.READINGS.with_large_rows(large_rows)
     placed = readings.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    rows = (with_zones(placed, fences, buffer_m, index=index)
-            .withColumn("_raw", chosen_zone(priority)))
-    rows = ordered.sliced(rows, order, readings)
+    index = index or fence_index(fences, buffer_m)
+    rows = ordered.sliced(placed, order, readings)
+    if index.joins_without_shuffle:
+        # Zones are looked up after the shuffle the windows need anyway: it then moves bare
+        # positions, and the geometry runs in evenly filled tasks.
+        rows = rows.repartition(order.key, ordered.SLICE)
+    rows = with_zones(rows, fences, buffer_m, index=index).withColumn("_raw", chosen_zone(priority))
     inside = F.col("_raw").isNotNull()
     rows = ordered.with_previous(rows, "_last_raw", F.struct(F.col("_raw").alias("zone")), where=inside, order=order)
     left = ~inside & ~F.coalesce(F.array_contains("near", F.col("_last_raw.zone")), F.lit(False))
@@ -79,7 +83,7 @@ def zone_steps(readings: DataFrame, fences: DataFrame, buffer_m: float = S.ZONE_
     return (rows.withColumns({
         "prev_zone": before,
         "zone": F.when(inside, F.col("_raw")).when(~left, before),
-        "overlapping_zones": F.when(F.size("zones") > 1, F.transform("zones", lambda z: z["name"])),
+        "overlapping_zones": F.expr("CASE WHEN size(zones) > 1 THEN transform(zones, z -> z.name) END"),
     }).drop("_raw", "_last_raw", "_mark", "zones", "near", ordered.SLICE))
 
 

@@ -134,7 +134,7 @@ def with_legs(readings: DataFrame, window: str | None = None, large_rows: int |
                              F.coalesce("speed_kph", F.lit(0.0)).alias("speed"))
     rows = ordered.with_previous(ordered.sliced(narrow, order), "_prev",
                                  F.struct("event_timestamp", "lat", "lng"), order=order)
-    leg = haversine_km(F.col("_prev.lat"), F.col("_prev.lng"), F.col("lat"), F.col("lng"))
+    leg = F.expr(haversine_km("_prev.lat", "_prev.lng", "lat", "lng"))
     if window is not None:
         size = V.micros_of(window)
         slot = lambda t: F.floor(F.unix_micros(t) / size)

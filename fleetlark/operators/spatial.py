@@ -17,15 +17,15 @@ from fleetlark.operators.zones import candidate_pairs, chosen_zone, fence_index,
 def covers_join(points: DataFrame, fences: DataFrame) -> DataFrame:
     """Each point with each geofence covering it, boundary included."""
     pairs = candidate_pairs(points, fence_index(fences))
-    return (pairs.where(geo.covers(F.col("fence.edges"), F.col("lng"), F.col("lat")))
+    return (pairs.where(geo.covers("fence.edges", "lng", "lat"))
             .select(*points.columns, F.col("fence.id").alias("fence_id"), F.col("fence.name").alias("fence_name")))
 
 
 def within_distance_join(points: DataFrame, fences: DataFrame, metres: float) -> DataFrame:
     """Each point with each geofence at most so many metres away; zero inside."""
     pairs = candidate_pairs(points, fence_index(fences, metres))
-    distance = geo.fence_distance_m(F.col("fence.edges"), F.col("lng"), F.col("lat"))
-    return (pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
+    distance = geo.fence_distance_m("fence.edges", "lng", "lat")
+    return (pairs.withColumn("distance_m", F.expr(distance)).where(F.col("distance_m") <= metres)
             .select(*points.columns, F.col("fence.id").alias("fence_id"), F.col("fence.name").alias("fence_name"),
                     "distance_m"))
 
@@ -42,7 +42,7 @@ def assign_zone(points: DataFrame, fences: DataFrame, priority: str = "area") ->
 
 def overlapping_zones(points: DataFrame, fences: DataFrame) -> DataFrame:
     """Points covered by more than one geofence, with all the names."""
-    names = F.sort_array(F.transform("zones", lambda z: z["name"]))
+    names = F.expr("sort_array(transform(zones, z -> z.name))")
     return (with_zones(points, fences).withColumns({"overlapping_zones": names, "zone_count": F.size("zones")})
             .where("zone_count > 1").drop("zones"))
 
@@ -55,7 +55,7 @@ def alerts_within_radius(alerts: DataFrame, lat: float, lng: float, metres: floa
     if box:
         south, north, west, east = box
         recent = recent.where(F.col("lat").between(south, north) & F.col("lng").between(west, east))
-    distance = geo.haversine_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng")) * 1000
+    distance = F.expr(geo.haversine_km(f"{float(lat)!r}D", f"{float(lng)!r}D", "lat", "lng")) * 1000
     return (recent.withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
             .orderBy(F.desc("detected_at"), F.desc("id")))
 
@@ -65,7 +65,7 @@ def alerts_within_geofence(alerts: DataFrame, fences: DataFrame, name: str,
     """Alerts strictly inside the named geofence, newest first."""
     recent = alerts.where(F.col("detected_at") >= moment(since))
     pairs = candidate_pairs(recent, fence_index(fences.where(F.col("name") == name)))
-    return (pairs.where(geo.strictly_within(F.col("fence.edges"), F.col("lng"), F.col("lat")))
+    return (pairs.where(geo.strictly_within("fence.edges", "lng", "lat"))
             .select(*alerts.columns).orderBy(F.desc("detected_at"), F.desc("id")))
 
 
@@ -74,8 +74,8 @@ def leg_distance(readings: DataFrame, large_rows: int | None = None) -> DataFram
     order = ordered.READINGS.with_large_rows(large_rows)
     placed = readings.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     with_prev = ordered.with_previous(ordered.sliced(placed, order, readings), "_prev", F.struct("lat", "lng"), order=order)
-    leg = geo.haversine_km(F.col("_prev.lat"), F.col("_prev.lng"), F.col("lat"), F.col("lng"))
-    return with_prev.withColumn("leg_km", leg).drop("_prev", ordered.SLICE)
+    leg = geo.haversine_km("_prev.lat", "_prev.lng", "lat", "lng")
+    return with_prev.withColumn("leg_km", F.expr(leg)).drop("_prev", ordered.SLICE)
 
 
 def with_region(df: DataFrame, fences: DataFrame, priority: str = "area") -> DataFrame:

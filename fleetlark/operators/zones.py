@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlark.functions import geo
-from fleetlark.schemas import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LNG
 
 # Cell sides in degrees, finest first. A fence takes the first level on which it spans at
 # most eight cells each way; whatever is larger takes the last.
@@ -28,9 +27,8 @@ _EDGE_BYTES, _FENCE_BYTES = 32, 200
 _NULL_KEYS = 1024
 
 
-def _cell(x: Column, y: Column, side: float) -> Column:
-    column = lambda v, low: F.floor((v + low) / F.lit(side))
-    return column(x, 180.0) * 100_000 + column(y, 90.0)
+def _cell(x: str, y: str, side: float) -> str:
+    return f"(floor(({x} + 180) / {side}D) * 100000 + floor(({y} + 90) / {side}D))"
 
 
 @dataclass(frozen=True)
@@ -45,77 +43,68 @@ class FenceIndex:
     def small(self) -> bool:
         return self.nbytes <= BROADCAST_BYTES
 
+    @property
+    def joins_without_shuffle(self) -> bool:
+        return self.small and self.densest <= ARRAY_FENCES
+
     def hinted(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
 
-def prepared(fences: DataFrame) -> DataFrame:
-    """Fences with edges, area and bounding box; those without a ring are left out."""
-    corner = lambda pick, axis: pick(F.transform("ring", lambda p: p[axis]))
-    return (fences.where(F.size("ring") >= 4)
-            .select("id", "name", geo.ring_edges(F.col("ring")).alias("edges"),
-                    corner(F.array_min, "lng").alias("west"), corner(F.array_max, "lng").alias("east"),
-                    corner(F.array_min, "lat").alias("south"), corner(F.array_max, "lat").alias("north"))
-            .withColumn("area", geo.edges_area(F.col("edges"))))
-
-
 def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
-    """Index of the fences, each grown by a margin. Measures the (small) fence table first,
-    to choose how it will be joined."""
-    pad_y = F.lit(margin_m / METRES_PER_DEGREE_LAT * 1.001)
-    widest = F.least(F.lit(89.0), F.greatest(F.abs("south"), F.abs("north")) + pad_y)
-    pad_x = F.lit(margin_m * 1.001) / (F.cos(F.radians(widest)) * METRES_PER_DEGREE_LNG)
-    grown = prepared(fences).withColumns({
-        "west": F.col("west") - pad_x, "east": F.col("east") + pad_x,
-        "south": F.col("south") - pad_y, "north": F.col("north") + pad_y})
-    span = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
-    level = F.lit(len(CELL_SIDES) - 1)
-    for n in reversed(range(len(CELL_SIDES) - 1)):
-        level = F.when(span <= _SPAN_CELLS * CELL_SIDES[n], n).otherwise(level)
-    side = F.element_at(F.array(*[F.lit(s) for s in CELL_SIDES]), F.col("level") + 1)
-    steps = lambda low, high, offset: F.sequence(
-        F.floor((F.col(low) + offset) / side), F.floor((F.col(high) + offset) / side))
-    cells = F.flatten(F.transform(steps("west", "east", 180.0), lambda cx: F.transform(
-        steps("south", "north", 90.0), lambda cy: cx * 100_000 + cy)))
-    fence = F.struct("id", "name", "area", "west", "east", "south", "north", "edges")
-    exploded = (grown.withColumn("level", level)
-                .select("level", F.explode(cells).alias("cell"), fence.alias("fence")))
+    """Index of the fences, each box grown by a margin; fences without a ring are left out.
+    Measures the (small) fence table first, to choose how it will be joined."""
+    pad_x, pad_y = geo.grown_box(margin_m)
+    edged = fences.where("size(ring) >= 4").selectExpr(
+        "id", "name", f"{geo.ring_edges('ring')} AS edges",
+        *[f"{pick}(transform(ring, p -> p.{axis})) AS {name}" for name, pick, axis in (
+            ("west", "array_min", "lng"), ("east", "array_max", "lng"),
+            ("south", "array_min", "lat"), ("north", "array_max", "lat"))])
+    grown = edged.selectExpr(
+        "id", "name", "edges", f"{geo.edges_area('edges')} AS area", f"west - {pad_x} AS west",
+        f"east + {pad_x} AS east", f"south - {pad_y} AS south", f"north + {pad_y} AS north")
+    span = "greatest(east - west, north - south)"
+    fits = " ".join(f"WHEN {span} <= {_SPAN_CELLS * side}D THEN {n}" for n, side in enumerate(CELL_SIDES[:-1]))
+    sides = f"array({', '.join(f'{side}D' for side in CELL_SIDES)})"
+    steps = lambda low, high, shift: f"sequence(floor(({low} + {shift}) / side), floor(({high} + {shift}) / side))"
+    exploded = (
+        grown.selectExpr("struct(id, name, area, west, east, south, north, edges) AS fence", "west", "east", "south",
+                         "north", f"CASE {fits} ELSE {len(CELL_SIDES) - 1} END AS level")
+        .selectExpr("*", f"{sides}[level] AS side")
+        .selectExpr("level", f"explode(flatten(transform({steps('west', 'east', 180)}, cx -> "
+                    f"transform({steps('south', 'north', 90)}, cy -> cx * 100000 + cy)))) AS cell", "fence"))
     per_cell = exploded.groupBy("level", "cell").agg(
-        F.count(F.lit(1)).alias("fences"),
-        F.sum(F.size("fence.edges") * _EDGE_BYTES + _FENCE_BYTES).alias("nbytes"))
-    measured = per_cell.agg(F.collect_set("level").alias("levels"), F.max("fences").alias("densest"),
-                            F.sum("nbytes").alias("nbytes")).first()
+        F.expr("count(*) AS fences"),
+        F.expr(f"sum(size(fence.edges) * {_EDGE_BYTES} + {_FENCE_BYTES}) AS nbytes"))
+    measured = per_cell.selectExpr("collect_set(level) AS levels", "max(fences) AS densest", "sum(nbytes) AS nbytes").first()
     return FenceIndex(exploded, tuple(sorted(measured["levels"])), measured["nbytes"] or 0, measured["densest"] or 0)
 
 
-def _in_box(fence: Column, x: Column, y: Column) -> Column:
-    return x.between(fence["west"], fence["east"]) & y.between(fence["south"], fence["north"])
+def _in_box(fence: str, x: str, y: str) -> str:
+    return f"({x} BETWEEN {fence}.west AND {fence}.east AND {y} BETWEEN {fence}.south AND {fence}.north)"
 
 
 def candidate_pairs(points: DataFrame, index: FenceIndex, lng: str = "lng", lat: str = "lat") -> DataFrame:
     """Points with each fence whose (grown) bounding box holds them, as column ``fence``."""
-    x, y = F.col(lng), F.col(lat)
-    keys = F.array(*[F.struct(F.lit(n).alias("level"), _cell(x, y, CELL_SIDES[n]).alias("cell"))
-                     for n in index.levels] or [F.lit(None).cast("struct<level:int,cell:bigint>")])
-    looked = (points.where(x.isNotNull() & y.isNotNull())
-              .withColumn("_key", F.explode(keys))
-              .withColumns({"level": F.col("_key.level"), "cell": F.col("_key.cell")}).drop("_key"))
+    keys = ", ".join(f"struct({n} AS level, {_cell(lng, lat, CELL_SIDES[n])} AS cell)" for n in index.levels)
+    looked = points.where(f"{lng} IS NOT NULL AND {lat} IS NOT NULL").selectExpr(
+        "*", f"inline({f'array({keys})' if keys else 'CAST(array() AS array<struct<level:int,cell:bigint>>)'})")
     return (looked.join(index.hinted(index.cells), ["level", "cell"])
-            .where(_in_box(F.col("fence"), x, y)).drop("level", "cell"))
+            .where(_in_box("fence", lng, lat)).drop("level", "cell"))
 
 
-def _zones(candidates: Column, x: Column, y: Column) -> Column:
-    hit = F.filter(candidates, lambda f: _in_box(f, x, y) & geo.covers(f["edges"], x, y))
-    return F.transform(hit, lambda f: F.struct(f["area"], f["id"], f["name"]))
+def _zones(candidates: str, x: str, y: str) -> str:
+    hit = f"filter({candidates}, f -> {_in_box('f', x, y)} AND {geo.covers('f.edges', x, y)})"
+    return f"coalesce(transform({hit}, f -> struct(f.area, f.id, f.name)), {_NO_ZONES})"
 
 
-def _near(candidates: Column, x: Column, y: Column, metres: float) -> Column:
-    close = F.filter(candidates, lambda f: _in_box(f, x, y) & (geo.edge_distance_m(f["edges"], x, y) <= metres))
-    return F.transform(close, lambda f: f["name"])
+def _near(candidates: str, x: str, y: str, metres: float) -> str:
+    close = f"filter({candidates}, f -> {_in_box('f', x, y)} AND {geo.boundary_near('f.edges', x, y, metres)})"
+    return f"coalesce(transform({close}, f -> f.name), {_NO_NAMES})"
 
 
-_NO_ZONES = "array<struct<area:double,id:bigint,name:string>>"
-_NO_NAMES = "array<string>"
+_NO_ZONES = "CAST(array() AS array<struct<area:double,id:bigint,name:string>>)"
+_NO_NAMES = "CAST(array() AS array<string>)"
 
 
 def with_zones(points: DataFrame, fences: DataFrame, buffer_m: float | None = None, *,
@@ -125,54 +114,50 @@ def with_zones(points: DataFrame, fences: DataFrame, buffer_m: float | None = No
     by (area, id), and with a buffer also ``near``: the names of the fences whose boundary
     is at most that many metres away, asked only where no fence covers the point."""
     index = index or fence_index(fences, buffer_m or 0.0)
-    x, y = F.col(lng), F.col(lat)
     if index.densest > ARRAY_FENCES and not points.isStreaming:
-        return _with_zones_regrouped(points, index, buffer_m, x, y, lng, lat, row_key)
-    arrays = points
+        return _with_zones_regrouped(points, index, buffer_m, lng, lat, row_key)
+    found = points
     names = []
     for n in index.levels:
-        cells = (index.cells.where(F.col("level") == n).groupBy("cell")
-                 .agg(F.collect_list("fence").alias(f"_fences{n}"))
-                 .withColumnRenamed("cell", f"_cell{n}"))
-        spread = -1 - F.pmod(F.hash(row_key), F.lit(_NULL_KEYS)).cast("long")
-        arrays = (arrays.withColumn(f"_cell{n}", F.coalesce(_cell(x, y, CELL_SIDES[n]), spread))
-                  .join(index.hinted(cells), f"_cell{n}", "left").drop(f"_cell{n}"))
+        cells = (index.cells.where(f"level = {n}").groupBy(F.col("cell").alias(f"_cell{n}"))
+                 .agg(F.collect_list("fence").alias(f"_fences{n}")))
+        spread = f"-1 - CAST(pmod(hash({row_key}), {_NULL_KEYS}) AS bigint)"
+        found = (found.selectExpr("*", f"coalesce({_cell(lng, lat, CELL_SIDES[n])}, {spread}) AS _cell{n}")
+                 .join(index.hinted(cells), f"_cell{n}", "left"))
         names.append(f"_fences{n}")
-    gathered = {"zones": [], "near": []}
-    for name in names:
-        gathered["zones"].append(F.coalesce(_zones(F.col(name), x, y), F.array().cast(_NO_ZONES)))
-        gathered["near"].append(F.coalesce(_near(F.col(name), x, y, buffer_m or 0.0), F.array().cast(_NO_NAMES)))
-    zones = F.sort_array(F.concat(*gathered["zones"])) if names else F.array().cast(_NO_ZONES)
-    out = arrays.withColumn("zones", zones)
-    if buffer_m is not None:
-        near = F.concat(*gathered["near"]) if names else F.array().cast(_NO_NAMES)
-        out = out.withColumn("near", F.when(F.size("zones") == 0, near).otherwise(F.array().cast(_NO_NAMES)))
-    return out.drop(*names)
+    joined = lambda parts, none: f"concat({', '.join(parts)})" if parts else none
+    zones = joined([_zones(name, lng, lat) for name in names], _NO_ZONES)
+    out = found.selectExpr(*points.columns, f"array_sort({zones}) AS zones", *names)
+    if buffer_m is None:
+        return out.drop(*names)
+    near = joined([_near(name, lng, lat, buffer_m) for name in names], _NO_NAMES)
+    return out.selectExpr(*points.columns, "zones",
+                          f"CASE WHEN size(zones) = 0 THEN {near} ELSE {_NO_NAMES} END AS near")
 
 
 def _with_zones_regrouped(points: DataFrame, index: FenceIndex, buffer_m: float | None,
-                          x: Column, y: Column, lng: str, lat: str, row_key: str) -> DataFrame:
+                          lng: str, lat: str, row_key: str) -> DataFrame:
     """The same through (point, fence) pairs, for fences that crowd into few cells: only
     the fences found at a point come back to its row."""
     pairs = candidate_pairs(points.select(row_key, lng, lat), index, lng, lat)
-    edges = F.col("fence.edges")
-    zone = F.when(geo.covers(edges, x, y), F.struct("fence.area", "fence.id", "fence.name"))
-    near = F.when(F.lit(buffer_m is not None) & (geo.edge_distance_m(edges, x, y) <= (buffer_m or 0.0)), F.col("fence.name"))
-    found = (pairs.select(row_key, zone.alias("_zone"), near.alias("_near"))
-             .where("_zone is not null or _near is not null").groupBy(row_key)
-             .agg(F.collect_list("_zone").alias("_zones"), F.collect_list("_near").alias("_nears")))
-    out = (points.join(found, row_key, "left")
-           .withColumn("zones", F.sort_array(F.coalesce("_zones", F.array().cast(_NO_ZONES)))))
-    if buffer_m is not None:
-        out = out.withColumn("near", F.when(F.size("zones") == 0, F.coalesce("_nears", F.array().cast(_NO_NAMES)))
-                             .otherwise(F.array().cast(_NO_NAMES)))
-    return out.drop("_zones", "_nears")
+    near = "false" if buffer_m is None else geo.boundary_near("fence.edges", lng, lat, buffer_m)
+    found = (pairs.selectExpr(
+        row_key, f"CASE WHEN {geo.covers('fence.edges', lng, lat)} THEN struct(fence.area, fence.id, fence.name) END AS _zone",
+        f"CASE WHEN {near} THEN fence.name END AS _near")
+        .where("_zone IS NOT NULL OR _near IS NOT NULL").groupBy(row_key)
+        .agg(F.collect_list("_zone").alias("_zones"), F.collect_list("_near").alias("_nears")))
+    out = points.join(found, row_key, "left").selectExpr(
+        *points.columns, f"array_sort(coalesce(_zones, {_NO_ZONES})) AS zones", "_nears")
+    if buffer_m is None:
+        return out.drop("_nears")
+    return out.selectExpr(*points.columns, "zones",
+                          f"CASE WHEN size(zones) = 0 THEN coalesce(_nears, {_NO_NAMES}) ELSE {_NO_NAMES} END AS near")
 
 
 def chosen_zone(priority: str = "area", zones: str = "zones") -> Column:
     """Name of the zone that counts: the smallest area, or the lowest id; null for none."""
     if priority == "area":
-        return F.get(F.col(zones), F.lit(0))["name"]
+        return F.expr(f"get({zones}, 0).name")
     if priority == "id":
-        return F.array_min(F.transform(zones, lambda z: F.struct(z["id"], z["name"])))["name"]
+        return F.expr(f"array_min(transform({zones}, z -> struct(z.id, z.name))).name")
     raise ValueError(f"unknown zone priority: {priority!r}")

@@ -19,13 +19,11 @@ def load_geofences(texts: DataFrame) -> DataFrame:
     FeatureCollection, of which the first feature counts. A text without a ring of at
     least three corners gives a null ring.
     """
-    doc = F.from_json("polygon_geojson", _GEOJSON)
-    outer = F.coalesce(F.get(doc["geometry"]["coordinates"], F.lit(0)),
-                       F.get(doc["coordinates"], F.lit(0)),
-                       F.get(F.get(doc["features"], F.lit(0))["geometry"]["coordinates"], F.lit(0)))
-    ring = F.transform(outer, lambda p: F.struct(F.get(p, F.lit(0)).alias("lng"), F.get(p, F.lit(1)).alias("lat")))
-    return (texts.withColumn("ring", ring)
-            .withColumn("ring", F.when(F.size("ring") >= 3, closed(F.col("ring")))))
+    return (texts.withColumn("_doc", F.from_json("polygon_geojson", _GEOJSON))
+            .withColumn("_outer", F.expr("coalesce(get(_doc.geometry.coordinates, 0), get(_doc.coordinates, 0), "
+                                         "get(get(_doc.features, 0).geometry.coordinates, 0))"))
+            .withColumn("ring", F.expr("transform(_outer, p -> struct(get(p, 0) AS lng, get(p, 1) AS lat))"))
+            .withColumn("ring", F.when(F.size("ring") >= 3, closed("ring"))).drop("_doc", "_outer"))
 
 
 def require_unique_names(fences: DataFrame) -> DataFrame:
@@ -38,5 +36,4 @@ def require_unique_names(fences: DataFrame) -> DataFrame:
 
 def geofence_rings(fences: DataFrame) -> DataFrame:
     """Geofences as nested coordinate lists for maps: [[[lng, lat], ...]]."""
-    pairs = F.transform("ring", lambda p: F.array(p["lng"], p["lat"]))
-    return fences.select("id", "name", F.array(pairs).alias("coordinates"))
+    return fences.selectExpr("id", "name", "array(transform(ring, p -> array(p.lng, p.lat))) AS coordinates")
