@@ -41,10 +41,11 @@ def radius_box(lat: float, lng: float, metres: float) -> tuple[float, float, flo
     return south, north, lng - reach, lng + reach
 
 
-def closed(ring: str) -> Column:
-    """The ring with its first vertex repeated at the end, unless it already is."""
-    return F.expr(f"CASE WHEN {ring}[0] = element_at({ring}, -1) THEN {ring} "
-                  f"ELSE concat({ring}, array({ring}[0])) END")
+def closed(ring: str) -> str:
+    """The ring with its first vertex repeated at the end, unless it already is. The lambda
+    names the ring, so that its expression is not repeated."""
+    return (f"transform(array({ring}), r -> CASE WHEN r[0] = element_at(r, -1) THEN r "
+            "ELSE concat(r, array(r[0])) END)[0]")
 
 
 def ring_edges(ring: str) -> str:

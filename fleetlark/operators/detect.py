@@ -110,28 +110,27 @@ def _instant_text(instant: Column) -> Column:
     return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def _as_alerts(found: DataFrame, **details: Column) -> DataFrame:
-    body = F.to_json(F.struct(*[value.alias(name) for name, value in details.items()]))
-    return found.select(*_ALERT_KEY, "alert_type", body.alias("details"), "detected_at", "lat", "lng")
+def speeding_details() -> Column:
+    """JSON details of a speeding alert, from the columns of ``speeding_alerts``."""
+    return F.expr("to_json(named_struct('speedKph', speed_kph, 'threshold', threshold, 'excess', excess))")
 
 
-def speeding_rows(found: DataFrame) -> DataFrame:
-    """Speeding alerts as rows of the alert table, details as JSON."""
-    return _as_alerts(found, speedKph=F.col("speed_kph"), threshold=F.col("threshold"), excess=F.col("excess"))
+def idle_details() -> Column:
+    return F.to_json(F.struct(
+        F.col("idle_minutes").alias("idleMinutes"), _instant_text(F.col("first_idle_at")).alias("firstIdleTime"),
+        F.col("speed_kph").alias("currentSpeed"), F.format_string("%f,%f", "lat", "lng").alias("location"),
+        F.col("idle_minutes").alias("durationMinutes"),
+        F.format_string("Vehicle has been stationary for %d minutes", "idle_minutes").alias("reason")))
 
 
-def idle_rows(found: DataFrame) -> DataFrame:
-    minutes = F.col("idle_minutes")
-    return _as_alerts(
-        found, idleMinutes=minutes, firstIdleTime=_instant_text(F.col("first_idle_at")),
-        currentSpeed=F.col("speed_kph"), location=F.format_string("%f,%f", "lat", "lng"), durationMinutes=minutes,
-        reason=F.format_string("Vehicle has been stationary for %d minutes", minutes))
+def zone_details() -> Column:
+    return F.expr("to_json(named_struct('geofence', zone, 'zone', zone, 'lat', lat, 'lng', lng, 'action', action, "
+                  "'overlapping_zones', overlapping_zones, 'zone_count', zone_count))")
 
 
-def zone_rows(found: DataFrame) -> DataFrame:
-    return _as_alerts(
-        found, geofence=F.col("zone"), zone=F.col("zone"), lat=F.col("lat"), lng=F.col("lng"),
-        action=F.col("action"), overlapping_zones=F.col("overlapping_zones"), zone_count=F.col("zone_count"))
+def alert_rows(found: DataFrame, details: Column) -> DataFrame:
+    """Detected alerts as rows of the alert table."""
+    return found.select(*_ALERT_KEY, "alert_type", details.alias("details"), "detected_at", "lat", "lng")
 
 
 def detect_alerts(readings: DataFrame, fences: DataFrame, *, speed_limit: float = S.SPEED_LIMIT_KPH,
@@ -139,9 +138,11 @@ def detect_alerts(readings: DataFrame, fences: DataFrame, *, speed_limit: float
                   buffer_m: float = S.ZONE_BUFFER_M, priority: str = "area",
                   large_rows: int | None = None) -> DataFrame:
     """All alerts of a history as rows of the alert table; ``id`` is the reading's."""
-    return (speeding_rows(speeding_alerts(readings, speed_limit))
-            .unionByName(idle_rows(idle_alerts(readings, idle_threshold, idle_speed, large_rows=large_rows)))
-            .unionByName(zone_rows(geofence_alerts(readings, fences, buffer_m, priority, large_rows))))
+    idle = idle_alerts(readings, idle_threshold, idle_speed, large_rows=large_rows)
+    zones = geofence_alerts(readings, fences, buffer_m, priority, large_rows)
+    return (alert_rows(speeding_alerts(readings, speed_limit), speeding_details())
+            .unionByName(alert_rows(idle, idle_details()))
+            .unionByName(alert_rows(zones, zone_details())))
 
 
 def classify(status: DataFrame, as_of: Instant, rule: str = "service", *, idle_minutes: float = 10,

@@ -115,7 +115,8 @@ def delete_from_table(spark: SparkSession, path: str, condition: Column) -> int:
     rewritten = [p for p in parts if p["kept"] > 0]
     if rewritten:
         chosen = _any_partition(rewritten)
-        (table.where(chosen & ~hit).repartition("event_date", "batch_id").sortWithinPartitions(*_file_order(table))
+        order = ["event_date", "batch_id", *_file_order(table)]
+        (table.where(chosen & ~hit).repartitionByRange(*order).sortWithinPartitions(*order)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("event_date", "batch_id").parquet(path))
     _remove(spark, path, [p for p in parts if p["kept"] == 0])

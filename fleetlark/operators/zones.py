@@ -47,13 +47,17 @@ class FenceIndex:
     def joins_without_shuffle(self) -> bool:
         return self.small and self.densest <= ARRAY_FENCES
 
+    def release(self) -> None:
+        self.cells.unpersist()
+
     def hinted(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
 
 def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
     """Index of the fences, each box grown by a margin; fences without a ring are left out.
-    Measures the (small) fence table first, to choose how it will be joined."""
+    Measures the (small) fence table first, to choose how it will be joined; what was read
+    for that stays cached for the join, until ``release``."""
     pad_x, pad_y = geo.grown_box(margin_m)
     edged = fences.where("size(ring) >= 4").selectExpr(
         "id", "name", f"{geo.ring_edges('ring')} AS edges",
@@ -71,8 +75,9 @@ def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
         grown.selectExpr("struct(id, name, area, west, east, south, north, edges) AS fence", "west", "east", "south",
                          "north", f"CASE {fits} ELSE {len(CELL_SIDES) - 1} END AS level")
         .selectExpr("*", f"{sides}[level] AS side")
-        .selectExpr("level", f"explode(flatten(transform({steps('west', 'east', 180)}, cx -> "
-                    f"transform({steps('south', 'north', 90)}, cy -> cx * 100000 + cy)))) AS cell", "fence"))
+        .selectExpr("level", f"explode_outer(flatten(transform({steps('west', 'east', 180)}, cx -> "
+                    f"transform({steps('south', 'north', 90)}, cy -> cx * 100000 + cy)))) AS cell", "fence")
+    ).persist()
     per_cell = exploded.groupBy("level", "cell").agg(
         F.expr("count(*) AS fences"),
         F.expr(f"sum(size(fence.edges) * {_EDGE_BYTES} + {_FENCE_BYTES}) AS nbytes"))

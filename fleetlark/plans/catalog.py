@@ -424,7 +424,7 @@ on_alerts("e6_summary", lambda a: reports.alert_summary(a, FROM, TO),
 
 
 @query("e7_fleet_stats", select(
-    f"""SELECT count(*) AS total_vehicles, count_if(age < 1) AS online_vehicles,
+    f"""SELECT count(*) AS total_vehicles, count_if(age < 1)::BIGINT AS online_vehicles,
     floor(coalesce(avg(last_speed), 0) * 100 + 0.5) / 100 AS average_speed,
     (SELECT count(*) FROM alerts WHERE detected_at >= {AS_OF} - INTERVAL 1 HOUR) AS alerts_last_hour FROM aged""",
     READINGS, ALERTS, O.STATUS))
@@ -437,8 +437,8 @@ on_alerts("e8_alerts_since_count", lambda a: reports.count_alerts_since(a, SINCE
 
 
 @query("e9_dashboard", select(
-    f"""SELECT count_if(s = 'ONLINE') AS online_count, count_if(s = 'IDLE') AS idle_count,
-    count_if(s = 'OFFLINE') AS offline_count,
+    f"""SELECT count_if(s = 'ONLINE')::BIGINT AS online_count, count_if(s = 'IDLE')::BIGINT AS idle_count,
+    count_if(s = 'OFFLINE')::BIGINT AS offline_count,
     (SELECT count(*) FROM alerts WHERE detected_at > {AS_OF} - INTERVAL 1 HOUR) AS alerts_last_hour,
     floor(coalesce(avg(last_speed), 0) + 0.5)::BIGINT AS average_speed
     FROM (SELECT *, {O.DASHBOARD_STATUS} AS s FROM aged)""", READINGS, ALERTS, O.STATUS))
@@ -447,19 +447,19 @@ def e9(spark, sf):
 
 
 def _rounded_stats(stats: DataFrame) -> DataFrame:
-    return stats.withColumns({"avg_speed": F.round("avg_speed", 6), "total_distance": F.round("total_distance", 6)})
+    return stats.withColumns({"avg_speed": F.round("avg_speed", 9), "total_distance": F.round("total_distance", 6)})
 
 
 on_readings("e10_stats_5m", lambda r: _rounded_stats(reports.vehicle_stats(r)), "SELECT * FROM stats", O.windowed(300))
 on_readings("e10_stats_1d", lambda r: _rounded_stats(reports.vehicle_stats(r, "1 day")), "SELECT * FROM stats", O.windowed(86400))
 on_readings("e11_running", lambda r: _rounded_stats(reports.running_stats(r)),
-            f"""SELECT id, vehicle_id, event_timestamp, round(avg(coalesce(speed_kph, 0)) OVER w, 6) AS avg_speed,
+            f"""SELECT id, vehicle_id, event_timestamp, round(avg(coalesce(speed_kph, 0)) OVER w, 9) AS avg_speed,
             max(coalesce(speed_kph, 0)) OVER w AS max_speed,
             round(sum(coalesce({O.haversine_km('lat0', 'lng0', 'lat', 'lng')}, 0)) OVER w, 6) AS total_distance,
             count(*) OVER w AS reading_count FROM lags
             WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_timestamp, id ROWS UNBOUNDED PRECEDING)""", O.LAGS)
 on_alerts("e12_by_group", reports.count_by_group,
-          f"""SELECT count_if(g = 'SPEEDING') AS speeding, count_if(g = 'GEOFENCE') AS geofence, count_if(g = 'IDLE') AS idle
+          f"""SELECT count_if(g = 'SPEEDING')::BIGINT AS speeding, count_if(g = 'GEOFENCE')::BIGINT AS geofence, count_if(g = 'IDLE')::BIGINT AS idle
           FROM (SELECT {_GROUP} AS g FROM alerts)""")
 
 # --- deletes ---------------------------------------------------------------------------

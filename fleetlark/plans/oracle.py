@@ -153,7 +153,7 @@ def windowed(seconds: int) -> str:
       CASE WHEN {slot('at0')} = {slot('event_timestamp')} THEN {leg} ELSE 0 END AS leg FROM lags),
   stats AS (SELECT vehicle_id, make_timestamp(slot * {seconds * 1_000_000}) AS window_start,
       make_timestamp((slot + 1) * {seconds * 1_000_000}) AS window_end,
-      round(avg(coalesce(speed_kph, 0)), 6) AS avg_speed, max(coalesce(speed_kph, 0)) AS max_speed,
+      round(avg(coalesce(speed_kph, 0)), 9) AS avg_speed, max(coalesce(speed_kph, 0)) AS max_speed,
       round(sum(leg), 6) AS total_distance, count(*) AS reading_count FROM slots GROUP BY vehicle_id, slot)"""
 
 

@@ -19,11 +19,12 @@ def load_geofences(texts: DataFrame) -> DataFrame:
     FeatureCollection, of which the first feature counts. A text without a ring of at
     least three corners gives a null ring.
     """
-    return (texts.withColumn("_doc", F.from_json("polygon_geojson", _GEOJSON))
-            .withColumn("_outer", F.expr("coalesce(get(_doc.geometry.coordinates, 0), get(_doc.coordinates, 0), "
-                                         "get(get(_doc.features, 0).geometry.coordinates, 0))"))
-            .withColumn("ring", F.expr("transform(_outer, p -> struct(get(p, 0) AS lng, get(p, 1) AS lat))"))
-            .withColumn("ring", F.when(F.size("ring") >= 3, closed("ring"))).drop("_doc", "_outer"))
+    document = f"from_json(polygon_geojson, '{_GEOJSON}')"
+    outer = (f"transform(array({document}), d -> coalesce(get(d.geometry.coordinates, 0), get(d.coordinates, 0), "
+             "get(get(d.features, 0).geometry.coordinates, 0)))[0]")
+    ring = f"transform({outer}, p -> struct(get(p, 0) AS lng, get(p, 1) AS lat))"
+    whole = f"transform(array({ring}), ring -> CASE WHEN size(ring) >= 3 THEN {closed('ring')} END)[0]"
+    return texts.withColumn("ring", F.expr(whole))
 
 
 def require_unique_names(fences: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def site_fences(spark: SparkSession) -> DataFrame:
     rows = [(fid, name, [{"lng": x, "lat": y} for x, y in corners])
             for fid, (name, corners) in SITE_FENCES.items()]
     frame = prepare(spark).createDataFrame(rows, "id long, name string, ring array<struct<lng:double,lat:double>>")
-    return frame.withColumn("ring", closed("ring"))
+    return frame.withColumn("ring", F.expr(closed("ring")))
 
 
 def depot_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
