@@ -44,21 +44,20 @@ def alert_history_totals(alerts: DataFrame, start: Instant, end: Instant, type:
     """Counts behind the page as rows (scope, name, alerts): the total before the page
     limit, the number on the page, and one row per type and per vehicle."""
     counts = _scoped_counts(_matching(alerts, start, end, type, vehicle))
-    page = counts.where("scope = 'total'").select(
-        F.lit("returned").alias("scope"), "name", F.least("alerts", F.lit(limit).cast("long")).alias("alerts"))
-    return counts.unionByName(page)
+    return counts.selectExpr(f"""inline(CASE WHEN scope = 'total' THEN array(struct(scope, name, alerts),
+        struct('returned' AS scope, name, least(alerts, {int(limit)}) AS alerts))
+        ELSE array(struct(scope, name, alerts)) END)""")
 
 
 def _scoped_counts(matching: DataFrame) -> DataFrame:
     """Total, per type and per vehicle in one pass: partial counts by (type, vehicle) shrink
     the data before they are grouped three ways. The total is there for no rows as well."""
     partial = matching.groupBy("alert_type", "vehicle_id").agg(F.count(F.lit(1)).alias("_n"))
-    named = partial.groupingSets([["alert_type"], ["vehicle_id"], []], "alert_type", "vehicle_id").agg(
-        F.sum("_n").alias("alerts"), F.grouping("alert_type").alias("_no_type"),
-        F.grouping("vehicle_id").alias("_no_vehicle"))
-    scope = (F.when(F.col("_no_type") == 0, "type").when(F.col("_no_vehicle") == 0, "vehicle").otherwise("total"))
-    return named.select(scope.alias("scope"), F.coalesce("alert_type", "vehicle_id", F.lit("all")).alias("name"),
-                        F.coalesce("alerts", F.lit(0)).cast("long").alias("alerts"))
+    named = partial.selectExpr(
+        """inline(array(struct('total' AS scope, 'all' AS name), struct('type' AS scope, alert_type AS name),
+        struct('vehicle' AS scope, vehicle_id AS name)))""", "_n")
+    nothing = matching.sparkSession.range(1).selectExpr("'total' AS scope", "'all' AS name", "0L AS _n")
+    return named.unionByName(nothing).groupBy("scope", "name").agg(F.sum("_n").alias("alerts"))
 
 
 def alert_summary(alerts: DataFrame, start: Instant, end: Instant, n: int = 5) -> DataFrame:
