@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlark import schemas as S
 from fleetlark.functions import values as V
 from fleetlark.operators import ordered
-from fleetlark.operators.zones import FenceIndex, chosen_zone, fence_index, with_zones
+from fleetlark.operators.zones import chosen_zone, fence_index, with_zones
 
 Instant = str | datetime | Column
 Span = str | timedelta | int
@@ -28,7 +28,8 @@ def speeding_alerts(readings: DataFrame, threshold: float = S.SPEED_LIMIT_KPH) -
 
 
 def idle_alerts(readings: DataFrame, threshold: Span = S.IDLE_THRESHOLD, idle_speed: float = S.IDLE_SPEED_KPH,
-                minutes: str = "threshold", large_rows: int | None = None) -> DataFrame:
+                minutes: str = "threshold", large_rows: int | None = None,
+                slices: ordered.Slices | None = None) -> DataFrame:
     """One alert per idle spell: at its first reading that lies at least ``threshold`` after
     the spell began. A faster reading ends the spell; readings without speed are ignored.
 
@@ -37,15 +38,13 @@ def idle_alerts(readings: DataFrame, threshold: Span = S.IDLE_THRESHOLD, idle_sp
     if minutes not in ("threshold", "elapsed"):
         raise ValueError(f"unknown idle minutes: {minutes!r}")
     limit = V.micros_of(threshold)
-    order = ordered.READINGS.with_large_rows(large_rows)
+    slices = slices or ordered.find_slices(readings, ordered.by_vehicle(large_rows))
     now = F.unix_micros("event_timestamp")
-    moving = readings.where(F.col("speed_kph").isNotNull()).withColumn("_idle", F.col("speed_kph") <= idle_speed)
-    rows = ordered.with_previous(
-        ordered.sliced(moving, order, readings), "_last",
-        F.struct(F.col("_idle").alias("idle"), now.alias("at")), order=order)
-    continues = F.coalesce(F.col("_last.idle"), F.lit(False))
-    begins = F.col("_idle") & ~continues
-    rows = ordered.with_previous(rows, "_spell", F.struct(now.alias("start")), where=begins, order=order)
+    known = readings.where(F.col("speed_kph").isNotNull()).withColumn("_idle", F.col("speed_kph") <= idle_speed)
+    rows = ordered.history(known, slices).with_previous(
+        "_last", F.struct(F.col("_idle").alias("idle"), now.alias("at")))
+    begins = F.expr("_idle AND NOT coalesce(_last.idle, false)")
+    rows = rows.with_previous("_spell", F.struct(now.alias("start")), where=begins).rows()
     start = F.when(begins, now).otherwise(F.col("_spell.start"))
     due = (F.col("_idle") & (now - start >= limit)
            & (begins | (F.col("_last.at") - start < limit)))
@@ -59,40 +58,39 @@ def idle_alerts(readings: DataFrame, threshold: Span = S.IDLE_THRESHOLD, idle_sp
 
 
 def zone_steps(readings: DataFrame, fences: DataFrame, buffer_m: float = S.ZONE_BUFFER_M, priority: str = "area",
-               large_rows: int | None = None, index: FenceIndex | None = None) -> DataFrame:
+               large_rows: int | None = None, slices: ordered.Slices | None = None) -> DataFrame:
     """Readings with the vehicle's zone before (``prev_zone``) and at (``zone``) each of them.
 
     Outside all fences a vehicle keeps its zone while it stays within the buffer of it.
     Whether that holds is remembered as a mark: the zone entered, or an empty struct once
     the vehicle has left; the nearest mark before a reading tells its state.
     """
-    order = ordered.READINGS.with_large_rows(large_rows)
-    placed = readings.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    index = index or fence_index(fences, buffer_m)
-    rows = ordered.sliced(placed, order, readings)
+    slices = slices or ordered.find_slices(readings, ordered.by_vehicle(large_rows))
+    index = fence_index(fences, buffer_m)
+    rows = ordered.history(readings.where("lat IS NOT NULL AND lng IS NOT NULL"), slices)
     if index.joins_without_shuffle:
         # Zones are looked up after the shuffle the windows need anyway: it then moves bare
         # positions, and the geometry runs in evenly filled tasks.
-        rows = rows.repartition(order.key, ordered.SLICE)
-    rows = with_zones(rows, fences, buffer_m, index=index).withColumn("_raw", chosen_zone(priority))
-    inside = F.col("_raw").isNotNull()
-    rows = ordered.with_previous(rows, "_last_raw", F.struct(F.col("_raw").alias("zone")), where=inside, order=order)
-    left = ~inside & ~F.coalesce(F.array_contains("near", F.col("_last_raw.zone")), F.lit(False))
-    rows = ordered.with_previous(rows, "_mark", F.struct(F.col("_raw").alias("zone")), where=inside | left, order=order)
-    before = F.col("_mark.zone")
-    return (rows.withColumns({
-        "prev_zone": before,
-        "zone": F.when(inside, F.col("_raw")).when(~left, before),
+        rows = rows.shuffled()
+    rows = rows.via(with_zones(rows.df, fences, buffer_m, index=index).withColumn("_raw", chosen_zone(priority)))
+    inside, zone = F.expr("_raw IS NOT NULL"), F.struct(F.col("_raw").alias("zone"))
+    rows = rows.with_previous("_last_raw", zone, where=inside)
+    left = "(_raw IS NULL AND NOT coalesce(array_contains(near, _last_raw.zone), false))"
+    rows = rows.with_previous("_mark", zone, where=F.expr(f"_raw IS NOT NULL OR {left}"))
+    return (rows.rows().withColumns({
+        "prev_zone": F.col("_mark.zone"),
+        "zone": F.expr(f"CASE WHEN _raw IS NOT NULL THEN _raw WHEN NOT {left} THEN _mark.zone END"),
         "overlapping_zones": F.expr("CASE WHEN size(zones) > 1 THEN transform(zones, z -> z.name) END"),
-    }).drop("_raw", "_last_raw", "_mark", "zones", "near", ordered.SLICE))
+    }).drop("_raw", "_last_raw", "_mark", "zones", "near"))
 
 
 def geofence_alerts(readings: DataFrame, fences: DataFrame, buffer_m: float = S.ZONE_BUFFER_M,
-                    priority: str = "area", large_rows: int | None = None) -> DataFrame:
+                    priority: str = "area", large_rows: int | None = None,
+                    slices: ordered.Slices | None = None) -> DataFrame:
     """Alerts on entering and leaving zones. Going straight from one zone into another is
     an entry only."""
     steps = zone_steps(readings.select(*_ALERT_KEY, "lat", "lng", "event_timestamp"),
-                       fences, buffer_m, priority, large_rows)
+                       fences, buffer_m, priority, large_rows, slices)
     enters = F.col("zone").isNotNull() & ~F.col("zone").eqNullSafe(F.col("prev_zone"))
     exits = F.col("zone").isNull() & F.col("prev_zone").isNotNull()
     return (steps.where(enters | exits)
@@ -138,8 +136,9 @@ def detect_alerts(readings: DataFrame, fences: DataFrame, *, speed_limit: float
                   buffer_m: float = S.ZONE_BUFFER_M, priority: str = "area",
                   large_rows: int | None = None) -> DataFrame:
     """All alerts of a history as rows of the alert table; ``id`` is the reading's."""
-    idle = idle_alerts(readings, idle_threshold, idle_speed, large_rows=large_rows)
-    zones = geofence_alerts(readings, fences, buffer_m, priority, large_rows)
+    slices = ordered.find_slices(readings, ordered.by_vehicle(large_rows))
+    idle = idle_alerts(readings, idle_threshold, idle_speed, slices=slices)
+    zones = geofence_alerts(readings, fences, buffer_m, priority, slices=slices)
     return (alert_rows(speeding_alerts(readings, speed_limit), speeding_details())
             .unionByName(alert_rows(idle, idle_details()))
             .unionByName(alert_rows(zones, zone_details())))

@@ -1,10 +1,10 @@
 """Ordered scans over a vehicle's history that stay parallel when one vehicle is huge.
 
-A plain ``Window.partitionBy(vehicle_id)`` puts all rows of a vehicle into one task. Here a
-vehicle with very many rows is cut into time slices first. Windows run per (vehicle, slice);
-what a slice hands to the next ones is one summary row per slice, computed by a map-side
-combining aggregate. Vehicles of ordinary size form a single slice, and when no vehicle is
-large the summary branch is empty, which adaptive execution removes from the plan.
+A plain ``Window.partitionBy(vehicle_id)`` puts all rows of a vehicle into one task. Here the
+few vehicles with very many rows are found first, by a narrow pass over keys and times, and
+cut into time slices. Windows then run per (vehicle, slice); what a slice hands to the next
+ones is one summary row per slice, computed by a map-side combining aggregate. Without a
+large vehicle the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 # A vehicle is large from this many rows on; its slices hold about a quarter as many.
 LARGE_ROWS = 2_000_000
 _SLICES_PER_LARGE = 4
-# Only this many vehicles are ever cut, the largest ones. Each of the others then holds
-# less than 1/20,000 of all rows, and the broadcast list of large vehicles stays below 2 MB.
+# Only this many vehicles are ever cut, the largest ones: each of the others then holds less
+# than 1/20,000 of all rows. It also bounds what the driver reads and broadcasts, to 2 MB.
 MAX_LARGE_VEHICLES = 20_000
 
-SLICE = "_slice"
+_SLICE = "_slice"
 
 
 @dataclass(frozen=True)
@@ -32,93 +32,102 @@ class Order:
     tie: str = "id"
     large_rows: int = LARGE_ROWS
 
-    def with_large_rows(self, rows: int | None) -> "Order":
-        return self if rows is None else replace(self, large_rows=rows)
+
+def by_vehicle(large_rows: int | None = None) -> Order:
+    return Order() if large_rows is None else Order(large_rows=large_rows)
+
+
+@dataclass(frozen=True)
+class Slices:
+    """The large keys, each with the start and width of its slices in microseconds; no
+    frame when there is none."""
+    order: Order
+    frame: DataFrame | None
+
+
+def find_slices(table: DataFrame, order: Order) -> Slices:
+    """Finds the large keys of a table. Runs a job that reads only keys and times."""
+    micros = f"unix_micros({order.time})"
+    slices = f"ceil(n * {_SLICES_PER_LARGE} / {order.large_rows})"
+    large = (table.groupBy(order.key)
+             .agg(F.expr("count(*) AS n"), F.expr(f"min({micros}) AS first"), F.expr(f"max({micros}) AS last"))
+             .where(f"n >= {order.large_rows}").orderBy(F.desc("n"), order.key).limit(MAX_LARGE_VEHICLES)
+             .selectExpr(order.key, "first AS _start", f"ceil((last - first + 1) / {slices}) AS _width"))
+    rows = large.collect()
+    return Slices(order, table.sparkSession.createDataFrame(rows, large.schema) if rows else None)
+
+
+@dataclass(frozen=True)
+class History:
+    """Rows of a table with what is needed to scan them in order."""
+    df: DataFrame
+    order: Order
+    cut: bool
 
     @property
-    def position(self) -> Column:
-        return F.struct(self.time, self.tie)
-
-    def window(self):
-        return Window.partitionBy(self.key, SLICE).orderBy(self.time, self.tie)
-
-
-READINGS = Order()
-
-
-def large_keys(df: DataFrame, order: Order = READINGS) -> DataFrame:
-    """The large keys with the start and width of their slices in microseconds."""
-    micros = F.unix_micros(order.time)
-    rows, first, last = F.col("_rows"), F.col("_first"), F.col("_last")
-    slices = F.ceil(rows * _SLICES_PER_LARGE / F.lit(order.large_rows))
-    return (df.groupBy(order.key)
-            .agg(F.count(F.lit(1)).alias("_rows"), F.min(micros).alias("_first"), F.max(micros).alias("_last"))
-            .where(rows >= order.large_rows)
-            .orderBy(rows.desc(), order.key).limit(MAX_LARGE_VEHICLES)
-            .select(order.key, first.alias("_start"), F.ceil((last - first + 1) / slices).alias("_width")))
-
-
-def sliced(df: DataFrame, order: Order = READINGS, counted: DataFrame | None = None) -> DataFrame:
-    """Adds the slice number; null for keys that are not cut.
-
-    ``counted`` is a cheaper frame with the same keys and times to find the large keys
-    from: the table itself, where ``df`` is a costly view of it.
-    """
-    large = large_keys((counted if counted is not None else df).select(order.key, order.time), order)
-    number = F.floor((F.unix_micros(order.time) - F.col("_start")) / F.col("_width"))
-    return (df.join(F.broadcast(large), order.key, "left")
-            .withColumn(SLICE, number).drop("_start", "_width"))
-
-
-def _carried(df: DataFrame, order: Order, summary: list[Column], carry: dict[str, Column]) -> DataFrame:
-    """``df`` joined with what the earlier slices of its key hand over."""
-    slices = df.where(F.col(SLICE).isNotNull()).groupBy(order.key, SLICE).agg(*summary)
-    handed = slices.select(order.key, SLICE, *[c.alias(name) for name, c in carry.items()])
-    return df.join(handed, [order.key, SLICE], "left")
-
-
-def _earlier(order: Order):
-    return (Window.partitionBy(order.key).orderBy(SLICE)
-            .rowsBetween(Window.unboundedPreceding, -1))
-
-
-def with_previous(df: DataFrame, name: str, value: Column, where: Column | None = None,
-                  order: Order = READINGS) -> DataFrame:
-    """Adds ``name``: the value at the nearest earlier row (of those satisfying ``where``).
-
-    ``value`` must be a struct, so that a null field can be told from a missing row.
-    ``df`` must be sliced.
-    """
-    window = order.window()
-    if where is None:
-        known, local = value, F.lag(value).over(window)
-    else:
-        known = F.when(where, value)
-        local = F.last(known, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    held = df.withColumns({"_known": known, "_local": local})
-    tail = F.max_by("_known", F.when(F.col("_known").isNotNull(), order.position)).alias("_tail")
-    carried = _carried(held, order, [tail], {"_carry": F.last("_tail", ignorenulls=True).over(_earlier(order))})
-    return (carried.withColumn(name, F.coalesce("_local", "_carry"))
-            .drop("_known", "_local", "_carry"))
-
-
-def with_running(df: DataFrame, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
-                 order: Order = READINGS) -> DataFrame:
-    """Adds running sums and maxima up to and including each row. ``df`` must be sliced."""
-    sums, maxima = sums or {}, maxima or {}
-    upto = order.window().rowsBetween(Window.unboundedPreceding, 0)
-    inputs = {f"_in_{n}": c for n, c in {**sums, **maxima}.items()}
-    held = df.withColumns(inputs)
-    held = held.withColumns({
-        **{f"_local_{n}": F.sum(f"_in_{n}").over(upto) for n in sums},
-        **{f"_local_{n}": F.max(f"_in_{n}").over(upto) for n in maxima}})
-    summary = ([F.sum(f"_in_{n}").alias(f"_tail_{n}") for n in sums]
-               + [F.max(f"_in_{n}").alias(f"_tail_{n}") for n in maxima])
-    earlier = _earlier(order)
-    carry = {**{f"_carry_{n}": F.sum(f"_tail_{n}").over(earlier) for n in sums},
-             **{f"_carry_{n}": F.max(f"_tail_{n}").over(earlier) for n in maxima}}
-    carried = _carried(held, order, summary, carry)
-    return carried.withColumns({
-        **{n: F.col(f"_local_{n}") + F.coalesce(f"_carry_{n}", F.lit(0)) for n in sums},
-        **{n: F.greatest(f"_local_{n}", f"_carry_{n}") for n in maxima},
-    }).drop(*inputs, *[f"_{kind}_{n}" for kind in ("local", "carry") for n in {**sums, **maxima}])
+    def _keys(self) -> list[str]:
+        return [self.order.key, _SLICE] if self.cut else [self.order.key]
+
+    def _window(self, start: int, end: int):
+        return (Window.partitionBy(*self._keys).orderBy(self.order.time, self.order.tie)
+                .rowsBetween(start, end))
+
+    def via(self, df: DataFrame) -> "History":
+        """The same history with other columns."""
+        return replace(self, df=df)
+
+    def shuffled(self) -> "History":
+        """Shuffled by vehicle and slice now: the windows to come need no further shuffle."""
+        return self.via(self.df.repartition(*self._keys))
+
+    def rows(self) -> DataFrame:
+        return self.df.drop(_SLICE)
+
+    def _carried(self, df: DataFrame, summary: list[Column], carry: dict[str, Column]) -> DataFrame:
+        """``df`` joined with what the earlier slices of its key hand over."""
+        slices = df.where(f"{_SLICE} IS NOT NULL").groupBy(*self._keys).agg(*summary)
+        return df.join(slices.select(*self._keys, *[c.alias(name) for name, c in carry.items()]), self._keys, "left")
+
+    def _earlier(self):
+        return Window.partitionBy(self.order.key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_previous(self, name: str, value: Column, where: Column | None = None) -> "History":
+        """Adds ``name``: the value at the nearest earlier row (of those satisfying ``where``).
+        ``value`` must be a struct, so that a null field can be told from a missing row."""
+        known = value if where is None else F.when(where, value)
+        start = -1 if where is None else Window.unboundedPreceding
+        nearest = F.last(known, ignorenulls=True).over(self._window(start, -1))
+        if not self.cut:
+            return self.via(self.df.withColumn(name, nearest))
+        held = self.df.withColumns({"_known": known, "_local": nearest})
+        position = F.when(F.col("_known").isNotNull(), F.struct(self.order.time, self.order.tie))
+        carried = self._carried(held, [F.max_by("_known", position).alias("_tail")],
+                                {"_carry": F.last("_tail", ignorenulls=True).over(self._earlier())})
+        return self.via(carried.withColumn(name, F.coalesce("_local", "_carry")).drop("_known", "_local", "_carry"))
+
+    def with_running(self, sums: dict[str, Column], maxima: dict[str, Column]) -> "History":
+        """Adds running sums and maxima up to and including each row."""
+        upto = self._window(Window.unboundedPreceding, 0)
+        if not self.cut:
+            return self.via(self.df.withColumns({**{n: F.sum(c).over(upto) for n, c in sums.items()},
+                                                 **{n: F.max(c).over(upto) for n, c in maxima.items()}}))
+        agg = {**{n: F.sum for n in sums}, **{n: F.max for n in maxima}}
+        held = self.df.withColumns({f"_in_{n}": c for n, c in {**sums, **maxima}.items()})
+        held = held.withColumns({f"_local_{n}": f(f"_in_{n}").over(upto) for n, f in agg.items()})
+        carried = self._carried(held, [f(f"_in_{n}").alias(f"_tail_{n}") for n, f in agg.items()],
+                                {f"_carry_{n}": f(f"_tail_{n}").over(self._earlier()) for n, f in agg.items()})
+        total = {n: F.col(f"_local_{n}") + F.coalesce(f"_carry_{n}", F.lit(0)) for n in sums}
+        peak = {n: F.greatest(f"_local_{n}", f"_carry_{n}") for n in maxima}
+        return self.via(carried.withColumns({**total, **peak})
+                        .drop(*[f"_{kind}_{n}" for kind in ("in", "local", "carry") for n in agg]))
+
+
+def history(df: DataFrame, slices: Slices) -> History:
+    """Rows ready for ordered scans; large keys are cut, other rows have no slice number."""
+    order = slices.order
+    if slices.frame is None:
+        return History(df, order, cut=False)
+    number = f"floor((unix_micros({order.time}) - _start) / _width)"
+    cut = (df.join(F.broadcast(slices.frame), order.key, "left")
+           .withColumn(_SLICE, F.expr(number)).drop("_start", "_width"))
+    return History(cut, order, cut=True)

@@ -125,20 +125,17 @@ def dashboard_stats(status: DataFrame, alerts: DataFrame, as_of: Instant) -> Dat
         F.sum("recent").alias("alerts_last_hour"), mean.cast("long").alias("average_speed"))
 
 
-def with_legs(readings: DataFrame, window: str | None = None, large_rows: int | None = None) -> DataFrame:
+def with_legs(readings: DataFrame, window: str | None = None, large_rows: int | None = None) -> ordered.History:
     """Readings with ``speed`` (zero when unknown) and ``leg_km`` from the previous point;
     zero at the first one, and with a window at the first one in each window."""
-    order = ordered.READINGS.with_large_rows(large_rows)
-    narrow = readings.select("id", "vehicle_id", "event_timestamp", "lat", "lng",
-                             F.coalesce("speed_kph", F.lit(0.0)).alias("speed"))
-    rows = ordered.with_previous(ordered.sliced(narrow, order), "_prev",
-                                 F.struct("event_timestamp", "lat", "lng"), order=order)
-    leg = F.expr(haversine_km("_prev.lat", "_prev.lng", "lat", "lng"))
+    slices = ordered.find_slices(readings, ordered.by_vehicle(large_rows))
+    narrow = readings.selectExpr("id", "vehicle_id", "event_timestamp", "lat", "lng", "coalesce(speed_kph, 0D) AS speed")
+    rows = ordered.history(narrow, slices).with_previous("_prev", F.struct("event_timestamp", "lat", "lng"))
+    leg = haversine_km("_prev.lat", "_prev.lng", "lat", "lng")
     if window is not None:
-        size = V.micros_of(window)
-        slot = lambda t: F.floor(F.unix_micros(t) / size)
-        leg = F.when(slot(F.col("_prev.event_timestamp")) == slot(F.col("event_timestamp")), leg)
-    return rows.withColumn("leg_km", F.coalesce(leg, F.lit(0.0))).drop("_prev")
+        slot = lambda t: f"floor(unix_micros({t}) / {V.micros_of(window)})"
+        leg = f"CASE WHEN {slot('_prev.event_timestamp')} = {slot('event_timestamp')} THEN {leg} END"
+    return rows.via(rows.df.withColumn("leg_km", F.expr(f"coalesce({leg}, 0D)")).drop("_prev"))
 
 
 def window_figures(legs: DataFrame, window: str) -> DataFrame:
@@ -152,16 +149,14 @@ def window_figures(legs: DataFrame, window: str) -> DataFrame:
 
 def vehicle_stats(readings: DataFrame, window: str = "5 minutes", large_rows: int | None = None) -> DataFrame:
     """Average and maximum speed, distance and count per vehicle and tumbling window."""
-    return window_figures(with_legs(readings, window, large_rows).drop(ordered.SLICE), window)
+    return window_figures(with_legs(readings, window, large_rows).rows(), window)
 
 
 def running_stats(readings: DataFrame, large_rows: int | None = None) -> DataFrame:
     """The same figures at each reading, over the vehicle's history up to it."""
-    order = ordered.READINGS.with_large_rows(large_rows)
-    rows = ordered.with_running(
-        with_legs(readings, large_rows=large_rows),
+    rows = with_legs(readings, large_rows=large_rows).with_running(
         sums={"_total": F.col("speed"), "total_distance": F.col("leg_km"), "reading_count": F.lit(1).cast("long")},
-        maxima={"max_speed": F.greatest("speed", F.lit(0.0))}, order=order)
+        maxima={"max_speed": F.greatest("speed", F.lit(0.0))}).rows()
     return rows.select("id", "vehicle_id", "event_timestamp", (F.col("_total") / F.col("reading_count")).alias("avg_speed"),
                        "max_speed", "total_distance", "reading_count")
 

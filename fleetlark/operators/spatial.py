@@ -71,11 +71,11 @@ def alerts_within_geofence(alerts: DataFrame, fences: DataFrame, name: str,
 
 def leg_distance(readings: DataFrame, large_rows: int | None = None) -> DataFrame:
     """Adds ``leg_km``: the distance from the vehicle's previous point, null at its first."""
-    order = ordered.READINGS.with_large_rows(large_rows)
-    placed = readings.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    with_prev = ordered.with_previous(ordered.sliced(placed, order, readings), "_prev", F.struct("lat", "lng"), order=order)
+    slices = ordered.find_slices(readings, ordered.by_vehicle(large_rows))
+    placed = readings.where("lat IS NOT NULL AND lng IS NOT NULL")
+    rows = ordered.history(placed, slices).with_previous("_prev", F.struct("lat", "lng")).rows()
     leg = geo.haversine_km("_prev.lat", "_prev.lng", "lat", "lng")
-    return with_prev.withColumn("leg_km", F.expr(leg)).drop("_prev", ordered.SLICE)
+    return rows.withColumn("leg_km", F.expr(leg)).drop("_prev")
 
 
 def with_region(df: DataFrame, fences: DataFrame, priority: str = "area") -> DataFrame:
