@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from fleetlark import schemas as S
 from fleetlark.functions import values as V
@@ -17,6 +17,8 @@ from fleetlark.streaming.processors import FOUND, LATE, LEGS, AlertProcessor, Le
 
 # Fixed value: how often results are committed.
 COMMIT_INTERVAL = "1 second"
+# How much a micro-batch of files may hold.
+BYTES_PER_BATCH = "256m"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,16 +27,31 @@ def prepare_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
-def read_readings(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """Readings arriving as parquet files; the file limit bounds a micro-batch."""
-    return (spark.readStream.schema(S.READING).option("maxFilesPerTrigger", files_per_batch).parquet(path))
+def _limited(source: DataStreamReader, files_per_batch: int | None) -> DataStreamReader:
+    """A micro-batch is bounded in bytes, or where given in files: the keyed operators hold
+    one vehicle's rows of a micro-batch, and one vehicle may send most of them."""
+    if files_per_batch is None:
+        return source.option("maxBytesPerTrigger", BYTES_PER_BATCH)
+    return source.option("maxFilesPerTrigger", files_per_batch)
 
 
-def read_messages(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """GPS messages arriving as JSON-lines files of (key, value, topic, partition, offset).
-    A Kafka source gives the same columns."""
-    return (spark.readStream.schema("key string, value string, topic string, partition int, offset long")
-            .option("maxFilesPerTrigger", files_per_batch).json(path))
+def read_readings(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Readings arriving as parquet files."""
+    return _limited(spark.readStream.schema(S.READING), files_per_batch).parquet(path)
+
+
+def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """GPS messages arriving as JSON-lines files of (key, value, topic, partition, offset)."""
+    source = spark.readStream.schema("key string, value string, topic string, partition int, offset long")
+    return _limited(source, files_per_batch).json(path)
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str = "vehicle-gps", offsets_per_batch: int = 5_000_000) -> DataFrame:
+    """GPS messages from Kafka, in the same columns; needs Spark's Kafka connector."""
+    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+            .option("subscribe", topic).option("startingOffsets", "earliest")
+            .option("maxOffsetsPerTrigger", offsets_per_batch).load()
+            .selectExpr("CAST(key AS string) AS key", "CAST(value AS string) AS value", "topic", "partition", "offset"))
 
 
 def _started(writer, available_now: bool) -> StreamingQuery:
@@ -127,3 +144,14 @@ def run_stats(stats: DataFrame, path: str, checkpoint: str, available_now: bool
 
     return _started(stats.writeStream.option("checkpointLocation", checkpoint)
                     .outputMode("append").foreachBatch(store), available_now)
+
+
+def publish(rows: DataFrame, checkpoint: str, *, path: str | None = None, servers: str | None = None,
+            topic: str = "vehicle-alerts", available_now: bool = False) -> StreamingQuery:
+    """Sends rows as keyed JSON to a Kafka topic, or to files that Spark commits once."""
+    keyed = gps.to_keyed_json(rows, rename=gps.EVENT_NAMES).writeStream.option("checkpointLocation", checkpoint)
+    if servers is not None:
+        sink = keyed.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    else:
+        sink = keyed.format("json").option("path", path)
+    return _started(sink, available_now)

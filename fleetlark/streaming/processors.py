@@ -3,7 +3,7 @@
 Readings of a vehicle are taken in event-time order: sorted within a micro-batch, and a
 reading older than one already taken comes out as a LATE row instead of changing state.
 The memory a vehicle needs is bounded by the micro-batch, so sources must limit it
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). Instants travel as microseconds.
+(``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``; the readers in ``jobs`` do). Instants travel as microseconds.
 """
 
 from __future__ import annotations
