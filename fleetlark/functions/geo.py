@@ -106,11 +106,6 @@ def edge_distance_m(edges: str, x: str, y: str) -> str:
     return f"transform(array({scale}), s -> {nearest})[0]"
 
 
-def fence_distance_m(edges: str, x: str, y: str) -> str:
-    """Metres to the polygon; zero inside and on the boundary."""
-    return f"CASE WHEN {covers(edges, x, y)} THEN 0D ELSE {edge_distance_m(edges, x, y)} END"
-
-
 def boundary_near(edges: str, x: str, y: str, metres: float) -> str:
     """Some edge is at most so many metres away; edges are first picked by their grown boxes."""
     pad_y = f"{metres / METRES_PER_DEGREE_LAT * _SLACK!r}D"

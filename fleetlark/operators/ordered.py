@@ -68,9 +68,8 @@ class History:
     def _keys(self) -> list[str]:
         return [self.order.key, _SLICE] if self.cut else [self.order.key]
 
-    def _window(self, start: int, end: int):
-        return (Window.partitionBy(*self._keys).orderBy(self.order.time, self.order.tie)
-                .rowsBetween(start, end))
+    def _ordered(self):
+        return Window.partitionBy(*self._keys).orderBy(self.order.time, self.order.tie)
 
     def via(self, df: DataFrame) -> "History":
         """The same history with other columns."""
@@ -95,8 +94,10 @@ class History:
         """Adds ``name``: the value at the nearest earlier row (of those satisfying ``where``).
         ``value`` must be a struct, so that a null field can be told from a missing row."""
         known = value if where is None else F.when(where, value)
-        start = -1 if where is None else Window.unboundedPreceding
-        nearest = F.last(known, ignorenulls=True).over(self._window(start, -1))
+        if where is None:
+            nearest = F.lag(known).over(self._ordered())
+        else:
+            nearest = F.last(known, ignorenulls=True).over(self._ordered().rowsBetween(Window.unboundedPreceding, -1))
         if not self.cut:
             return self.via(self.df.withColumn(name, nearest))
         held = self.df.withColumns({"_known": known, "_local": nearest})
@@ -107,7 +108,7 @@ class History:
 
     def with_running(self, sums: dict[str, Column], maxima: dict[str, Column]) -> "History":
         """Adds running sums and maxima up to and including each row."""
-        upto = self._window(Window.unboundedPreceding, 0)
+        upto = self._ordered().rowsBetween(Window.unboundedPreceding, 0)
         if not self.cut:
             return self.via(self.df.withColumns({**{n: F.sum(c).over(upto) for n, c in sums.items()},
                                                  **{n: F.max(c).over(upto) for n, c in maxima.items()}}))

@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from fleetlark import schemas as S
 from fleetlark.functions import geo
 from fleetlark.functions.values import moment
-from fleetlark.operators import ordered
+from fleetlark.operators import ordered, zones
 from fleetlark.operators.zones import candidate_pairs, chosen_zone, fence_index, with_zones
 
 
 def covers_join(points: DataFrame, fences: DataFrame) -> DataFrame:
     """Each point with each geofence covering it, boundary included."""
     pairs = candidate_pairs(points, fence_index(fences))
-    return (pairs.where(geo.covers("fence.edges", "lng", "lat"))
+    return (pairs.where(zones.covering("fence", "lng", "lat"))
             .select(*points.columns, F.col("fence.id").alias("fence_id"), F.col("fence.name").alias("fence_name")))
 
 
 def within_distance_join(points: DataFrame, fences: DataFrame, metres: float) -> DataFrame:
     """Each point with each geofence at most so many metres away; zero inside."""
     pairs = candidate_pairs(points, fence_index(fences, metres))
-    distance = geo.fence_distance_m("fence.edges", "lng", "lat")
+    distance = zones.distance_m("fence", "lng", "lat")
     return (pairs.withColumn("distance_m", F.expr(distance)).where(F.col("distance_m") <= metres)
             .select(*points.columns, F.col("fence.id").alias("fence_id"), F.col("fence.name").alias("fence_name"),
                     "distance_m"))
@@ -65,7 +65,7 @@ def alerts_within_geofence(alerts: DataFrame, fences: DataFrame, name: str,
     """Alerts strictly inside the named geofence, newest first."""
     recent = alerts.where(F.col("detected_at") >= moment(since))
     pairs = candidate_pairs(recent, fence_index(fences.where(F.col("name") == name)))
-    return (pairs.where(geo.strictly_within("fence.edges", "lng", "lat"))
+    return (pairs.where(zones.strictly_covering("fence", "lng", "lat"))
             .select(*alerts.columns).orderBy(F.desc("detected_at"), F.desc("id")))
 
 

@@ -1,8 +1,10 @@
 """Which geofences lie at a point: a grid index over the fences and lookups in it.
 
-Fences are cut into grid cells on one of three levels, by their size, so that each takes
-a bounded number of cells. Points find their candidates by equality of cells, never by
-comparing all points with all fences; the exact test runs on the candidates.
+Fences are cut into grid cells whose side fits their size, so that each takes a bounded
+number of cells. A cell that no edge comes near is either wholly inside its fence, and then
+needs no test, or left out; the others keep just the edges that matter to points in them.
+Points find their candidates by equality of cells, never by comparing all points with all
+fences.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 from fleetlark.functions import geo
 
 # Cell sides in degrees, finest first. A fence takes the first level on which it spans at
-# most eight cells each way; whatever is larger takes the last.
-CELL_SIDES = (0.01, 0.32, 10.24)
-_SPAN_CELLS = 8
+# most so many cells each way; whatever is larger takes the last.
+CELL_SIDES = tuple(0.0025 * 4 ** n for n in range(7))
+_SPAN_CELLS = 24
+# Cells are taken this much larger, in degrees, so that rounding puts no point outside.
+_CELL_SLACK = "1e-9D"
 # An index is broadcast up to this size, and its candidates travel as one array per cell
 # up to this many fences in a cell. Beyond either, joins shuffle and pairs are regrouped.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -64,19 +68,33 @@ def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
         *[f"{pick}(transform(ring, p -> p.{axis})) AS {name}" for name, pick, axis in (
             ("west", "array_min", "lng"), ("east", "array_max", "lng"),
             ("south", "array_min", "lat"), ("north", "array_max", "lat"))])
-    grown = edged.selectExpr(
-        "id", "name", "edges", f"{geo.edges_area('edges')} AS area", f"west - {pad_x} AS west",
-        f"east + {pad_x} AS east", f"south - {pad_y} AS south", f"north + {pad_y} AS north")
+    padded = edged.selectExpr("*", f"{geo.edges_area('edges')} AS area", f"{pad_x} AS pad_x", f"{pad_y} AS pad_y")
+    grown = padded.selectExpr("id", "name", "edges", "area", "pad_x", "pad_y", "west - pad_x AS west",
+                              "east + pad_x AS east", "south - pad_y AS south", "north + pad_y AS north")
     span = "greatest(east - west, north - south)"
-    fits = " ".join(f"WHEN {span} <= {_SPAN_CELLS * side}D THEN {n}" for n, side in enumerate(CELL_SIDES[:-1]))
-    sides = f"array({', '.join(f'{side}D' for side in CELL_SIDES)})"
+    fits = " ".join(f"WHEN {span} <= {_SPAN_CELLS * side!r}D THEN {n}" for n, side in enumerate(CELL_SIDES[:-1]))
+    sides = f"array({', '.join(f'{side!r}D' for side in CELL_SIDES)})"
     steps = lambda low, high, shift: f"sequence(floor(({low} + {shift}) / side), floor(({high} + {shift}) / side))"
-    exploded = (
-        grown.selectExpr("struct(id, name, area, west, east, south, north, edges) AS fence", "west", "east", "south",
-                         "north", f"CASE {fits} ELSE {len(CELL_SIDES) - 1} END AS level")
+    cut = (
+        grown.selectExpr("*", f"CASE {fits} ELSE {len(CELL_SIDES) - 1} END AS level")
         .selectExpr("*", f"{sides}[level] AS side")
-        .selectExpr("level", f"explode_outer(flatten(transform({steps('west', 'east', 180)}, cx -> "
-                    f"transform({steps('south', 'north', 90)}, cy -> cx * 100000 + cy)))) AS cell", "fence")
+        .selectExpr("*", f"explode_outer(flatten(transform({steps('west', 'east', 180)}, cx -> "
+                    f"transform({steps('south', 'north', 90)}, cy -> struct(cx, cy))))) AS c")
+        .selectExpr("*", f"c.cx * side - 180 - pad_x - {_CELL_SLACK} AS cell_west",
+                    f"(c.cx + 1) * side - 180 + pad_x + {_CELL_SLACK} AS cell_east",
+                    f"c.cy * side - 90 - pad_y - {_CELL_SLACK} AS cell_south",
+                    f"(c.cy + 1) * side - 90 + pad_y + {_CELL_SLACK} AS cell_north"))
+    # Edges west of a cell, above or below it are never crossed by a ray from it to the east.
+    kept = ("filter(edges, e -> greatest(e.y1, e.y2) >= cell_south AND least(e.y1, e.y2) <= cell_north"
+            " AND greatest(e.x1, e.x2) >= cell_west)")
+    middle = ("(cell_west + cell_east) / 2", "(cell_south + cell_north) / 2")
+    exploded = (
+        cut.withColumn("edges", F.expr(kept))
+        .selectExpr("*", "exists(edges, e -> least(e.x1, e.x2) <= cell_east) AS touched",
+                    f"{geo.inside_edges('edges', *middle)} AS holds_middle")
+        .where("touched OR holds_middle")
+        .selectExpr("level", "c.cx * 100000 + c.cy AS cell", "struct(id, name, area, west, east, south, north, "
+                    "NOT touched AS whole, IF(touched, edges, slice(edges, 1, 0)) AS edges) AS fence")
     ).persist()
     per_cell = exploded.groupBy("level", "cell").agg(
         F.expr("count(*) AS fences"),
@@ -89,22 +107,38 @@ def _in_box(fence: str, x: str, y: str) -> str:
     return f"({x} BETWEEN {fence}.west AND {fence}.east AND {y} BETWEEN {fence}.south AND {fence}.north)"
 
 
+def covering(fence: str, x: str, y: str) -> str:
+    """A candidate fence covers the point."""
+    return f"({fence}.whole OR ({_in_box(fence, x, y)} AND {geo.covers(f'{fence}.edges', x, y)}))"
+
+
+def strictly_covering(fence: str, x: str, y: str) -> str:
+    """A candidate fence has the point in its interior."""
+    return f"({fence}.whole OR ({_in_box(fence, x, y)} AND {geo.strictly_within(f'{fence}.edges', x, y)}))"
+
+
+def distance_m(fence: str, x: str, y: str) -> str:
+    """Metres to a candidate fence, right up to the margin of its index and null or greater
+    beyond."""
+    return f"CASE WHEN {covering(fence, x, y)} THEN 0D ELSE {geo.edge_distance_m(f'{fence}.edges', x, y)} END"
+
+
 def candidate_pairs(points: DataFrame, index: FenceIndex, lng: str = "lng", lat: str = "lat") -> DataFrame:
-    """Points with each fence whose (grown) bounding box holds them, as column ``fence``."""
+    """Points with each fence that may cover them or be within the margin, as column ``fence``."""
     keys = ", ".join(f"struct({n} AS level, {_cell(lng, lat, CELL_SIDES[n])} AS cell)" for n in index.levels)
     looked = points.where(f"{lng} IS NOT NULL AND {lat} IS NOT NULL").selectExpr(
         "*", f"inline({f'array({keys})' if keys else 'CAST(array() AS array<struct<level:int,cell:bigint>>)'})")
     return (looked.join(index.hinted(index.cells), ["level", "cell"])
-            .where(_in_box("fence", lng, lat)).drop("level", "cell"))
+            .where(f"fence.whole OR {_in_box('fence', lng, lat)}").drop("level", "cell"))
 
 
 def _zones(candidates: str, x: str, y: str) -> str:
-    hit = f"filter({candidates}, f -> {_in_box('f', x, y)} AND {geo.covers('f.edges', x, y)})"
+    hit = f"filter({candidates}, f -> {covering('f', x, y)})"
     return f"coalesce(transform({hit}, f -> struct(f.area, f.id, f.name)), {_NO_ZONES})"
 
 
 def _near(candidates: str, x: str, y: str, metres: float) -> str:
-    close = f"filter({candidates}, f -> {_in_box('f', x, y)} AND {geo.boundary_near('f.edges', x, y, metres)})"
+    close = f"filter({candidates}, f -> NOT f.whole AND {_in_box('f', x, y)} AND {geo.boundary_near('f.edges', x, y, metres)})"
     return f"coalesce(transform({close}, f -> f.name), {_NO_NAMES})"
 
 
@@ -147,7 +181,7 @@ def _with_zones_regrouped(points: DataFrame, index: FenceIndex, buffer_m: float
     pairs = candidate_pairs(points.select(row_key, lng, lat), index, lng, lat)
     near = "false" if buffer_m is None else geo.boundary_near("fence.edges", lng, lat, buffer_m)
     found = (pairs.selectExpr(
-        row_key, f"CASE WHEN {geo.covers('fence.edges', lng, lat)} THEN struct(fence.area, fence.id, fence.name) END AS _zone",
+        row_key, f"CASE WHEN {covering('fence', lng, lat)} THEN struct(fence.area, fence.id, fence.name) END AS _zone",
         f"CASE WHEN {near} THEN fence.name END AS _near")
         .where("_zone IS NOT NULL OR _near IS NOT NULL").groupBy(row_key)
         .agg(F.collect_list("_zone").alias("_zones"), F.collect_list("_near").alias("_nears")))

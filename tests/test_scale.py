@@ -103,7 +103,7 @@ def test_fences_of_all_sizes(spark):
     squares = [(1, "dot", 10.0, 50.0, 0.004), (2, "city", 9.9, 49.9, 0.6), (3, "land", 0.0, 40.0, 30.0)]
     fences = spark.createDataFrame(
         [(n, name, [(x, y), (x + d, y), (x + d, y + d), (x, y + d), (x, y)]) for n, name, x, y, d in squares], "id long, name string, ring array<struct<lng:double,lat:double>>")
-    assert zones.fence_index(fences).levels == (0, 1, 2)
+    assert zones.fence_index(fences).levels == (0, 2, 5)
     points = spark.createDataFrame([(1, 10.002, 50.002), (2, 10.3, 50.3), (3, 25.0, 60.0), (4, -5.0, 50.0), (5, None, None)],
                                    "id long, lng double, lat double")
     found = {r.id: [z.name for z in r.zones] for r in zones.with_zones(points, fences).collect()}
