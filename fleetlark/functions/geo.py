@@ -111,8 +111,9 @@ def boundary_near(edges: str, x: str, y: str, metres: float) -> str:
     pad_y = f"{metres / METRES_PER_DEGREE_LAT * _SLACK!r}D"
     pad_x = f"({metres * _SLACK!r}D / (cos(radians({y})) * {METRES_PER_DEGREE_LNG}D))"
     picked = (f"filter({edges}, e -> least(e.y1, e.y2) <= {y} + {pad_y} AND greatest(e.y1, e.y2) >= {y} - {pad_y}"
-              f" AND least(e.x1, e.x2) <= {x} + {pad_x} AND greatest(e.x1, e.x2) >= {x} - {pad_x})")
-    return f"({edge_distance_m(picked, x, y)} <= {float(metres)!r}D)"
+              f" AND least(e.x1, e.x2) <= {x} + pad AND greatest(e.x1, e.x2) >= {x} - pad)")
+    # The lambda names the eastward pad, so that it is not worked out again for every edge.
+    return f"transform(array({pad_x}), pad -> {edge_distance_m(picked, x, y)} <= {float(metres)!r}D)[0]"
 
 
 def grown_box(metres: float) -> tuple[str, str]:

@@ -37,71 +37,92 @@ def idle_alerts(readings: DataFrame, threshold: Span = S.IDLE_THRESHOLD, idle_sp
     """
     if minutes not in ("threshold", "elapsed"):
         raise ValueError(f"unknown idle minutes: {minutes!r}")
-    limit = V.micros_of(threshold)
     slices = slices or ordered.find_slices(readings, ordered.by_vehicle(large_rows))
-    now = F.unix_micros("event_timestamp")
-    known = readings.where(F.col("speed_kph").isNotNull()).withColumn("_idle", F.col("speed_kph") <= idle_speed)
-    rows = ordered.history(known, slices).with_previous(
-        "_last", F.struct(F.col("_idle").alias("idle"), now.alias("at")))
-    begins = F.expr("_idle AND NOT coalesce(_last.idle, false)")
-    rows = rows.with_previous("_spell", F.struct(now.alias("start")), where=begins).rows()
-    start = F.when(begins, now).otherwise(F.col("_spell.start"))
-    due = (F.col("_idle") & (now - start >= limit)
-           & (begins | (F.col("_last.at") - start < limit)))
-    elapsed = F.floor((now - start) / 60_000_000)
-    counted = elapsed if minutes == "elapsed" else F.lit(limit // 60_000_000)
-    return (rows.where(due)
-            .select(*_ALERT_KEY, F.lit(S.IDLE).alias("alert_type"),
-                    F.col("event_timestamp").alias("detected_at"), "lat", "lng",
-                    F.timestamp_micros(start).alias("first_idle_at"), F.col("speed_kph"),
-                    counted.cast("long").alias("idle_minutes")))
+    rows = ordered.history(readings.where(F.col("speed_kph").isNotNull()), slices)
+    due = _with_idle(rows, threshold, idle_speed, gaps=False).rows().where("_due")
+    counted = "_idle_us div 60000000" if minutes == "elapsed" else str(V.micros_of(threshold) // 60_000_000)
+    return (due.select(*_ALERT_KEY, F.lit(S.IDLE).alias("alert_type"),
+                       F.col("event_timestamp").alias("detected_at"), "lat", "lng",
+                       F.expr("timestamp_micros(_at - _idle_us)").alias("first_idle_at"), F.col("speed_kph"),
+                       F.expr(f"CAST({counted} AS bigint)").alias("idle_minutes")))
+
+
+def _with_idle(rows: ordered.History, threshold: Span, idle_speed: float, gaps: bool = True) -> ordered.History:
+    """Adds ``_idle_us``, how long the idle spell of a reading has lasted, and ``_due``, true
+    at the one reading of a spell that raises the alert. With ``gaps`` there may be readings
+    without speed, which are passed over."""
+    limit = V.micros_of(threshold)
+    marked = rows.via(rows.df.withColumns({"_at": F.unix_micros("event_timestamp"),
+                                           "_idle": F.col("speed_kph") <= idle_speed}))
+    marked = marked.with_previous("_last", F.struct(F.col("_idle").alias("idle"), F.col("_at").alias("at")),
+                                  where=F.col("_idle").isNotNull() if gaps else None)
+    begins = "(_idle AND NOT coalesce(_last.idle, false))"
+    spells = marked.with_previous("_spell", F.struct(F.col("_at").alias("start")), where=F.expr(begins))
+    lasted = spells.df.withColumn("_idle_us", F.expr(f"CASE WHEN {begins} THEN 0L WHEN _idle THEN _at - _spell.start END"))
+    first = f"({begins} OR _last.at - _spell.start < {limit})"
+    return spells.via(lasted.withColumn("_due", F.expr(f"coalesce(_idle_us >= {limit} AND {first}, false)"))
+                      .drop("_idle", "_last", "_spell"))
 
 
 def zone_steps(readings: DataFrame, fences: DataFrame, buffer_m: float = S.ZONE_BUFFER_M, priority: str = "area",
                large_rows: int | None = None, slices: ordered.Slices | None = None) -> DataFrame:
-    """Readings with the vehicle's zone before (``prev_zone``) and at (``zone``) each of them.
+    """Readings with position, with the vehicle's zone before (``prev_zone``) and at
+    (``zone``) each of them, and the ``overlapping_zones`` where there is more than one."""
+    slices = slices or ordered.find_slices(readings, ordered.by_vehicle(large_rows))
+    placed = readings.where("lat IS NOT NULL AND lng IS NOT NULL")
+    return _with_zone(ordered.history(placed, slices), fences, buffer_m, priority).rows()
+
+
+def _with_zone(rows: ordered.History, fences: DataFrame, buffer_m: float, priority: str) -> ordered.History:
+    """Adds ``prev_zone``, ``zone`` and ``overlapping_zones``. A reading without position
+    keeps the zone.
 
     Outside all fences a vehicle keeps its zone while it stays within the buffer of it.
     Whether that holds is remembered as a mark: the zone entered, or an empty struct once
     the vehicle has left; the nearest mark before a reading tells its state.
     """
-    slices = slices or ordered.find_slices(readings, ordered.by_vehicle(large_rows))
     index = fence_index(fences, buffer_m)
-    rows = ordered.history(readings.where("lat IS NOT NULL AND lng IS NOT NULL"), slices)
     if index.joins_without_shuffle:
         # Zones are looked up after the shuffle the windows need anyway: it then moves bare
         # positions, and the geometry runs in evenly filled tasks.
         rows = rows.shuffled()
     rows = rows.via(with_zones(rows.df, fences, buffer_m, index=index).withColumn("_raw", chosen_zone(priority)))
-    inside, zone = F.expr("_raw IS NOT NULL"), F.struct(F.col("_raw").alias("zone"))
-    rows = rows.with_previous("_last_raw", zone, where=inside)
-    left = "(_raw IS NULL AND NOT coalesce(array_contains(near, _last_raw.zone), false))"
-    rows = rows.with_previous("_mark", zone, where=F.expr(f"_raw IS NOT NULL OR {left}"))
-    return (rows.rows().withColumns({
+    raw = F.struct(F.col("_raw").alias("zone"))
+    rows = rows.with_previous("_last_raw", raw, where=F.expr("_raw IS NOT NULL"))
+    left = ("(lat IS NOT NULL AND lng IS NOT NULL AND _raw IS NULL"
+            " AND NOT coalesce(array_contains(near, _last_raw.zone), false))")
+    rows = rows.with_previous("_mark", raw, where=F.expr(f"_raw IS NOT NULL OR {left}"))
+    return rows.via(rows.df.withColumns({
         "prev_zone": F.col("_mark.zone"),
         "zone": F.expr(f"CASE WHEN _raw IS NOT NULL THEN _raw WHEN NOT {left} THEN _mark.zone END"),
-        "overlapping_zones": F.expr("CASE WHEN size(zones) > 1 THEN transform(zones, z -> z.name) END"),
+        "overlapping_zones": F.expr("CASE WHEN size(zones) > 1 THEN sort_array(transform(zones, z -> z.name)) END"),
     }).drop("_raw", "_last_raw", "_mark", "zones", "near"))
 
 
+_ENTERS = "(zone IS NOT NULL AND NOT zone <=> prev_zone)"
+_EXITS = "(zone IS NULL AND prev_zone IS NOT NULL)"
+
+
+def _zone_alert_columns() -> dict[str, Column]:
+    """What a step that enters or leaves a zone tells."""
+    return {"alert_type": F.expr(f"IF({_ENTERS}, '{S.GEOFENCE_ENTER}', '{S.GEOFENCE_EXIT}')"),
+            "zone": F.expr("coalesce(zone, prev_zone)"),
+            "action": F.expr(f"IF({_ENTERS}, 'entered', 'exited')"),
+            "overlapping_zones": F.col("overlapping_zones"),
+            "zone_count": F.expr("CASE WHEN overlapping_zones IS NOT NULL THEN size(overlapping_zones) END")}
+
+
 def geofence_alerts(readings: DataFrame, fences: DataFrame, buffer_m: float = S.ZONE_BUFFER_M,
-                    priority: str = "area", large_rows: int | None = None,
-                    slices: ordered.Slices | None = None) -> DataFrame:
+                    priority: str = "area", large_rows: int | None = None) -> DataFrame:
     """Alerts on entering and leaving zones. Going straight from one zone into another is
     an entry only."""
     steps = zone_steps(readings.select(*_ALERT_KEY, "lat", "lng", "event_timestamp"),
-                       fences, buffer_m, priority, large_rows, slices)
-    enters = F.col("zone").isNotNull() & ~F.col("zone").eqNullSafe(F.col("prev_zone"))
-    exits = F.col("zone").isNull() & F.col("prev_zone").isNotNull()
-    return (steps.where(enters | exits)
-            .select(*_ALERT_KEY,
-                    F.when(enters, S.GEOFENCE_ENTER).otherwise(S.GEOFENCE_EXIT).alias("alert_type"),
+                       fences, buffer_m, priority, large_rows)
+    told = _zone_alert_columns()
+    return (steps.where(f"{_ENTERS} OR {_EXITS}")
+            .select(*_ALERT_KEY, told.pop("alert_type").alias("alert_type"),
                     F.col("event_timestamp").alias("detected_at"), "lat", "lng",
-                    F.when(enters, F.col("zone")).otherwise(F.col("prev_zone")).alias("zone"),
-                    F.when(enters, "entered").otherwise("exited").alias("action"),
-                    F.sort_array("overlapping_zones").alias("overlapping_zones"),
-                    F.size("overlapping_zones").alias("zone_count"))
-            .withColumn("zone_count", F.when(F.col("overlapping_zones").isNotNull(), F.col("zone_count"))))
+                    *[column.alias(name) for name, column in told.items()]))
 
 
 def _instant_text(instant: Column) -> Column:
@@ -135,13 +156,30 @@ def detect_alerts(readings: DataFrame, fences: DataFrame, *, speed_limit: float
                   idle_threshold: Span = S.IDLE_THRESHOLD, idle_speed: float = S.IDLE_SPEED_KPH,
                   buffer_m: float = S.ZONE_BUFFER_M, priority: str = "area",
                   large_rows: int | None = None) -> DataFrame:
-    """All alerts of a history as rows of the alert table; ``id`` is the reading's."""
+    """All alerts of a history as rows of the alert table; ``id`` is the reading's.
+
+    One pass: the history is read and shuffled once, and a reading gives up to three alerts.
+    """
+    narrow = readings.select(*_ALERT_KEY, "event_timestamp", "lat", "lng", "speed_kph")
     slices = ordered.find_slices(readings, ordered.by_vehicle(large_rows))
-    idle = idle_alerts(readings, idle_threshold, idle_speed, slices=slices)
-    zones = geofence_alerts(readings, fences, buffer_m, priority, slices=slices)
-    return (alert_rows(speeding_alerts(readings, speed_limit), speeding_details())
-            .unionByName(alert_rows(idle, idle_details()))
-            .unionByName(alert_rows(zones, zone_details())))
+    rows = _with_zone(ordered.history(narrow, slices), fences, buffer_m, priority)
+    rows = _with_idle(rows, idle_threshold, idle_speed).rows()
+    limit = f"{float(speed_limit)!r}D"
+    interesting = rows.where(f"speed_kph > {limit} OR _due OR {_ENTERS} OR {_EXITS}")
+    told = _zone_alert_columns()
+    zone_type = told.pop("alert_type")
+    named = (interesting
+             .withColumns({"_speeds": F.expr(f"speed_kph > {limit}"), "_moves": F.expr(f"{_ENTERS} OR {_EXITS}"),
+                           "_zone_type": zone_type, **told})
+             .withColumns({"threshold": F.expr(limit), "excess": F.expr(f"speed_kph - {limit}"),
+                           "first_idle_at": F.expr("timestamp_micros(_at - _idle_us)"),
+                           "idle_minutes": F.expr(f"{V.micros_of(idle_threshold) // 60_000_000}L")}))
+    alert = lambda when, kind, details: F.when(F.expr(when), F.struct(kind.alias("alert_type"), details.alias("details")))
+    found = F.filter(F.array(
+        alert("_speeds", F.lit(S.SPEEDING), speeding_details()), alert("_due", F.lit(S.IDLE), idle_details()),
+        alert("_moves", F.col("_zone_type"), zone_details())), lambda a: a.isNotNull())
+    return (named.select(*_ALERT_KEY, F.col("event_timestamp").alias("detected_at"), "lat", "lng", F.inline(found))
+            .select(*_ALERT_KEY, "alert_type", "details", "detected_at", "lat", "lng"))
 
 
 def classify(status: DataFrame, as_of: Instant, rule: str = "service", *, idle_minutes: float = 10,

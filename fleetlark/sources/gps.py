@@ -54,9 +54,9 @@ def route_events(parsed: DataFrame) -> DataFrame:
 
 
 def to_readings(routed: DataFrame, id_col: Column | None = None) -> DataFrame:
-    """Valid events as readings with their location point; the id defaults to the message
-    coordinates, which a replay reproduces."""
-    key = id_col if id_col is not None else F.xxhash64("topic", "partition", "offset")
+    """Valid events as readings with their location point. The id defaults to partition and
+    offset in one number: unique within a topic, and the same in a replay."""
+    key = id_col if id_col is not None else F.shiftleft(F.col("partition").cast("long"), 48) + F.col("offset")
     return routed.where(F.col("error_type").isNull()).select(
         key.alias("id"), F.col("vehicleId").alias("vehicle_id"), "lat", "lng",
         F.struct("lng", "lat").alias("location"), F.col("speedKph").alias("speed_kph"), "heading",

@@ -37,6 +37,7 @@ def same(left, right):
 def test_slicing_changes_nothing(skewed, fences, large_rows):
     same(detect.idle_alerts(skewed), detect.idle_alerts(skewed, large_rows=large_rows))
     same(detect.geofence_alerts(skewed, fences, 80), detect.geofence_alerts(skewed, fences, 80, large_rows=large_rows))
+    same(detect.detect_alerts(skewed, fences, buffer_m=80), detect.detect_alerts(skewed, fences, buffer_m=80, large_rows=large_rows))
     rounded = lambda df: df.withColumns({c: F.round(c, 7) for c, t in df.dtypes if t == "double"})
     same(rounded(spatial.leg_distance(skewed).drop("location")), rounded(spatial.leg_distance(skewed, large_rows).drop("location")))
     same(rounded(reports.running_stats(skewed)), rounded(reports.running_stats(skewed, large_rows)))
@@ -65,6 +66,15 @@ def test_idle_by_brute_force(skewed):
     assert sorted(found) == sorted(expected) and expected
 
 
+def test_one_pass_finds_what_the_detectors_find(skewed, fences):
+    together = detect.detect_alerts(skewed, fences, buffer_m=80)
+    idle, zone = detect.idle_alerts(skewed), detect.geofence_alerts(skewed, fences, 80)
+    apart = (detect.alert_rows(detect.speeding_alerts(skewed), detect.speeding_details())
+             .unionByName(detect.alert_rows(idle, detect.idle_details()))
+             .unionByName(detect.alert_rows(zone, detect.zone_details())))
+    same(together, apart)
+
+
 def test_zone_changes_by_brute_force(skewed, fences):
     looked = {r.id: r for r in zones.with_zones(skewed, fences, 80.0).collect()}
     expected, state = [], {}
