@@ -125,21 +125,16 @@ def geofence_alerts(readings: DataFrame, fences: DataFrame, buffer_m: float = S.
                     *[column.alias(name) for name, column in told.items()]))
 
 
-def _instant_text(instant: Column) -> Column:
-    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-
-
 def speeding_details() -> Column:
     """JSON details of a speeding alert, from the columns of ``speeding_alerts``."""
     return F.expr("to_json(named_struct('speedKph', speed_kph, 'threshold', threshold, 'excess', excess))")
 
 
 def idle_details() -> Column:
-    return F.to_json(F.struct(
-        F.col("idle_minutes").alias("idleMinutes"), _instant_text(F.col("first_idle_at")).alias("firstIdleTime"),
-        F.col("speed_kph").alias("currentSpeed"), F.format_string("%f,%f", "lat", "lng").alias("location"),
-        F.col("idle_minutes").alias("durationMinutes"),
-        F.format_string("Vehicle has been stationary for %d minutes", "idle_minutes").alias("reason")))
+    return F.expr("""to_json(named_struct('idleMinutes', idle_minutes,
+        'firstIdleTime', date_format(first_idle_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), 'currentSpeed', speed_kph,
+        'location', format_string('%f,%f', lat, lng), 'durationMinutes', idle_minutes,
+        'reason', format_string('Vehicle has been stationary for %d minutes', idle_minutes)))""")
 
 
 def zone_details() -> Column:

@@ -6,7 +6,7 @@ large set of depot geofences. Every row of the input is used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlark import schemas as S
@@ -31,59 +31,40 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
-def _vehicle() -> Column:
-    number = F.col("user_id").cast("string")
-    return F.concat(F.lit("VH-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0")))
-
-
-def _lat() -> Column:
-    return (F.lit(248800) + (F.col("event_id") * 7919 + F.col("user_id") * 104729) % 600) / F.lit(10000.0)
-
-
-def _lng() -> Column:
-    return (F.lit(6700000) + (F.col("event_id") * 6101 + F.col("user_id") * 15485863) % 6000) / F.lit(100000.0)
+_NUMBER = "CAST(user_id AS string)"
+_VEHICLE = f"concat('VH-', lpad({_NUMBER}, greatest(4, length({_NUMBER})), '0'))"
+_LAT = "(248800 + (event_id * 7919 + user_id * 104729) % 600) / 10000D"
+_LNG = "(6700000 + (event_id * 6101 + user_id * 15485863) % 6000) / 100000D"
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings table; every 71st row still lacks its location point."""
-    return events(spark, sf_dir).select(
-        F.col("event_id").alias("id"), _vehicle().alias("vehicle_id"),
-        _lat().alias("lat"), _lng().alias("lng"),
-        F.when(F.col("event_id") % 71 != 0, F.struct(_lng().alias("lng"), _lat().alias("lat"))).alias("location"),
-        F.col("value").alias("speed_kph"),
-        (F.col("event_id") * 37 % 360).cast("double").alias("heading"),
-        F.col("ts").alias("event_timestamp"), F.col("ts").alias("created_at"))
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS id", f"{_VEHICLE} AS vehicle_id", f"{_LAT} AS lat", f"{_LNG} AS lng",
+        f"CASE WHEN event_id % 71 != 0 THEN struct({_LNG} AS lng, {_LAT} AS lat) END AS location",
+        "value AS speed_kph", "CAST(event_id * 37 % 360 AS double) AS heading",
+        "ts AS event_timestamp", "ts AS created_at")
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    return events(spark, sf_dir).select(
-        F.col("event_id").alias("id"), _vehicle().alias("vehicle_id"),
-        F.when(kind == "click", S.SPEEDING).when(kind == "view", S.GEOFENCE_ENTER)
-        .when(kind == "signup", S.GEOFENCE_EXIT).when(kind == "purchase", S.IDLE)
-        .otherwise("UNKNOWN").alias("alert_type"),
-        F.col("props").alias("details"), F.col("ts").alias("detected_at"),
-        _lat().alias("lat"), _lng().alias("lng"))
+    kinds = {"click": S.SPEEDING, "view": S.GEOFENCE_ENTER, "signup": S.GEOFENCE_EXIT, "purchase": S.IDLE}
+    cases = " ".join(f"WHEN '{kind}' THEN '{alert}'" for kind, alert in kinds.items())
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS id", f"{_VEHICLE} AS vehicle_id", f"CASE event_type {cases} ELSE 'UNKNOWN' END AS alert_type",
+        "props AS details", "ts AS detected_at", f"{_LAT} AS lat", f"{_LNG} AS lng")
 
 
 def gps_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw messages, some of them broken: cut off, without latitude, without time,
     or with an identifier that is too long."""
-    eid = F.col("id")
-    good = readings(spark, sf_dir).select(
-        "id", "event_timestamp", "vehicle_id",
-        F.struct(
-            F.when(eid % 101 == 0, F.rpad("vehicle_id", 60, "X")).otherwise(F.col("vehicle_id")).alias("vehicleId"),
-            F.when(eid % 89 != 0, F.col("lat")).alias("lat"), F.col("lng"),
-            F.col("speed_kph").alias("speedKph"), "heading",
-            F.when(eid % 83 != 0, F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
-        ).alias("body"))
-    text = F.to_json("body")
-    return good.select(
-        F.col("vehicle_id").alias("key"),
-        F.when(eid % 97 == 0, F.expr("left(to_json(body), 40)")).otherwise(text).alias("value"),
-        F.lit("vehicle-gps").alias("topic"), (eid % 3).cast("int").alias("partition"),
-        F.floor(eid / 3).alias("offset"), F.col("event_timestamp").alias("received_at"))
+    body = """named_struct(
+        'vehicleId', IF(id % 101 = 0, rpad(vehicle_id, 60, 'X'), vehicle_id), 'lat', IF(id % 89 != 0, lat, NULL),
+        'lng', lng, 'speedKph', speed_kph, 'heading', heading,
+        'timestamp', IF(id % 83 != 0, date_format(event_timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), NULL))"""
+    return (readings(spark, sf_dir).selectExpr("id", "event_timestamp", "vehicle_id", f"to_json({body}) AS text")
+            .selectExpr("vehicle_id AS key", "IF(id % 97 = 0, left(text, 40), text) AS value",
+                        "'vehicle-gps' AS topic", "CAST(id % 3 AS int) AS partition",
+                        "floor(id / 3) AS offset", "event_timestamp AS received_at"))
 
 
 def site_fences(spark: SparkSession) -> DataFrame:
