@@ -10,9 +10,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from fleetlark.schemas import EARTH_RADIUS_KM, METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LNG
 
 # Areas are compared to this many decimals of a square degree.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -29,13 +26,3 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session zone: every event time in the engine is UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder all executors see, below the one the cluster names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="fleetlark-")
-    return os.path.join(root, name)

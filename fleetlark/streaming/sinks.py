@@ -21,8 +21,9 @@ _KEPT_VERSIONS = 2
 
 def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int = 0) -> None:
     """Writes rows of one batch by the date of ``time``. Ranges over (date, vehicle, time)
-    keep tasks even when most rows are of one day or one vehicle."""
-    order = ["event_date", *[c for c in ("vehicle_id", time, "id") if c in rows.columns]]
+    keep tasks even when most rows are of one day or one vehicle; dead letters, which may
+    share key and time, are told apart by their payload."""
+    order = ["event_date", *[c for c in ("vehicle_id", "key", time, "id", "payload") if c in rows.columns]]
     dated = rows.withColumns({"event_date": F.to_date(time), "batch_id": F.lit(int(batch_id)).cast("long")})
     (dated.repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -51,8 +52,8 @@ def write_dead_letters(letters: DataFrame, path: str, batch_id: int = 0) -> None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table without its layout columns; filters on time should also name
-    ``event_date`` through ``fleetlark.streaming.sinks.between_days``."""
+    """A stored table, with its layout columns ``event_date`` and ``batch_id``; for a range
+    of times ``between_days`` reads only the days concerned."""
     return spark.read.parquet(path)
 
 
@@ -89,7 +90,8 @@ def upsert_status(batch: DataFrame, path: str, batch_id: int) -> None:
     merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
     for old in _versions(spark, path):
         if old < batch_id - _KEPT_VERSIONS and old != version:
-            _filesystem(spark, path, f"v={old}")[0].delete(_filesystem(spark, path, f"v={old}")[1], True)
+            fs, folder = _filesystem(spark, path, f"v={old}")
+            fs.delete(folder, True)
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
