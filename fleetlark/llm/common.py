@@ -6,6 +6,7 @@ import sys
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,23 +111,27 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def may_match(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows whose key is among the wanted ones, and perhaps some others: a one-hash filter of
-    fixed size, applied before the shuffle of a join so that it moves fewer rows. It loses no
-    match at any size; with very many wanted keys it merely stops saving work."""
+def match_flag(key: Column, wanted: DataFrame, wanted_key: str) -> Column:
+    """Whether a key may be among the wanted ones: a one-hash filter of fixed size. It calls no
+    wanted key absent at any size; with very many wanted keys it calls nearly all present."""
     bucket = F.pmod(F.xxhash64(F.col(wanted_key)), F.lit(FILTER_BITS)).cast("int")
-    words = (wanted.select(bucket.alias("bit")).distinct()
-             .groupBy((F.col("bit") / 4096).cast("int").alias("block"))
-             .agg(F.collect_list((F.col("bit") % 4096).cast("short")).alias("bits")).toArrow())
+    rows = (wanted.where(F.col(wanted_key).isNotNull()).select(bucket.alias("bit")).distinct()
+            .groupBy((F.col("bit") / 4096).cast("int").alias("block"))
+            .agg(F.collect_list((F.col("bit") % 4096).cast("short")).alias("bits")).toArrow())
     flags = np.zeros(FILTER_BITS, bool)
-    for block, bits in zip(words["block"].to_pylist(), words["bits"]):
+    for block, bits in zip(rows["block"].to_pylist(), rows["bits"], strict=True):
         flags[block * 4096 + np.asarray(bits.values, np.int64)] = True
     packed = np.packbits(flags)
 
     @F.pandas_udf("boolean")
-    def wanted_bucket(bits):
+    def present(bits: pd.Series) -> pd.Series:
         at = bits.to_numpy()
-        import pandas as pd
         return pd.Series((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
 
-    return rows.where(F.col(key).isNotNull() & wanted_bucket(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).cast("int")))
+    return key.isNotNull() & present(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).cast("int"))
+
+
+def may_match(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key is among the wanted ones, and perhaps some others: taken before the
+    shuffle of a join so that it moves fewer rows."""
+    return rows.where(match_flag(F.col(key), wanted, wanted_key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from fleetlark.llm.fingerprint import op3_fingerprint
 from fleetlark.llm.ngram_join import op7_ngram_join
 from fleetlark.llm.pii import op1_pii
+from fleetlark.llm.vectors import op10_near_vectors
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_fingerprint, op7_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_fingerprint, op7_ngram_join, op10_near_vectors)}
 ORACLES: dict[str, str] = {}
