@@ -4,16 +4,19 @@ Documents link when the Jaccard similarity of their sets of distinct word shingl
 threshold; the join returns every document's set size and the smallest id reachable by links.
 
 1. Documents of equal sets form a class; its smallest id stands for it from here on.
-2. All shingles have one global order: rare first (frequent ones are counted over all
-   documents), then by hash. Two linked sets share a shingle among the first
-   ``n - ceil(t n) + 1`` of each, so only documents that share such a key need comparing.
+2. Let ``s = n - ceil(t n)`` be how many shingles of a set may lack in a linked one. Of each set
+   its ``s + k`` smallest hashes are its keys: two linked sets have at least ``k`` keys in common
+   (``k`` is ``s // 2 + 1``). Each document then leaves out its ``k - 1`` keys that most documents
+   have, counted exactly over all keys; the rarest common key is never among them, so linked
+   documents still share a key, while documents that merely have passages in common do not.
 3. Documents that share a key form a block; blocks of over ``BLOCK_SHINGLES`` shingles are cut
    into parts, and each pair of parts is a block of its own, so no task takes a large group.
    In a block each document searches an inverted index by DivideSkip: the short lists are
    merged over a heap, the long ones probed by bisection, and those that reach the required
    overlap are kept. A block returns a spanning forest, never all pairs.
 4. The first round of blocks takes one key for each document. The second takes every key whose
-   documents still lie in different components, so that no link between components is missed.
+   documents still lie in different components, so that no link between components is missed;
+   documents that hang together through such keys make one block where they fit one.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked
 with nothing; rows of equal text, and rows that repeat a doc_id, share one class; a null doc_id
@@ -31,68 +34,42 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlark.llm.common import checkpoint, components, may_match, mix, table, text_or_empty, utf8
 from fleetlark.llm.shingles import shingle_sets
 
 BLOCK_SHINGLES = 600_000
-# Counters of frequent shingles, and the share of a task's documents from which one is counted.
-_COUNTERS = 1 << 20
-_FREQUENT = 0.002
 # Weight of a probe against a merge step in DivideSkip's choice of long lists.
 _MU = 0.0085
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Document counts of frequent shingles by counter (0 for the others). They only fix the
-    order of shingles, for which any counts give right results, so each task reports just the
-    counters that stand out among its documents; what is collected is bounded by _COUNTERS."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(_COUNTERS, np.int64), 0
-        for batch in batches:
-            for keys in shingle_sets(*utf8(batch.column(0)), width):
-                n += 1
-                np.add.at(counts, (keys & np.uint64(_COUNTERS - 1)).astype(np.int64), 1)
-        found = np.flatnonzero(counts > 8 + _FREQUENT * n + 3 * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["counter", "docs"])
-
-    rows = (docs.select(text_or_empty().alias("text")).mapInArrow(count, "counter long, docs long")
-            .groupBy("counter").agg(F.sum("docs").alias("docs")).toArrow())
-    out = np.zeros(_COUNTERS, np.int64)
-    out[rows["counter"].to_numpy()] = rows["docs"].to_numpy()
-    return out
-
-
-def _signatures(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """Per document: set size, a 128-bit digest of the set, and its prefix in the global order."""
-    at = np.flatnonzero(frequent)
-    known = at.astype(np.int32), frequent[at]
-
+def _signatures(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Per document: set size, a 128-bit digest of the set, and its smallest hashes."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(_COUNTERS, np.int64)
-        weight[known[0]] = known[1]
         for batch in batches:
-            sizes, first, second, prefixes = [], [], [], []
+            sizes, first, second, keys_of = [], [], [], [np.zeros(0, np.int64)]
             for keys in shingle_sets(*utf8(batch.column(1)), width):
                 n = len(keys)
                 sizes.append(n)
                 first.append(int(keys.sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(mix(keys + np.uint64(n)).sum(dtype=np.uint64).astype(np.int64)))
-                if n:
-                    order = np.argsort(weight[(keys & np.uint64(_COUNTERS - 1)).astype(np.int64)], kind="stable")
-                    prefixes.append(keys[order[:n - _ceil(t * n) + 1]].view(np.int64))
-                else:
-                    prefixes.append(keys.view(np.int64))
-            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
+                spare = n - _ceil(t * n)
+                keys_of.append(keys[:spare + _surplus(spare) + 1 if n else 0].view(np.int64))
+            ends = np.cumsum([len(x) for x in keys_of], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys_of)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists],
-                ["doc_id", "n_shingles", "set_a", "set_b", "prefix"])
+                ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(
-        sign, "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>")
+        sign, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+
+
+def _surplus(spare: int) -> int:
+    """Keys that a document leaves out, being the most frequent of its own."""
+    return spare // 2
 
 
 def _ceil(x: Fraction) -> int:
@@ -198,8 +175,12 @@ def block_links(ids: list[int], sets: list[np.ndarray], t: Fraction) -> list[tup
 
 
 def _search(docs: DataFrame, postings: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Links found among the documents of each key. postings: ``(key, doc_id, n)``."""
-    sizes = (postings.groupBy("key").agg(F.sum("n").alias("total"))
+    """Links found among the documents of each key. postings: ``(key, doc_id, n)``. Of keys that
+    the same documents have (known by count and two hashes) one is searched."""
+    who = F.xxhash64("doc_id")
+    lists = postings.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.bit_xor(who).alias("x"),
+                                        F.sum(F.shiftright(who, 24)).alias("y"))
+    sizes = (lists.groupBy("size", "total", "x", "y").agg(F.min("key").alias("key"))
              .select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -215,27 +196,47 @@ def _search(docs: DataFrame, postings: DataFrame, width: int, t: Fraction) -> Da
     return blocks.join(texts, "doc_id").groupBy("block").applyInPandas(search, "a long, b long")
 
 
+def _shared_keys(signed: DataFrame, t: Fraction) -> DataFrame:
+    """Rows ``(key, df, doc_id, n)`` of the keys that a document keeps and shares with another.
+    A doc_id of several texts takes part with each of them."""
+    keys = (signed.dropDuplicates(["doc_id", "set_a", "set_b"])
+            .select("doc_id", F.col("n_shingles").alias("n"), "set_a", F.explode("keys").alias("key")))
+    counted = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")), "key")
+    ceil = F.expr(f"CAST((n * {t.numerator} + {t.denominator - 1}) DIV {t.denominator} AS long)")
+    most = Window.partitionBy("doc_id", "n", "set_a").orderBy(F.col("df").desc(), F.col("key").desc())
+    kept = counted.withColumn("rank", F.row_number().over(most)).where(F.col("rank") > F.floor((F.col("n") - ceil) / 2))
+    return kept.where("df > 1").select("key", "df", "doc_id", "n")
+
+
+def _by_cluster(postings: DataFrame) -> DataFrame:
+    """Regroups postings by what hangs together through keys, where that fits one block: there
+    each document is searched once instead of once for each key. What is larger stays as it is."""
+    first = postings.groupBy("key").agg(F.min("doc_id").alias("b"))
+    clusters = components(postings.join(first, "key").select(F.col("doc_id").alias("a"), "b"))
+    placed = postings.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
+    whole = placed.select("component", "doc_id", "n").distinct()
+    small = whole.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") <= BLOCK_SHINGLES).select("component")
+    return checkpoint(whole.join(small, "component").select(F.xxhash64(F.lit("cluster"), "component").alias("key"), "doc_id", "n")
+                      .unionByName(placed.join(small, "component", "leftanti").select("key", "doc_id", "n")))
+
+
 def ngram_jaccard_join(docs: DataFrame, threshold: float | str = "0.9", width: int = 3) -> DataFrame:
     """Rows ``(doc_id, n_shingles, component_id)``, one for each row of ``docs``."""
     t = Fraction(str(threshold))
     if not 0 < t <= 1:
         raise ValueError("the threshold must lie above 0 and not above 1")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = checkpoint(_signatures(docs, width, t, frequent_shingles(docs, width)))
+    signed = checkpoint(_signatures(docs, width, t))
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    one = (filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "leftsemi")
-           .dropDuplicates(["doc_id", "set_a", "set_b"]))
-    postings = one.select(F.posexplode("prefix").alias("place", "key"), "doc_id", F.col("n_shingles").alias("n"))
-    shared = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    postings = checkpoint(postings.join(shared, "key"))
-
-    first = postings.groupBy("doc_id", "n").agg(F.min(F.struct("place", "key")).getField("key").alias("key"))
+    postings = checkpoint(_shared_keys(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "leftsemi"), t))
+    first = postings.groupBy("doc_id", "n").agg(F.min(F.struct("df", "key")).getField("key").alias("key"))
     links = checkpoint(_search(docs, first, width, t))
     found = components(links)
     placed = postings.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = checkpoint(postings.join(apart, "key"))
+    rest = _by_cluster(rest)
     copies = filled.join(classes, ["n_shingles", "set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(_search(docs, rest, width, t)).unionByName(copies))
     return (signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
