@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlark.llm.common import table, text_or_empty
+from fleetlark.llm.common import table
 from fleetlark.llm.lattice import MODEL, Lattice, Vocabulary, read_model, units
 
 UNDETERMINED = "und"
@@ -74,10 +76,17 @@ def fit(train: DataFrame, sample: int = SAMPLE, model: str = MODEL) -> tuple[lis
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str = MODEL) -> DataFrame:
-    """Rows ``(doc_id, text_hash, lang_pred, score)``; the score is the posterior of the prediction."""
+    """Rows ``(doc_id, lang_pred, score)``; the score is the posterior of the prediction."""
+    return classified(docs.select("doc_id", "text"), langs, logp, model).drop("text")
+
+
+def classified(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str = MODEL) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` to the documents (columns of these names are replaced)."""
     data = read_model(model)
+    docs = docs.drop("lang_pred", "score")
+    names, place = docs.columns, docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(data)
         known: dict[str, int] = {}
         values = np.zeros((0, len(langs)))
@@ -87,7 +96,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str = MO
             return lattice.totals(lattice.forward(lattice.weights(logp, vocabulary)))
 
         for batch in batches:
-            texts, out, a = batch["text"].tolist(), [], 0
+            texts, out, a = [t or "" for t in batch.column(place).to_pylist()], [], 0
             while a < len(texts):
                 b, size = a, 0
                 while b < len(texts) and (b == a or size + len(texts[b]) <= _SLICE_CHARS):
@@ -97,22 +106,21 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str = MO
                     known.clear()
                     values = values[:0]
                 before = len(known)
-                found = [[known.setdefault(u, len(known)) for u in units(t)] if any(map(str.isalpha, t)) else None for t in texts[a:b]]
+                found = [[known.setdefault(u, len(known)) for u in units(t)] if langs and any(map(str.isalpha, t)) else None for t in texts[a:b]]
                 if len(known) > before:
                     values = np.concatenate((values, scored(list(known)[before:])))
                 for f in found:
-                    if f is None or not langs:
+                    if f is None:
                         out.append((UNDETERMINED, 0.0))
                         continue
                     total = values[f].sum(axis=0)
                     best = int(total.argmax())
                     out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
                 a = b
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"],
-                                "lang_pred": [x[0] for x in out], "score": [x[1] for x in out]})
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*names, "lang_pred", "score"])
 
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, lang_pred string, score double")
+    return docs.mapInArrow(run, docs.schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, model: str = MODEL) -> DataFrame:
