@@ -120,7 +120,7 @@ def classified(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str =
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, model: str = MODEL) -> DataFrame:

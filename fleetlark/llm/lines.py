@@ -144,10 +144,18 @@ def similar_lines(docs: DataFrame, threshold: float | str = "0.8") -> tuple[Data
     blocks = (members.join(sizes, "key").select("key", "line", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
               .select("line", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block")))
     # texts come once for each document, and leave it as the lines asked for
-    wanted_nos = firsts.groupBy("text_hash").agg(F.collect_set(F.struct("no", "line")).alias("asked"))
-    texts = (may_match(docs.select("text_hash", "text"), "text_hash", firsts, "text_hash").join(wanted_nos, "text_hash")
-             .select(F.split("text", "\n", -1).alias("parts"), F.explode("asked").alias("ask"))
-             .select("ask.line", F.element_at("parts", F.col("ask.no") + 1).alias("content")).dropDuplicates(["line"]))
+    asked = firsts.groupBy("text_hash").agg(F.collect_list("no").alias("nos"), F.collect_list("line").alias("names"))
+
+    @F.pandas_udf("array<string>")
+    def picked(texts: pd.Series, nos: pd.Series) -> pd.Series:
+        def pick(text: str, wanted: np.ndarray) -> list[str]:
+            lines = text.split("\n")
+            return [lines[k] for k in wanted]
+        return pd.Series([pick(t, w) for t, w in zip(texts, nos, strict=True)])
+
+    texts = (may_match(docs.select("text_hash", "text"), "text_hash", firsts, "text_hash").dropDuplicates(["text_hash"]).join(asked, "text_hash")
+             .select(F.explode(F.arrays_zip(F.col("names"), picked("text", "nos").alias("content"))).alias("one"))
+             .select(F.col("one.names").alias("line"), F.col("one.content").alias("content")))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         lines = [x.strip() for x in rows["content"]]
