@@ -140,7 +140,11 @@ def stats_stream(readings: DataFrame, window: str = "5 minutes", lateness: str =
 
 def run_stats(stats: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     def store(batch: DataFrame, batch_id: int) -> None:
-        sinks.write_partitioned(batch, path, "window_start", batch_id)
+        batch.persist()  # the range partitioning of the write reads it twice
+        try:
+            sinks.write_partitioned(batch, path, "window_start", batch_id)
+        finally:
+            batch.unpersist()
 
     return _started(stats.writeStream.option("checkpointLocation", checkpoint)
                     .outputMode("append").foreachBatch(store), available_now)
