@@ -19,7 +19,7 @@ from fleetlark.functions import values as V
 _KEPT_VERSIONS = 2
 
 
-def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int = 0) -> None:
+def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int) -> None:
     """Writes rows of one batch by the date of ``time``. Ranges over (date, vehicle, time)
     keep tasks even when most rows are of one day or one vehicle; dead letters, which may
     share key and time, are told apart by their payload."""
@@ -30,22 +30,22 @@ def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int = 0)
      .partitionBy("event_date", "batch_id").parquet(path))
 
 
-def write_readings(readings: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Appends readings, filling the location point where position is known."""
+def write_readings(readings: DataFrame, path: str, batch_id: int) -> None:
+    """Writes a batch of readings, replacing what that batch wrote before, and filling the location point where position is known."""
     point = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lng", "lat"))
     located = readings.withColumn("location", F.coalesce("location", point) if "location" in readings.columns else point)
     write_partitioned(located, path, "event_timestamp", batch_id)
 
 
-def write_alerts(alerts: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Appends alerts with a location point; ``details`` that are not yet text become JSON."""
+def write_alerts(alerts: DataFrame, path: str, batch_id: int) -> None:
+    """Writes a batch of alerts, replacing what that batch wrote before, with a location point; ``details`` that are not yet text become JSON."""
     if dict(alerts.dtypes)["details"] != "string":
         alerts = alerts.withColumn("details", F.to_json("details"))
     point = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lng", "lat"))
     write_partitioned(alerts.withColumn("location", point), path, "detected_at", batch_id)
 
 
-def write_dead_letters(letters: DataFrame, path: str, batch_id: int = 0) -> None:
+def write_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
     """Appends dead letters under the date they failed."""
     failed = F.timestamp_millis(F.col("headers")["dlq-failed-at"].cast("long"))
     write_partitioned(letters.withColumn("failed_at", failed), path, "failed_at", batch_id)

@@ -25,14 +25,14 @@ def test_a_repeated_batch_leaves_one_copy(spark, readings, folder):
 
 
 def test_vehicle_filter_reaches_a_stored_table(spark, readings, folder):
-    sinks.write_readings(readings, f"{folder}/r")
+    sinks.write_readings(readings, f"{folder}/r", 1)
     plan = sinks.read_table(spark, f"{folder}/r").where("vehicle_id = 'VH-0008'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(vehicle_id,VH-0008)" in plan
 
 
 def test_delete_from_a_stored_table(spark, sf, folder):
     path, alerts = f"{folder}/alerts", tables.alerts(spark, sf)
-    sinks.write_alerts(alerts, path)
+    sinks.write_alerts(alerts, path, 1)
     gone = (F.col("vehicle_id") == "VH-0008") | (F.to_date("detected_at") == F.lit("2024-01-10").cast("date"))
     wanted = maintain.delete_where(alerts, gone)
     assert maintain.delete_from_table(spark, path, gone) == wanted.deleted_count()
@@ -45,7 +45,7 @@ def test_delete_from_a_stored_table(spark, sf, folder):
 
 def test_retention_of_a_stored_table(spark, sf, folder):
     path, alerts = f"{folder}/alerts", tables.alerts(spark, sf)
-    sinks.write_alerts(alerts, path)
+    sinks.write_alerts(alerts, path, 1)
     maintain.drop_before(spark, path, "detected_at", "2024-01-20 06:00:00")
     left = sinks.read_table(spark, path)
     assert left.count() == alerts.where("detected_at >= timestamp'2024-01-20 06:00:00'").count()
