@@ -7,8 +7,6 @@ combines those of its words. Sets are compared by these 64-bit hashes.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 from fleetlark.llm.common import mix, slices
@@ -17,16 +15,11 @@ _P = 0x9E3779B97F4A7C15
 _STEPS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F)
 
 
-@functools.cache
-def _tables():
-    byte = np.arange(256, dtype=np.uint64)
-    byte[65:91] += np.uint64(32)
-    space = np.zeros(256, bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
-    return byte + np.uint64(1), space
+_CODE = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_CODE[65:91] += np.uint64(32)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
-@functools.lru_cache(2)
 def _powers(size: int):
     """Powers of _P and of its inverse modulo 2**64."""
     out = []
@@ -37,22 +30,24 @@ def _powers(size: int):
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of the given rows."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: dict[int, list[np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of the given rows. ``powers`` keeps what one call works out for the next."""
     begin, end = int(offsets[0]), int(offsets[-1])
     if begin == end:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    code, space = _tables()
     text = data[begin:end]
-    blank = space[text]
+    blank = _SPACE[text]
     edge = np.zeros(len(text) + 1, bool)
     edge[offsets - begin] = True
     first = ~blank & (np.concatenate(([True], blank[:-1])) | edge[:-1])
     last = ~blank & (np.concatenate((blank[1:], [True])) | edge[1:])
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
     size = 1 << max(20, int(len(text)).bit_length())
-    power, inverse = _powers(size)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code[text] * power[:len(text)], dtype=np.uint64)))
+    powers = {} if powers is None else powers
+    if size not in powers:
+        powers[size] = _powers(size)
+    power, inverse = powers[size]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[text] * power[:len(text)], dtype=np.uint64)))
     hashes = (total[stops] - total[starts]) * inverse[starts]
     return mix(hashes + (stops - starts).astype(np.uint64) * np.uint64(_STEPS[4])), np.searchsorted(offsets[1:] - begin, starts, "right")
 
@@ -60,8 +55,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3):
     """Per row the sorted array of its distinct shingle hashes. A row of fewer words than the
     width has its whole sequence as its one shingle; a row without words has none."""
+    powers: dict[int, list[np.ndarray]] = {}
     for a, b in slices(offsets):
-        words, row = word_hashes(data, offsets[a:b + 1])
+        words, row = word_hashes(data, offsets[a:b + 1], powers)
         count = np.bincount(row, minlength=b - a)
         at = np.concatenate(([0], np.cumsum(count)))
         if len(words) >= width:
