@@ -8,11 +8,12 @@ shortage is made good among siblings first, and by an ancestor's siblings only w
 A leaf with a budget of several times its tokens repeats whole epochs, then takes the longest
 prefix that fits from one more epoch, in an order drawn by the md5 of seed, epoch and doc_id.
 The prefix is found from sums over hash ranges of about ``RANGE_DOCS`` documents, so that no leaf is sorted in one
-task; all that comes back to the documents is the last hash of each leaf's prefix, and texts are never shuffled.
+task; all that comes back to the documents is the last hash of each leaf's prefix; texts are shuffled only where there are over
+``BROADCAST_LEAVES`` leaves.
 
 Defined cases: null domain, language or source is ``unknown``; null and empty texts have no token
 and ride along with any prefix that passes them. Rows that repeat a doc_id are ordered as one. An
-empty table gives an empty result. Other columns are left as they are.
+empty table gives an empty result. Other columns are left as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlark.llm.common import table
+from fleetlark.llm.common import checkpoint, table
 
 LEVELS = ("_domain", "_lang", "_source")
 RANGE_DOCS = 4096
+# Documents of one leaf, of a hot source too, meet their leaf's row in this many parts.
+_PARTS = 64
+# The plan is broadcast up to so many rows (counted first), and joined in parts beyond.
+BROADCAST_LEAVES = 100_000
 # The domain of a source: by its number where its name ends in one.
 DOMAIN = ("CASE WHEN try_cast(substring(source, 4) AS int) % 2 = 0 THEN 'web' WHEN try_cast(substring(source, 4) AS int) % 2 = 1 THEN 'curated'"
           " ELSE 'unknown' END")
@@ -67,10 +72,17 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
             .drop("cap_to", "weight_to", "weight_all", "full", "rest", "open"))
 
 
+def _with_leaf(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Documents with the columns of their leaf, each leaf's row standing once in every part."""
+    part = F.pmod(F.xxhash64("doc_id", "_n"), F.lit(_PARTS)).cast("int")
+    parted = leaves.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    return docs.withColumn("_part", part).join(parted, [*LEVELS, "_part"]).drop("_part")
+
+
 def leaf_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed: int = 0) -> DataFrame:
     """Per leaf ``(*LEVELS, epochs, last)``: its whole epochs, and the last hash of its prefix of
     the next (null if that is empty)."""
-    rows = docs.select(*LEVELS, "doc_id", tokens().alias("n"))
+    rows = docs.select(*LEVELS, "doc_id", "_n", F.col("_n").alias("n"))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).withColumn("cap", F.col("tokens") * epochs)
     nodes, above = leaves, []
     for level, name in enumerate(LEVELS):
@@ -86,7 +98,7 @@ def leaf_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed
     leaves = nodes.select(*LEVELS, F.ceil(F.col("docs") / RANGE_DOCS).cast("long").alias("ranges"),
                           F.expr("CASE WHEN tokens > 0 THEN parent_budget DIV tokens ELSE 0 END").alias("epochs"),
                           F.expr("CASE WHEN tokens > 0 THEN parent_budget % tokens ELSE 0 END").alias("rest"))
-    hashed = (rows.join(leaves, list(LEVELS)).withColumn("hash", _hash(seed))
+    hashed = (_with_leaf(rows, leaves).withColumn("hash", _hash(seed))
               .withColumn("range", F.expr("shiftright(CAST(conv(substring(hash, 1, 8), 16, 10) AS long) * ranges, 32)")))
     sums = hashed.groupBy(*LEVELS, "range", "rest").agg(F.sum("n").alias("n"))
     ranges = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -101,16 +113,21 @@ def _hash(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, seed: int = 0, domain: str = DOMAIN) -> DataFrame:
-    """Adds ``copies``: how often a document stands in the mix (0: not at all)."""
-    placed = docs.withColumns({"_domain": F.coalesce(F.expr(domain), F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")),
-                               "_source": F.coalesce("source", F.lit("unknown"))})
-    plan = leaf_plan(placed, weights, share, epochs, seed)
-    out = placed.join(plan, list(LEVELS))
-    return out.select(*docs.columns, F.col("_domain").alias("domain"),
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, seed: int = 0, domain: str = DOMAIN,
+                size: Column | None = None) -> DataFrame:
+    """Adds ``domain`` and ``copies``, how often a document stands in the mix (0: not at all); columns of
+    these names are replaced. ``size`` is a document's number of tokens (default: ``tokens()``)."""
+    rest = [c for c in docs.columns if c not in ("domain", "copies")]
+    placed = docs.select(F.struct(*rest).alias("_row"), "doc_id", F.coalesce(F.expr(domain), F.lit("unknown")).alias("_domain"),
+                         F.coalesce("lang", F.lit("unknown")).alias("_lang"), F.coalesce("source", F.lit("unknown")).alias("_source"),
+                         (tokens() if size is None else size).alias("_n"))
+    plan = checkpoint(leaf_plan(placed, weights, share, epochs, seed))
+    few = plan.count() <= BROADCAST_LEAVES
+    out = placed.join(F.broadcast(plan), list(LEVELS)) if few else _with_leaf(placed, plan)
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in rest], F.col("_domain").alias("domain"),
                       (F.col("epochs") + F.coalesce((_hash(seed) <= F.col("last")).cast("long"), F.lit(0))).alias("copies"))
 
 
 def op9_mixing(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return mix_sources(docs).select("doc_id", "domain", "lang", "source", tokens().alias("n_tokens"), "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", tokens().alias("n_tokens"))
+    return mix_sources(docs, size=F.col("n_tokens")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")

@@ -65,3 +65,12 @@ def test_odd_rows(spark, make_docs):
     assert run(docs.limit(0)) == {}
     twice = docs.union(docs).unionByName(docs.withColumn("doc_id", docs["doc_id"] * 0 + 9))
     assert mixing.mix_sources(twice).count() == 15
+
+
+def test_clashing_names_and_both_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(k if k % 5 else None, "word " * (k % 7), "en", f"src{k % 3}", "mine", k) for k in range(60)],
+                                 "doc_id long, text string, lang string, source string, last string, epochs int")
+    wanted = sorted(mixing.mix_sources(docs).select("epochs", "copies", "last").collect())
+    assert len(wanted) == 60 and {r["last"] for r in wanted} == {"mine"}
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    assert sorted(mixing.mix_sources(docs).select("epochs", "copies", "last").collect()) == wanted
