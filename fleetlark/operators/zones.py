@@ -176,17 +176,22 @@ def with_zones(points: DataFrame, fences: DataFrame, buffer_m: float | None = No
 
 def _with_zones_regrouped(points: DataFrame, index: FenceIndex, buffer_m: float | None,
                           lng: str, lat: str, row_key: str) -> DataFrame:
-    """The same through (point, fence) pairs, for fences that crowd into few cells: only
-    the fences found at a point come back to its row."""
-    pairs = candidate_pairs(points.select(row_key, lng, lat), index, lng, lat)
-    near = "false" if buffer_m is None else geo.boundary_near("fence.edges", lng, lat, buffer_m)
-    found = (pairs.selectExpr(
-        row_key, f"CASE WHEN {covering('fence', lng, lat)} THEN struct(fence.area, fence.id, fence.name) END AS _zone",
+    """The same through (position, fence) pairs, for fences that crowd into few cells. Zones
+    depend on the position alone, so each distinct one is looked up once and rows find it by
+    position; ids need not be unique. Points without position spread over many keys."""
+    known = f"{lng} IS NOT NULL AND {lat} IS NOT NULL"
+    spots = points.where(known).selectExpr(f"{lng} AS _x", f"{lat} AS _y").distinct()
+    near = "false" if buffer_m is None else geo.boundary_near("fence.edges", "_x", "_y", buffer_m)
+    found = (candidate_pairs(spots, index, "_x", "_y").selectExpr(
+        "_x", "_y", f"CASE WHEN {covering('fence', '_x', '_y')} THEN struct(fence.area, fence.id, fence.name) END AS _zone",
         f"CASE WHEN {near} THEN fence.name END AS _near")
-        .where("_zone IS NOT NULL OR _near IS NOT NULL").groupBy(row_key)
-        .agg(F.collect_list("_zone").alias("_zones"), F.collect_list("_near").alias("_nears")))
-    out = points.join(found, row_key, "left").selectExpr(
-        *points.columns, f"array_sort(coalesce(_zones, {_NO_ZONES})) AS zones", "_nears")
+        .where("_zone IS NOT NULL OR _near IS NOT NULL").groupBy("_x", "_y")
+        .agg(F.collect_list("_zone").alias("_zones"), F.collect_list("_near").alias("_nears"))
+        .withColumn("_spread", F.lit(0)))
+    spread = f"CASE WHEN {known} THEN 0 ELSE 1 + pmod(hash({row_key}), {_NULL_KEYS}) END"
+    out = (points.selectExpr("*", f"{lng} AS _x", f"{lat} AS _y", f"{spread} AS _spread")
+           .join(found, ["_x", "_y", "_spread"], "left").selectExpr(
+               *points.columns, f"array_sort(coalesce(_zones, {_NO_ZONES})) AS zones", "_nears"))
     if buffer_m is None:
         return out.drop("_nears")
     return out.selectExpr(*points.columns, "zones",

@@ -108,6 +108,17 @@ def test_all_ways_of_joining_fences_agree(readings, depots, monkeypatch):
     same(sort(usual), sort(regrouped))
 
 
+@pytest.mark.parametrize("dense", [64, 65])
+def test_points_that_share_an_id_keep_their_own_zones(spark, dense):
+    """Whatever the number of fences in a cell."""
+    ring = [(10.0, 50.0), (10.001, 50.0), (10.001, 50.001), (10.0, 50.001), (10.0, 50.0)]
+    fences = spark.createDataFrame([(n, f"f{n}", ring) for n in range(dense)], "id long, name string, ring array<struct<lng:double,lat:double>>")
+    points = spark.createDataFrame([(1, 10.0005, 50.0005), (1, 80.0, 10.0), (1, None, 50.0), (None, 10.0005, 50.0005)],
+                                   "id long, lng double, lat double")
+    found = sorted((r.lng or 0.0, len(r.zones)) for r in zones.with_zones(points, fences).collect())
+    assert found == [(0.0, 0), (10.0005, dense), (10.0005, dense), (80.0, 0)]
+
+
 def test_fences_of_all_sizes(spark):
     """A tiny, a city-sized and a continent-sized fence, each on its own grid level."""
     squares = [(1, "dot", 10.0, 50.0, 0.004), (2, "city", 9.9, 49.9, 0.6), (3, "land", 0.0, 40.0, 30.0)]
