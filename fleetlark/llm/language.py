@@ -15,6 +15,7 @@ Repeated rows get equal predictions. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlark.llm.common import table
-from fleetlark.llm.lattice import MODEL, Lattice, Vocabulary, read_model, units
+from fleetlark.llm.lattice import MODEL, Lattice, Numbers, Vocabulary, read_model
 
 UNDETERMINED = "und"
 SAMPLE = 10_000
@@ -53,11 +54,10 @@ def fit(train: DataFrame, sample: int = SAMPLE, model: str = MODEL) -> tuple[lis
         vocabulary = Vocabulary(data)
         sums = np.zeros((vocabulary.size, len(langs)))
         for batch in batches:
-            index: dict[str, int] = {}
-            pairs = [np.array([(index.setdefault(u, len(index)), number[lang]) for u in units(text)], np.int64).reshape(-1, 2)
-                     for text, lang in zip(batch["text"], batch["lang"], strict=True)]
-            pairs = np.concatenate(pairs)
-            times = np.bincount(pairs[:, 0] * len(langs) + pairs[:, 1], minlength=len(index) * len(langs)).reshape(-1, len(langs))
+            index = Numbers()
+            found = [index.of(text) for text in batch["text"]]
+            lang = np.repeat([number[x] for x in batch["lang"]], [len(f) for f in found])
+            times = np.bincount(np.concatenate([np.zeros(0, np.int64), *found]) * len(langs) + lang.astype(np.int64), minlength=len(index) * len(langs)).reshape(-1, len(langs))
             words = list(index)
             for a in range(0, len(words), 50_000):
                 lattice = Lattice.of(words[a:a + 50_000], vocabulary)
@@ -88,7 +88,7 @@ def classified(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(data)
-        known: dict[str, int] = {}
+        known = Numbers()
         values = np.zeros((0, len(langs)))
 
         def scored(words: list[str]) -> np.ndarray:
@@ -106,9 +106,9 @@ def classified(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str =
                     known.clear()
                     values = values[:0]
                 before = len(known)
-                found = [[known.setdefault(u, len(known)) for u in units(t)] if langs and any(map(str.isalpha, t)) else None for t in texts[a:b]]
+                found = [known.of(t) if langs and any(map(str.isalpha, t)) else None for t in texts[a:b]]
                 if len(known) > before:
-                    values = np.concatenate((values, scored(list(known)[before:])))
+                    values = np.concatenate((values, scored(list(islice(known, before, None)))))
                 for f in found:
                     if f is None:
                         out.append((UNDETERMINED, 0.0))

@@ -16,6 +16,8 @@ import numpy as np
 import sentencepiece
 
 UNIT = re.compile(r" *[^\W_²]+| *(?:[^\w ]|[_²])+| +")
+_CHAR = (1 << 21) - 1
+_COLUMNS = 128
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -28,16 +30,32 @@ def units(text: str) -> list[str]:
     return UNIT.findall(" " + text) if text else []
 
 
+class Numbers(dict):
+    """Numbers units in the order in which they are first asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
+
+    def of(self, text: str) -> np.ndarray:
+        found = units(text)
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+
 class Vocabulary:
     """Pieces as a trie, bytes of every id, and a fixed prior: piece n in the order of merges is
-    as likely as 1 / (n + 10); a byte is as likely as the last piece."""
+    as likely as 1 / (n + 10); a byte is as likely as the last piece.
+
+    The trie is a table of steps for the characters that most of its edges have, and a sorted
+    list of (node, character) for the others, so that many texts walk it at once."""
 
     def __init__(self, model: bytes):
         read = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = read.get_piece_size()
         self.bytes: list[bytes] = []
         self.byte_ids = np.zeros(256, np.int64)
-        self.trie: dict = {}
+        edges: dict[int, int] = {}
+        final = [-1]
         rank = np.full(self.size, float(self.size))
         for k in range(self.size):
             piece = read.id_to_piece(k)
@@ -53,12 +71,35 @@ class Vocabulary:
                     raise ValueError(f"the piece {piece!r} crosses a boundary of units")
                 self.bytes.append(surface.encode())
                 rank[k] = max(0.0, -read.get_score(k))
-                node = self.trie
+                node = 0
                 for c in surface:
-                    node = node.setdefault(c, {})
-                node[""] = k
+                    node = edges.setdefault(node << 21 | ord(c), len(final))
+                    if node == len(final):
+                        final.append(-1)
+                final[node] = k
         self.prior = np.log(1 / (rank + 10))
         self.prior -= np.logaddexp.reduce(self.prior)
+        self.final = np.array(final, np.int64)
+        self.keys = np.array(sorted(edges), np.int64)
+        self.children = np.array([edges[k] for k in self.keys.tolist()], np.int32)
+        chars, times = np.unique(self.keys & _CHAR, return_counts=True)
+        common = chars[np.argsort(-times, kind="stable")[:_COLUMNS]]
+        self.column = np.full(_CHAR + 1, -1, np.int16)
+        self.column[common] = np.arange(len(common))
+        self.steps = np.full((len(final), _COLUMNS), -1, np.int32)
+        column = self.column[self.keys & _CHAR]
+        self.steps[self.keys[column >= 0] >> 21, column[column >= 0]] = self.children[column >= 0]
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes that these nodes reach by these characters, or -1."""
+        column = self.column[chars]
+        out = self.steps[nodes, column]
+        rare = np.flatnonzero(column < 0)
+        if len(rare):
+            wanted = nodes[rare].astype(np.int64) << 21 | chars[rare]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[at] == wanted, self.children[at], -1)
+        return out
 
     def decode(self, ids) -> str:
         """The text that ids spell; a lossless inverse of every encoding."""
@@ -83,38 +124,46 @@ class Lattice:
 
     @classmethod
     def of(cls, words: list[str], vocabulary: Vocabulary) -> Lattice:
-        owner, start, end, piece = [], [], [], []
-        trie = vocabulary.trie
-        for u, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                node, at, single = trie, i, False
-                while at < n and (node := node.get(word[at])) is not None:
-                    at += 1
-                    if (k := node.get("")) is not None:
-                        owner.append(u)
-                        start.append(i)
-                        end.append(at)
-                        piece.append(k)
-                        single = single or at == i + 1
-                if not single:
-                    owner.append(u)
-                    start.append(i)
-                    end.append(i + 1)
-                    piece.append(-1 - ord(word[i]))
-        owner, start, end, piece = (np.array(x, np.int64) for x in (owner, start, end, piece))
         lengths = np.array([len(w) for w in words], np.int64)
-        base = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        order = np.lexsort((owner, end))
-        owner, start, end, piece = owner[order], start[order], end[order], piece[order]
+        first = np.cumsum(lengths) - lengths
+        base = first + np.arange(len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        unit = np.repeat(np.arange(len(words)), lengths)
+        stop = (first + lengths)[unit]
+        # every place of every unit walks the trie, one character at a time
+        at, node, size = np.arange(len(codes)), np.zeros(len(codes), np.int32), 0
+        single = np.zeros(len(codes), bool)
+        starts, sizes, pieces = [], [], []
+        while len(at):
+            node = vocabulary.step(node, codes[at + size])
+            at, node, size = at[node >= 0], node[node >= 0], size + 1
+            piece = vocabulary.final[node]
+            starts.append(at[piece >= 0])
+            pieces.append(piece[piece >= 0])
+            sizes.append(np.full(len(pieces[-1]), size))
+            if size == 1:
+                single[starts[0]] = True
+            going = at + size < stop[at]
+            at, node = at[going], node[going]
+        spelt_out = np.flatnonzero(~single)
+        start = np.concatenate([*starts, spelt_out])
+        size = np.concatenate([*sizes, np.ones(len(spelt_out), np.int64)])
+        piece = np.concatenate([*pieces, -1 - codes[spelt_out]])
+        owner = unit[start]
+        end = start + size - first[owner]
+        order = np.argsort(end * (len(codes) + 1) + start)  # by end, unit and start
+        owner, end, piece = owner[order], end[order], piece[order]
+        start = start[order] - first[owner]
         cuts = np.searchsorted(end, np.arange(1, (int(lengths.max()) if len(words) else 0) + 2))
         return cls(lengths, base, base[owner] + start, base[owner] + end, piece, owner, list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))
 
     def weights(self, logp: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         """Log-probability of every edge, for each column of ``logp``."""
         out = logp[np.maximum(self.piece, 0)]
-        for value in np.unique(self.piece[self.piece < 0]).tolist():
-            out[self.piece == value] = logp[spelt(vocabulary, -1 - value)].sum(axis=0)
+        rare = np.flatnonzero(self.piece < 0)
+        if len(rare):
+            values, which = np.unique(self.piece[rare], return_inverse=True)
+            out[rare] = np.array([logp[spelt(vocabulary, -1 - v)].sum(axis=0) for v in values.tolist()])[which]
         return out
 
     def forward(self, weights: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ tokens; a null key is a key of its own. Other columns are left as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,42 +23,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlark.llm.common import mix, table, text_or_empty
-from fleetlark.llm.lattice import MODEL, Lattice, Vocabulary, read_model, spelt, units
+from fleetlark.llm.lattice import MODEL, Lattice, Numbers, Vocabulary, read_model, spelt
 
 _SLICE_CHARS = 1 << 20
+_KEPT_UNITS = 150_000
+_ONE = 1 << 36
 
 
 class Sampler:
+    """Draws segmentations. Keeps the lattices of units it has met, as edges sorted by the state they end in.
+
+    Shares of edges are whole numbers of 1 / ``_ONE``, so that their running sums are exact and
+    a unit's draws do not depend on what was met before it."""
+
     def __init__(self, vocabulary: Vocabulary, alpha: float = 1.0):
         self.vocabulary, self.alpha = vocabulary, alpha
+        self._forget()
 
-    def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        """Token ids of every text; keys are 64-bit hashes of the rows' keys."""
-        index: dict[str, int] = {}
-        found = [[index.setdefault(u, len(index)) for u in units(text)] for text in texts]
-        counts = np.array([len(f) for f in found], np.int64)
-        lattice = Lattice.of(list(index), self.vocabulary)
+    def _forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.known = Numbers()
+        self.upto = np.zeros(1, np.int64)
+        self.source = self.piece = self.low = self.high = self.base = self.length = none
+
+    def _learn(self, words: list[str]) -> None:
+        lattice = Lattice.of(words, self.vocabulary)
         weights = lattice.weights(self.vocabulary.prior * self.alpha, self.vocabulary)
         sums = lattice.forward(weights)
-        share = np.exp(sums[lattice.source] + weights - sums[lattice.target])
-        upto = np.concatenate(([0.0], np.cumsum(share)))
+        share = np.rint(np.exp(sums[lattice.source] + weights - sums[lattice.target]) * _ONE).astype(np.int64)
         # edges into a state lie together: where they start and end
         low, high = np.zeros(len(sums), np.int64), np.zeros(len(sums), np.int64)
-        first = np.flatnonzero(np.concatenate(([True], lattice.target[1:] != lattice.target[:-1]))) if len(share) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate(([True], lattice.target[1:] != lattice.target[:-1])))
         low[lattice.target[first]] = first
-        high[lattice.target[first]] = np.concatenate((first[1:], [len(share)])) if len(first) else first
+        high[lattice.target[first]] = np.concatenate((first[1:], [len(share)]))
+        states, edges = len(self.low), len(self.source)
+        for name, more in (("upto", self.upto[-1] + np.cumsum(share)), ("source", lattice.source + states), ("piece", lattice.piece),
+                           ("low", low + edges), ("high", high + edges), ("base", lattice.base + states), ("length", lattice.lengths)):
+            setattr(self, name, np.concatenate((getattr(self, name), more)))
+
+    def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
+        """Token ids of every text; keys are 64-bit hashes of the rows' keys."""
+        if len(self.known) > _KEPT_UNITS:
+            self._forget()
+        before = len(self.known)
+        found = [self.known.of(text) for text in texts]
+        counts = np.array([len(f) for f in found], np.int64)
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
+        upto, low, high = self.upto, self.low, self.high
 
-        unit = np.array([u for f in found for u in f], np.int64)
+        unit = np.concatenate([np.zeros(0, np.int64), *found])
         place = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = mix(np.repeat(keys, counts) ^ mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        state, active, steps = lattice.base[unit] + lattice.lengths[unit], np.arange(len(unit)), []
+        state, active, steps = self.base[unit] + self.length[unit], np.arange(len(unit)), []
         while len(active):
             draw = (mix(seed[active] + np.uint64(len(steps))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            a, b = low[state], high[state]
-            edge = np.clip(np.searchsorted(upto, upto[a] + draw * (upto[b] - upto[a]), "right") - 1, a, b - 1)
-            steps.append((active, lattice.piece[edge]))
-            state = lattice.source[edge]
-            going = state != lattice.base[unit[active]]
+            edge = low[state]
+            target = upto[edge] + (draw * (upto[high[state]] - upto[edge])).astype(np.int64)
+            further = np.flatnonzero(upto[edge + 1] <= target)  # few edges end in a state
+            while len(further):
+                edge[further] += 1
+                further = further[upto[edge[further] + 1] <= target[further]]
+            steps.append((active, self.piece[edge]))
+            state = self.source[edge]
+            going = state != self.base[unit[active]]
             active, state = active[going], state[going]
         tokens = np.zeros(len(unit), np.int64)
         for at, _ in steps:
@@ -72,14 +101,16 @@ class Sampler:
         return np.split(ids, np.searchsorted(row, np.arange(1, len(texts))))
 
     def _spell(self, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rare = np.flatnonzero(ids < 0)
+        values, which = np.unique(ids[rare], return_inverse=True)
+        spellings = [spelt(self.vocabulary, -1 - value) for value in values.tolist()]
         width = np.ones(len(ids), np.int64)
-        chars = {value: spelt(self.vocabulary, -1 - value) for value in np.unique(ids[ids < 0]).tolist()}
-        for value, spelling in chars.items():
-            width[ids == value] = len(spelling)
+        width[rare] = np.array([len(x) for x in spellings])[which]
+        first = np.array([len(x) for x in spellings]).cumsum() - [len(x) for x in spellings]
         at = np.cumsum(width) - width
         out = np.repeat(ids, width)
-        for value, spelling in chars.items():
-            out[at[ids == value][:, None] + np.arange(len(spelling))] = spelling
+        byte = np.arange(int(width[rare].sum())) - np.repeat(np.cumsum(width[rare]) - width[rare], width[rare])
+        out[np.repeat(at[rare], width[rare]) + byte] = np.concatenate(spellings)[np.repeat(first[which], width[rare]) + byte]
         return out, np.repeat(row, width)
 
 

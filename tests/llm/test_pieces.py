@@ -30,15 +30,8 @@ def ways(word, vocabulary):
 
 @pytest.fixture(scope="module")
 def brute(vocabulary):
-    vocabulary.surface = {}
-
-    def walk(node, at):
-        for c, below in node.items():
-            if c == "":
-                vocabulary.surface[at] = below
-            else:
-                walk(below, at + c)
-    walk(vocabulary.trie, "")
+    special = set(vocabulary.byte_ids.tolist())
+    vocabulary.surface = {x.decode(): k for k, x in enumerate(vocabulary.bytes) if x and k not in special}
     return lambda word: dict(ways(word, vocabulary))
 
 
@@ -47,6 +40,15 @@ def test_decoding_is_lossless(vocabulary):
     assert [vocabulary.decode(x.tolist()) for x in ids] == TEXTS
 
 
+def test_draws_do_not_depend_on_what_was_met_before(vocabulary, monkeypatch):
+    keys = np.arange(len(TEXTS), dtype=np.uint64)
+    one_by_one = [pieces.Sampler(vocabulary).sample([t], keys[k:k + 1])[0].tolist() for k, t in enumerate(TEXTS)]
+    monkeypatch.setattr(pieces, "_KEPT_UNITS", 5)
+    sampler = pieces.Sampler(vocabulary)
+    assert [x.tolist() for x in sampler.sample(TEXTS, keys)] == one_by_one
+    assert [sampler.sample([t], keys[k:k + 1])[0].tolist() for k, t in enumerate(TEXTS)] == one_by_one
+
+
 def test_sums_and_draws_follow_all_segmentations(vocabulary, brute):
     for word in (" thing", "zq漢", " b"):
         all_ways = brute(word)
