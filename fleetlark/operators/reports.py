@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlark.functions import values as V
@@ -125,31 +125,43 @@ def dashboard_stats(status: DataFrame, alerts: DataFrame, as_of: Instant) -> Dat
         F.sum("recent").alias("alerts_last_hour"), mean.cast("long").alias("average_speed"))
 
 
-def with_legs(readings: DataFrame, window: str | None = None, large_rows: int | None = None) -> ordered.History:
+_LEG_KM = haversine_km("_prev.lat", "_prev.lng", "lat", "lng")
+
+
+def _narrow(readings: DataFrame) -> DataFrame:
+    return readings.selectExpr("id", "vehicle_id", "event_timestamp", "lat", "lng", "coalesce(speed_kph, 0D) AS speed")
+
+
+def with_legs(readings: DataFrame, large_rows: int | None = None) -> ordered.History:
     """Readings with ``speed`` (zero when unknown) and ``leg_km`` from the previous point;
-    zero at the first one, and with a window at the first one in each window."""
+    zero at the first one."""
     slices = ordered.find_slices(readings, ordered.by_vehicle(large_rows))
-    narrow = readings.selectExpr("id", "vehicle_id", "event_timestamp", "lat", "lng", "coalesce(speed_kph, 0D) AS speed")
-    rows = ordered.history(narrow, slices).with_previous("_prev", F.struct("event_timestamp", "lat", "lng"))
-    leg = haversine_km("_prev.lat", "_prev.lng", "lat", "lng")
-    if window is not None:
-        slot = lambda t: f"floor(unix_micros({t}) / {V.micros_of(window)})"
-        leg = f"CASE WHEN {slot('_prev.event_timestamp')} = {slot('event_timestamp')} THEN {leg} END"
-    return rows.via(rows.df.withColumn("leg_km", F.expr(f"coalesce({leg}, 0D)")).drop("_prev"))
-
-
-def window_figures(legs: DataFrame, window: str) -> DataFrame:
-    """Speed, distance and count per vehicle and tumbling window of readings with legs."""
-    return (legs.groupBy(F.window("event_timestamp", window), "vehicle_id")
+    rows = ordered.history(_narrow(readings), slices).with_previous("_prev", F.struct("event_timestamp", "lat", "lng"))
+    return rows.via(rows.df.withColumn("leg_km", F.expr(f"coalesce({_LEG_KM}, 0D)")).drop("_prev"))
+
+
+def legs_within(readings: DataFrame, window: str) -> DataFrame:
+    """Readings with ``speed`` and ``leg_km``, zero at the first point of each tumbling window. Legs
+    do not cross windows, so a key is a vehicle's window: the aggregate by it needs no further
+    shuffle, and a vehicle of any size spreads over its windows."""
+    in_window = Window.partitionBy("window", "vehicle_id").orderBy("event_timestamp", "id")
+    rows = _narrow(readings).withColumn("window", F.window("event_timestamp", window))
+    return (rows.withColumn("_prev", F.lag(F.struct("lat", "lng")).over(in_window))
+            .withColumn("leg_km", F.expr(f"coalesce({_LEG_KM}, 0D)")).drop("_prev"))
+
+
+def window_figures(legs: DataFrame, window: Column) -> DataFrame:
+    """Speed, distance and count per vehicle and window of readings with legs."""
+    return (legs.groupBy(window.alias("window"), "vehicle_id")
             .agg(F.avg("speed").alias("avg_speed"), F.greatest(F.max("speed"), F.lit(0.0)).alias("max_speed"),
                  F.sum("leg_km").alias("total_distance"), F.count(F.lit(1)).alias("reading_count"))
             .select("vehicle_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                     "avg_speed", "max_speed", "total_distance", "reading_count"))
 
 
-def vehicle_stats(readings: DataFrame, window: str = "5 minutes", large_rows: int | None = None) -> DataFrame:
+def vehicle_stats(readings: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Average and maximum speed, distance and count per vehicle and tumbling window."""
-    return window_figures(with_legs(readings, window, large_rows).rows(), window)
+    return window_figures(legs_within(readings, window), F.col("window"))
 
 
 def running_stats(readings: DataFrame, large_rows: int | None = None) -> DataFrame:

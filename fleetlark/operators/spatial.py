@@ -62,10 +62,12 @@ def alerts_within_radius(alerts: DataFrame, lat: float, lng: float, metres: floa
 
 def alerts_within_geofence(alerts: DataFrame, fences: DataFrame, name: str,
                            since: str | datetime | Column) -> DataFrame:
-    """Alerts strictly inside the named geofence, newest first."""
+    """Alerts strictly inside the named geofence (or one of that name), newest first; each alert comes once."""
     recent = alerts.where(F.col("detected_at") >= moment(since))
-    pairs = candidate_pairs(recent, fence_index(fences.where(F.col("name") == name)))
-    return (pairs.where(zones.strictly_covering("fence", "lng", "lat"))
+    spots = recent.select("lng", "lat").distinct()
+    pairs = candidate_pairs(spots, fence_index(fences.where(F.col("name") == name)))
+    inside = pairs.where(zones.strictly_covering("fence", "lng", "lat")).select("lng", "lat")
+    return (recent.join(inside, ["lng", "lat"], "leftsemi")
             .select(*alerts.columns).orderBy(F.desc("detected_at"), F.desc("id")))
 
 

@@ -28,11 +28,11 @@ def load_geofences(texts: DataFrame) -> DataFrame:
 
 
 def require_unique_names(fences: DataFrame) -> DataFrame:
-    """Fails the job when two geofences share a name: zone state is kept by name."""
+    """Fails the job when two geofences share a name: zone state is kept by name. Geofences without a name stay."""
     clash = F.raise_error(F.concat(F.lit("geofence name is not unique: "), F.col("name")))
-    names = fences.groupBy("name").agg(F.count(F.lit(1)).alias("uses")).select(
+    names = fences.where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("uses")).select(
         "name", F.when(F.col("uses") > 1, clash).otherwise(F.lit(True)).alias("unique"))
-    return fences.join(names, "name").where("unique").select(*fences.columns)
+    return fences.join(names, "name", "left").where("unique OR name IS NULL").select(*fences.columns)
 
 
 def geofence_rings(fences: DataFrame) -> DataFrame:

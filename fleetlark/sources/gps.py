@@ -28,9 +28,10 @@ _PARSED = T.StructType(S.GPS_EVENT.fields + [T.StructField("_malformed", T.Strin
 def parse_gps(messages: DataFrame, value_col: str = "value") -> DataFrame:
     """Adds one typed column per GPS field and ``malformed``; a text that is not a JSON
     object of the expected types leaves every field null. Works on streams too."""
-    parsed = messages.withColumn(
-        "_gps", F.from_json(F.col(value_col).cast("string"), _PARSED,
-                            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}))
+    document = F.from_json(F.col(value_col).cast("string"), _PARSED,
+                           {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    # A generator keeps the text from being parsed again for every field and filter.
+    parsed = messages.select("*", F.explode(F.array(document)).alias("_gps"))
     bad = F.col("_gps").isNull() | F.col("_gps._malformed").isNotNull()
     fields = [F.when(~bad, F.col(f"_gps.{name}")).alias(name) for name in S.GPS_EVENT.names]
     return parsed.select(*messages.columns, bad.alias("malformed"), *fields)

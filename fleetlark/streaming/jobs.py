@@ -135,7 +135,7 @@ def stats_stream(readings: DataFrame, window: str = "5 minutes", lateness: str =
     legs = narrow.groupBy("vehicle_id").transformWithState(
         LegProcessor(V.micros_of(window)), LEGS, "Append", "EventTime", eventTimeColumnName="event_timestamp")
     leg_km = F.coalesce(F.expr(haversine_km("lat0", "lng0", "lat", "lng")), F.lit(0.0))
-    return reports.window_figures(legs.withColumn("leg_km", leg_km), window)
+    return reports.window_figures(legs.withColumn("leg_km", leg_km), F.window("event_timestamp", window))
 
 
 def run_stats(stats: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:

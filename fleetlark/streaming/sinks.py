@@ -19,15 +19,16 @@ from fleetlark.functions import values as V
 _KEPT_VERSIONS = 2
 
 
-def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int) -> None:
-    """Writes rows of one batch by the date of ``time``. Ranges over (date, vehicle, time)
+def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int, by_date: bool = True) -> None:
+    """Writes rows of one batch by the date of ``time`` (``by_date=False``: by batch alone, where a
+    repeat may fall on another date). Ranges over (date, vehicle, time)
     keep tasks even when most rows are of one day or one vehicle; dead letters, which may
     share key and time, are told apart by their payload."""
     order = ["event_date", *[c for c in ("vehicle_id", "key", time, "id", "payload") if c in rows.columns]]
     dated = rows.withColumns({"event_date": F.to_date(time), "batch_id": F.lit(int(batch_id)).cast("long")})
     (dated.repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("event_date", "batch_id").parquet(path))
+     .partitionBy(*(["event_date"] if by_date else []), "batch_id").parquet(path))
 
 
 def write_readings(readings: DataFrame, path: str, batch_id: int) -> None:
@@ -46,9 +47,10 @@ def write_alerts(alerts: DataFrame, path: str, batch_id: int) -> None:
 
 
 def write_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
-    """Appends dead letters under the date they failed."""
+    """Writes a batch of dead letters, replacing what that batch wrote before: also when it is repeated
+    on another day, as the time of failure is then another one."""
     failed = F.timestamp_millis(F.col("headers")["dlq-failed-at"].cast("long"))
-    write_partitioned(letters.withColumn("failed_at", failed), path, "failed_at", batch_id)
+    write_partitioned(letters.withColumn("failed_at", failed), path, "failed_at", batch_id, by_date=False)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

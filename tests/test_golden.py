@@ -186,15 +186,33 @@ def test_reading_report(spark):
     assert (none.average_speed, none.max_speed, none.total_count) == (0.0, 0.0, 0)
 
 
-@pytest.mark.parametrize("large_rows", [None, 2])
-def test_windowed_stats(spark, large_rows):
+def test_windowed_stats(spark):
     steps = [(0, 10.0, (24.90, 67.00)), (1, None, (24.91, 67.00)), (2, 20.0, (24.92, 67.00)), (6, 5.0, (24.90, 67.00))]
-    rows = reports.vehicle_stats(history(spark, steps), large_rows=large_rows).orderBy("window_start").collect()
+    rows = reports.vehicle_stats(history(spark, steps)).orderBy("window_start").collect()
     assert [(r.reading_count, r.avg_speed, r.max_speed) for r in rows] == [(3, 10.0, 20.0), (1, 5.0, 5.0)]
     leg = 6371 * 0.01 * 3.141592653589793 / 180
     assert [r.total_distance for r in rows] == pytest.approx([2 * leg, 0.0])
 
 
+def test_messages_are_parsed_once(spark):
+    routed = gps.route_events(gps.parse_gps(spark.createDataFrame([("k", "{}", "t", 0, 1)], "key string, value string, topic string, partition int, offset long")))
+    for frame in (gps.to_dlq(routed, NOW), gps.to_readings(routed)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_fences_of_one_name_or_none(spark, readings):
+    square = "{'type':'Polygon','coordinates':[[[%s,0],[%s,0],[%s,1],[%s,1]]]}"
+    texts = [(1, "a", (square % (0, 1, 1, 0)).replace("'", '"')), (2, "a", (square % (0, 2, 2, 0)).replace("'", '"')),
+             (3, None, (square % (4, 5, 5, 4)).replace("'", '"'))]
+    fences = geofences.load_geofences(spark.createDataFrame(texts, "id long, name string, polygon_geojson string"))
+    assert sorted(r.id for r in geofences.require_unique_names(fences.where("id <> 2")).collect()) == [1, 3]
+    with pytest.raises(Exception, match="not unique"):
+        geofences.require_unique_names(fences).collect()
+    alerts = spark.createDataFrame([(n, lng, 0.5, NOW) for n, lng in ((7, 0.5), (7, 0.5), (8, 1.5), (9, 3.0))],
+                                   "id long, lng double, lat double, detected_at string").withColumn("detected_at", F.col("detected_at").cast("timestamp"))
+    assert [r.id for r in spatial.alerts_within_geofence(alerts, fences, "a", NOW).collect()] == [8, 7, 7]
+
+
 def test_empty_tables(spark):
     alerts, status = spark.createDataFrame([], S.ALERT), spark.createDataFrame([], S.STATUS)
     stats = reports.fleet_stats(status, alerts, NOW).first()

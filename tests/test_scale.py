@@ -41,7 +41,12 @@ def test_slicing_changes_nothing(skewed, fences, large_rows):
     rounded = lambda df: df.withColumns({c: F.round(c, 7) for c, t in df.dtypes if t == "double"})
     same(rounded(spatial.leg_distance(skewed).drop("location")), rounded(spatial.leg_distance(skewed, large_rows).drop("location")))
     same(rounded(reports.running_stats(skewed)), rounded(reports.running_stats(skewed, large_rows)))
-    same(rounded(reports.vehicle_stats(skewed, "1 hour")), rounded(reports.vehicle_stats(skewed, "1 hour", large_rows)))
+
+
+def test_windowed_figures_are_shuffled_once_by_window_and_vehicle(skewed):
+    text = reports.vehicle_stats(skewed, "1 hour")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(") == 1
+    assert text.split("Exchange hashpartitioning(")[1].startswith("window#")
 
 
 def in_order(skewed):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlark import schemas as S
 from fleetlark.operators import detect, maintain
-from fleetlark.sources import tables
+from fleetlark.sources import gps, tables
 from fleetlark.streaming import sinks
 
 
@@ -24,6 +24,13 @@ def test_a_repeated_batch_leaves_one_copy(spark, readings, folder):
     assert "PartitionFilters: [isnotnull(event_date" in text and "GreaterThanOrEqual(event_timestamp" in text
 
 
+def test_dead_letters_repeated_after_midnight_leave_one_copy(spark, folder):
+    for failed_at in ("2024-01-05 23:59:59", "2024-01-06 00:00:01"):
+        routed = gps.route_events(gps.parse_gps(spark.createDataFrame([("k", "{}", "t", 0, 1), ("k", "x", "t", 0, 2)], "key string, value string, topic string, partition int, offset long")))
+        sinks.write_dead_letters(gps.to_dlq(routed, failed_at), f"{folder}/dead", 5)
+    assert sinks.read_table(spark, f"{folder}/dead").count() == 2
+
+
 def test_vehicle_filter_reaches_a_stored_table(spark, readings, folder):
     sinks.write_readings(readings, f"{folder}/r", 1)
     plan = sinks.read_table(spark, f"{folder}/r").where("vehicle_id = 'VH-0008'")._jdf.queryExecution().executedPlan().toString()
