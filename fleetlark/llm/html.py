@@ -42,8 +42,12 @@ IMPLIED = {"li": (frozenset(["li"]), SCOPE | {"ul", "ol", "menu", "dir"}), "dt":
            "optgroup": (frozenset(["optgroup", "option"]), frozenset(["select"])), "tbody": (frozenset(["tbody", "thead", "tfoot", "caption"]), frozenset(["table"]))}
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<(?=[^a-zA-Z/!?]|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(?=[a-zA-Z/])[^<]*", re.S)
-_HIDDEN = re.compile(r"(?:\A|[\s\"'/])hidden(?=[\s=/]|\Z)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
+_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?>\"([^\"]*+)\"|'([^']*+)'|([^ \t\n\r\f>]*+)))?+")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+# What of a style is no declaration of its own: comments, strings, arguments.
+_ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
+_DECLARATION = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?", re.I)
+_START = re.compile(r"\s*(-?\d{1,9})")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -76,6 +80,29 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = stop.start()
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """Values by name in lower case; of attributes of one name the first counts."""
+    out: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), html.unescape(double or single or bare))
+    return out
+
+
+def hides(raw: str) -> bool:
+    """Whether an element of these attributes is hidden: by ``hidden``, or by its style, of which the last
+    declaration counts unless an earlier one is important."""
+    if not _MAY_HIDE.search(raw):
+        return False
+    found = attributes_of(raw)
+    if "hidden" in found:
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in _ASIDE.sub(" ", found.get("style", "")).split(";"):
+        if (said := _DECLARATION.fullmatch(part)) and (bool(said[3]) or not style.get(said[1].lower(), (False,))[0]):
+            style[said[1].lower()] = bool(said[3]), said[2].lower()
+    return ("none" in style.get("display", ())) or ("hidden" in style.get("visibility", ()))
+
+
 def tree(page: str) -> Iterator[tuple[str, str, str]]:
     """The tokens with every element closed, in order."""
     stack: list[str] = []
@@ -194,7 +221,7 @@ def render(page: str | None) -> str:
             else:
                 here.text(value)
         elif kind == "start":
-            if hidden or name in UNSEEN or (attributes and _HIDDEN.search(attributes)):
+            if hidden or name in UNSEEN or (attributes and hides(attributes)):
                 hidden += 1
                 frames.append((name, "hidden"))
                 continue
@@ -208,7 +235,7 @@ def render(page: str | None) -> str:
                 elif here.lines:
                     here.add([""])
             elif name in ("ul", "ol", "menu", "dir"):
-                start = _START.search(attributes) if name == "ol" else None
+                start = _START.match(attributes_of(attributes).get("start", "")) if name == "ol" else None
                 lists.append([name, int(start[1]) if start else 1])
                 todo = "list"
             elif name == "li":

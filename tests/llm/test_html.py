@@ -13,6 +13,15 @@ def test_cases(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<body class="hidden md:block"><p title="the hidden cost of it">a', "a"), ("<p data-style='display:none'>a", "a"), ('<p class="x" title="style=display:none">a', "a"),
+    ("<p title='a > hidden'>b", "b"), ('<p style="font-display:none">a', "a"), ('<p style="display:none;display:block">a', "a"), ("<ol data-start=7 title='start=4'><li>a", "1. a"),
+    ('<p HIDDEN>a</p><p hidden="">b</p><p id=x hidden=until-found>c</p><p id="x"hidden>d</p>e', "e"), ('<p title="hidden" STYLE="color:red; Visibility : hidden !important">a</p>b', "b"),
+    ('<p style="display:none!important;display:block">a</p><p style=display:none>b</p>c', "c"), ('<ol start="3"><li>a', "3. a")])
+def test_only_the_attribute_itself_hides(page, text):
+    assert render(page) == text
+
+
 def test_depth_and_length():
     assert render("<div>" * 50_000 + "x") == "x"
     assert render("<p>word " * 20_000).count("word") == 20_000
