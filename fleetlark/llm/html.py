@@ -1,8 +1,8 @@
 """Operator 5: layout-aware text of HTML pages.
 
 A tokenizer splits a page into tags and text; a tree builder puts in the end tags that HTML lets
-authors leave out (paragraphs, list items, table cells and rows, definitions, options) and
-ignores stray ones; a renderer writes all visible text: blocks on lines of their own, a blank line around
+authors leave out (paragraphs, list items, table cells and rows, definitions, options, and the head, which ends at
+the first tag or text that is no head content) and ignores stray ones; a renderer writes all visible text: blocks on lines of their own, a blank line around
 paragraphs, headings, lists and tables, items with their bullet or number, indented by nesting, the cells of a table
 in aligned columns, ``pre`` as it is.
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from fleetlark.llm.common import table
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 UNSEEN = frozenset("head script style template noscript title iframe noembed noframes audio video canvas object svg math datalist".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3"
                   " h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -130,6 +131,11 @@ def tree(page: str) -> Iterator[tuple[str, str, str]]:
         return "start", name, attributes
 
     for kind, name, attributes in tokens(page):
+        if stack[-1:] == ["head"]:
+            if kind == "start" and name == "head":
+                continue
+            if name.strip(" \t\n\r\f") if kind == "text" else name not in HEAD if kind == "start" else name == "br":
+                yield from close_to(len(stack) - 1)
         if kind == "text":
             yield kind, name, attributes
         elif kind == "start":

@@ -22,6 +22,15 @@ def test_only_the_attribute_itself_hides(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><body><p>text</p></body></html>", "text"), ("<head><meta charset=x><link rel=y><style>z</style>\n<p>a</p>b", "a\n\nb"),
+    ("<html><head><title>t</title> plain <b>text</b></html>", "plain text"), ("<head><script>s</script><!-- c -->\n </head><body>b", "b"), ("<head>&nbsp;a", "a"),
+    ("<head><head><title>t</title><div>a</div>", "a"), ("<head><template><p>x</p>y</template><body>a", "a"), ("<head><basefont size=3><noscript><p>n</p></noscript><br>a", "a"),
+    ("<head><title>t</title></body>a", "a"), ("<p>a<head><title>t</title></head>b", "ab")])
+def test_the_head_ends_where_other_content_begins(page, text):
+    assert render(page) == text
+
+
 def test_depth_and_length():
     assert render("<div>" * 50_000 + "x") == "x"
     assert render("<p>word " * 20_000).count("word") == 20_000
