@@ -11,7 +11,7 @@ with ``hidden`` or an inline ``display:none`` or ``visibility:hidden``. Everythi
 navigation and footers included.
 
 Defined cases: null and empty pages give the empty text; text without tags is one paragraph; an unfinished tag at the end is
-dropped. Depth and length are not bounded, and nothing recurses. Pages are treated one by one; other columns stay.
+dropped; a quoted value that never closes ends where its tag does. Depth and length are not bounded, and nothing recurses. Pages are treated one by one; other columns stay.
 """
 
 from __future__ import annotations
@@ -42,8 +42,11 @@ IMPLIED = {"li": (frozenset(["li"]), SCOPE | {"ul", "ol", "menu", "dir"}), "dt":
            "tr": (frozenset(["tr", "caption"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset(["select", "optgroup"])),
            "optgroup": (frozenset(["optgroup", "option"]), frozenset(["select"])), "tbody": (frozenset(["tbody", "thead", "tfoot", "caption"]), frozenset(["table"]))}
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<(?=[^a-zA-Z/!?]|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(?=[a-zA-Z/])[^<]*", re.S)
-_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?>\"([^\"]*+)\"|'([^']*+)'|([^ \t\n\r\f>]*+)))?+")
+# An attribute; a quote delimits right after the equals sign only, and only if it is closed.
+_ATTR = r"[ \t\n\r\f/]*+([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?>\"([^\"]*+)\"|'([^']*+)'|([^ \t\n\r\f>]*+)))?+"
+_ATTRIBUTE = re.compile(_ATTR)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<raw>(?:" + _ATTR + r")*+[ \t\n\r\f/]*+)(?P<close>>|\Z)"
+                    r"|<(?=[^a-zA-Z/!?]|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)", re.S)
 _MAY_HIDE = re.compile("hidden|style", re.I)
 # What of a style is no declaration of its own: comments, strings, arguments.
 _ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
@@ -63,15 +66,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if found.start() > at:
             yield "text", page[at:found.start()], ""
         at = found.end()
-        if found[2] is None:
+        if found["name"] is None:
             if found[0] == "<":
                 yield "text", "<", ""
             continue
-        if not found[4]:
+        if not found["close"]:
             return  # the page ends within a tag
-        name = found[2].lower()
-        yield ("end" if found[1] else "start"), name, found[3]
-        if not found[1] and name in RAW:
+        name = found["name"].lower()
+        yield ("end" if found["slash"] else "start"), name, found["raw"]
+        if not found["slash"] and name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             if stop is None:
                 yield "text", page[at:], ""

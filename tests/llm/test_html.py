@@ -31,6 +31,19 @@ def test_the_head_ends_where_other_content_begins(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p title=it's>Hello world</p><p>I don't know</p>", "Hello world\n\nI don't know"), ('<p class="a"">Hello</p><p>"x"</p>', 'Hello\n\n"x"'), ("<p '>a</p>b", "a\n\nb"),
+    ('<p a="1"b=\'2\' c = "x > y" d>e', "e"), ("<a href=/x/>y</a>", "y"), ("<p =\">a\"", 'a"'), ("<p title=>a</p>", "a"), ('<p title="never closed>a</p>b', "a\n\nb"),
+    ("x</p title='>'>y", "xy"), ("a<b title='x>y", "ay"), ("a<br/>b<br / >c", "a\nb\nc")])
+def test_quotes_delimit_only_after_the_equals_sign(page, text):
+    assert render(page) == text
+
+
+def test_many_quotes_take_no_long():
+    assert render("<p ' title=\"" * 20_000 + "x") == ""
+    assert render("<p title=it's>a</p>" * 20_000).count("a") == 20_000
+
+
 def test_depth_and_length():
     assert render("<div>" * 50_000 + "x") == "x"
     assert render("<p>word " * 20_000).count("word") == 20_000
