@@ -5,7 +5,8 @@ its segmentations of the product of piece probabilities, by the forward algorith
 given to the language of the highest posterior (all languages equally likely before).
 
 The probabilities are expected piece counts (forward-backward) over a bounded sample of training
-rows: about ``sample`` rows of each language, chosen by a hash of the text.
+texts: about ``sample`` distinct texts of each language, chosen by a hash of the text, each counted once
+however many rows repeat it.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if
 there is nothing to learn from. Ties go to the language that sorts first. A row without doc_id is held out.
@@ -42,12 +43,13 @@ def fit(train: DataFrame, sample: int = SAMPLE, model: str = MODEL) -> tuple[lis
     """Languages and log-probabilities (pieces by languages) from rows ``(text, lang)``."""
     data = read_model(model)
     train = train.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    key = F.xxhash64("text")
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count_distinct(key).alias("n")).collect()}
     langs = sorted(sizes)
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / sizes[lang])))]) if langs else F.lit(None)
     if not langs:
         return [], np.zeros((0, 0))
-    chosen = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    chosen = train.where(F.pmod(key, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).dropDuplicates(["text", "lang"])
     number = {lang: k for k, lang in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

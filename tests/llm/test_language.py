@@ -33,3 +33,18 @@ def test_odd_rows(make_docs):
     assert all(r["score"] == 0 for r in out if r["lang_pred"] == "und")
     assert {r["lang_pred"] for r in language.identify(make_docs([(1, "no language known")], lang=None)).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_copies_neither_fill_the_sample_nor_weigh_more(spark, make_docs, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    texts = [f"text number {i} with words of its own w{i}" for i in range(400)]
+    docs = make_docs(list(enumerate(texts)))
+    # The copied text is one that the sample of 100 takes, as its hash is the smallest.
+    hot = docs.orderBy(F.pmod(F.xxhash64("text"), F.lit(1_000_000))).first()["text"]
+    copied = make_docs(list(enumerate(texts + [hot] * 2000)))
+    langs, logp = language.fit(docs, 100)
+    for rows, sample in ((copied, 100), (make_docs(list(enumerate(texts + texts[:9] * 50))), 100)):
+        again, other = language.fit(rows, sample)
+        assert again == langs and np.allclose(other, logp, rtol=0, atol=1e-9)
+    assert np.allclose(language.fit(copied)[1], language.fit(docs)[1], rtol=0, atol=1e-9)
