@@ -55,6 +55,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: dict[int, list[np
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3):
     """Per row the sorted array of its distinct shingle hashes. A row of fewer words than the
     width has its whole sequence as its one shingle; a row without words has none."""
+    steps = [np.uint64(_STEPS[k % 4] + 2 * (k // 4)) for k in range(width)]
     powers: dict[int, list[np.ndarray]] = {}
     for a, b in slices(offsets):
         words, row = word_hashes(data, offsets[a:b + 1], powers)
@@ -63,14 +64,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3):
         if len(words) >= width:
             combined = np.zeros(len(words) - width + 1, np.uint64)
             for k in range(width):
-                combined += words[k:k + len(combined)] * np.uint64(_STEPS[k % 4] + 2 * (k // 4))
+                combined += words[k:k + len(combined)] * steps[k]
             combined = mix(combined)
         for i in range(b - a):
             n = count[i]
             if n >= width:
                 yield np.unique(combined[at[i]:at[i] + n - width + 1])
             elif n:
-                yield mix(words[at[i]:at[i] + n].cumsum(dtype=np.uint64)[-1:] * np.uint64(_STEPS[0]) + np.uint64(n)
-                          + words[at[i]:at[i] + 1])
+                yield mix((words[at[i]:at[i] + n] * np.array(steps[:n])).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
             else:
                 yield np.zeros(0, np.uint64)

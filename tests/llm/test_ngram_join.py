@@ -75,6 +75,13 @@ def test_one_of_each_stays(make_docs):
     assert {r["doc_id"] for r in nj.keep_one_of_each(make_docs(rows)).collect()} == {3, 4, 9, None}
 
 
+def test_short_documents_keep_the_order_of_words(make_docs):
+    from itertools import permutations
+    rows = list(enumerate(" ".join(p) for words in ("a", "ab", "abc", "abcd") for p in permutations(words)))
+    docs = make_docs(rows + [(100 + i, text.upper()) for i, text in rows])
+    assert {r["doc_id"] for r in nj.keep_one_of_each(docs, threshold="0.8", width=5).collect()} == {i for i, _ in rows}
+
+
 def test_t_occurrence_against_counting():
     rng = random.Random(1)
     for _ in range(300):
