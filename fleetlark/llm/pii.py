@@ -11,8 +11,8 @@ Base kinds and what they accept, leftmost and non-overlapping for each kind:
 * ``card``   digits with at most one space or hyphen between two, 13 to 19 of them, Luhn sum right
 * ``phone``  ``\\+[0-9][ ().0-9-]+[0-9]`` with 9 to 15 digits
 
-Kinds added by cues: ``account`` (after iban, an IBAN whose mod-97 check holds; after ssn, social
-security or account, their number), ``address`` (a URL that carries user information before its
+Kinds added by cues, in any case: ``account`` (after iban, an IBAN whose mod-97 check holds; after ssn,
+social security or account, their number; the word number, num, no or nr may stand between), ``address`` (a URL that carries user information before its
 host), ``credential`` (the value after ``password=``, ``secret=``, ``token = ``, and AWS key ids).
 
 Defined cases: null and empty texts have no spans. Rows are treated one by one, so repeated rows
@@ -34,6 +34,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("account", "address", "credential")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 ACCOUNT_CUES = ("iban", "ssn", "social security", "account")
+NUMBER_WORDS = ("number", "num", "no", "nr")
 SECRET_CUES = ("password", "passwd", "secret", "token", "api_key")
 
 _DIGIT = frozenset("0123456789")
@@ -129,10 +130,21 @@ def _skip(text: str, at: int, most: int = 3) -> int:
     return end
 
 
+def _skip_number_word(text: str, at: int) -> int:
+    """Past a word such as "No." and the separators after it, which must be there."""
+    for word in NUMBER_WORDS:
+        if text[at:at + len(word)].lower() == word:
+            end = at + len(word)
+            end = _skip(text, end + (text[end:end + 1] == "."))
+            return end if end > at + len(word) else at
+    return at
+
+
 def account_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
     start = _skip(text, end)
     if start == end:
         return None
+    start = _skip_number_word(text, start)
     if cue == "iban":
         stop = start  # groups of four, apart by single spaces
         while stop < len(text) and stop < start + 42 and (text[stop] in _ALNUM or text[stop] == " "):
@@ -158,7 +170,9 @@ def address_at(text: str, end: int) -> tuple[int, int] | None:
 
 
 def credential_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
-    if cue == "AKIA":
+    if cue == "akia":
+        if text[end - 4:end] != "AKIA":
+            return None
         stop = _run(text, end, _ALNUM)
         alone = end == 4 or text[end - 5] not in _ALNUM
         value = text[end:stop]
@@ -171,26 +185,29 @@ def credential_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
 
 
 def automaton():
-    """Every anchor with its class and length; cues are found in either case by lower-casing
-    (character by character, so places stay)."""
+    """Every anchor with its class, in lower case, for texts lower-cased by ``lowered``."""
     found = ahocorasick.Automaton()
     for c in "0123456789":
         found.add_word(c, ("digit", c))
     found.add_word("@", ("at", "@"))
     found.add_word("+", ("plus", "+"))
-    for kind, words in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("secret", ("AKIA",))):
+    for kind, words in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("secret", ("akia",))):
         for word in words:
-            for form in {word, word.upper(), word.capitalize()}:
-                found.add_word(form, (kind, word))
+            found.add_word(word, (kind, word))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text with A to Z in lower case; places stay, as no other character changes."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def find_spans(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in order, as code points with the end left out."""
     out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in BASE_KINDS + ADDED_KINDS}
     ip_from = card_from = 0
-    for last, (kind, word) in anchors.iter(text):
+    for last, (kind, word) in anchors.iter(lowered(text)):
         if kind == "digit":
             if last >= ip_from:
                 spans, ip_from = ips_at(text, last)
