@@ -27,7 +27,7 @@ _SLICE = "_slice"
 @dataclass(frozen=True)
 class Order:
     """How a history is keyed and ordered, and when a key counts as large."""
-    key: str = "vehicle_id"
+    keys: tuple[str, ...] = ("vehicle_id",)
     time: str = "event_timestamp"
     tie: str = "id"
     large_rows: int = LARGE_ROWS
@@ -49,10 +49,10 @@ def find_slices(table: DataFrame, order: Order) -> Slices:
     """Finds the large keys of a table. Runs a job that reads only keys and times."""
     micros = f"unix_micros({order.time})"
     slices = f"ceil(n * {_SLICES_PER_LARGE} / {order.large_rows})"
-    large = (table.groupBy(order.key)
+    large = (table.groupBy(*order.keys)
              .agg(F.expr("count(*) AS n"), F.expr(f"min({micros}) AS first"), F.expr(f"max({micros}) AS last"))
-             .where(f"n >= {order.large_rows}").orderBy(F.desc("n"), order.key).limit(MAX_LARGE_VEHICLES)
-             .selectExpr(order.key, "first AS _start", f"ceil((last - first + 1) / {slices}) AS _width"))
+             .where(f"n >= {order.large_rows}").orderBy(F.desc("n"), *order.keys).limit(MAX_LARGE_VEHICLES)
+             .selectExpr(*order.keys, "first AS _start", f"ceil((last - first + 1) / {slices}) AS _width"))
     rows = large.collect()
     return Slices(order, table.sparkSession.createDataFrame(rows, large.schema) if rows else None)
 
@@ -66,7 +66,7 @@ class History:
 
     @property
     def _keys(self) -> list[str]:
-        return [self.order.key, _SLICE] if self.cut else [self.order.key]
+        return [*self.order.keys, _SLICE] if self.cut else [*self.order.keys]
 
     def _ordered(self):
         return Window.partitionBy(*self._keys).orderBy(self.order.time, self.order.tie)
@@ -88,7 +88,7 @@ class History:
         return df.join(slices.select(*self._keys, *[c.alias(name) for name, c in carry.items()]), self._keys, "left")
 
     def _earlier(self):
-        return Window.partitionBy(self.order.key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(*self.order.keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
     def with_previous(self, name: str, value: Column, where: Column | None = None) -> "History":
         """Adds ``name``: the value at the nearest earlier row (of those satisfying ``where``).
@@ -129,6 +129,6 @@ def history(df: DataFrame, slices: Slices) -> History:
     if slices.frame is None:
         return History(df, order, cut=False)
     number = f"floor((unix_micros({order.time}) - _start) / _width)"
-    cut = (df.join(F.broadcast(slices.frame), order.key, "left")
+    cut = (df.join(F.broadcast(slices.frame), [*order.keys], "left")
            .withColumn(_SLICE, F.expr(number)).drop("_start", "_width"))
     return History(cut, order, cut=True)

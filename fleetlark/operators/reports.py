@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,14 +141,22 @@ def with_legs(readings: DataFrame, large_rows: int | None = None) -> ordered.His
     return rows.via(rows.df.withColumn("leg_km", F.expr(f"coalesce({_LEG_KM}, 0D)")).drop("_prev"))
 
 
-def legs_within(readings: DataFrame, window: str) -> DataFrame:
+def legs_within(readings: DataFrame, window: str, large_rows: int | None = None) -> DataFrame:
     """Readings with ``speed`` and ``leg_km``, zero at the first point of each tumbling window. Legs
     do not cross windows, so a key is a vehicle's window: the aggregate by it needs no further
-    shuffle, and a vehicle of any size spreads over its windows."""
-    in_window = Window.partitionBy("window", "vehicle_id").orderBy("event_timestamp", "id")
+    shuffle. Windows in which one vehicle has very many rows are cut into time slices."""
     rows = _narrow(readings).withColumn("window", F.window("event_timestamp", window))
-    return (rows.withColumn("_prev", F.lag(F.struct("lat", "lng")).over(in_window))
-            .withColumn("leg_km", F.expr(f"coalesce({_LEG_KM}, 0D)")).drop("_prev"))
+    large = ordered.find_slices(readings, ordered.by_vehicle(large_rows))
+    if large.frame is not None:  # only a large vehicle can have a large window
+        rows = rows.withColumn("_window", F.unix_micros("window.start"))
+        theirs = rows.join(F.broadcast(large.frame.select("vehicle_id")), "vehicle_id", "left_semi")
+        large = ordered.find_slices(theirs, replace(large.order, keys=("_window", "vehicle_id")))
+    if large.frame is not None:
+        rows = ordered.history(rows, large).with_previous("_prev", F.struct("lat", "lng")).rows()
+    else:
+        in_window = Window.partitionBy("window", "vehicle_id").orderBy("event_timestamp", "id")
+        rows = rows.withColumn("_prev", F.lag(F.struct("lat", "lng")).over(in_window))
+    return rows.withColumn("leg_km", F.expr(f"coalesce({_LEG_KM}, 0D)")).drop("_prev", "_window")
 
 
 def window_figures(legs: DataFrame, window: Column) -> DataFrame:
@@ -159,9 +168,9 @@ def window_figures(legs: DataFrame, window: Column) -> DataFrame:
                     "avg_speed", "max_speed", "total_distance", "reading_count"))
 
 
-def vehicle_stats(readings: DataFrame, window: str = "5 minutes") -> DataFrame:
+def vehicle_stats(readings: DataFrame, window: str = "5 minutes", large_rows: int | None = None) -> DataFrame:
     """Average and maximum speed, distance and count per vehicle and tumbling window."""
-    return window_figures(legs_within(readings, window), F.col("window"))
+    return window_figures(legs_within(readings, window, large_rows), F.col("window"))
 
 
 def running_stats(readings: DataFrame, large_rows: int | None = None) -> DataFrame:

@@ -49,6 +49,22 @@ def test_windowed_figures_are_shuffled_once_by_window_and_vehicle(skewed):
     assert text.split("Exchange hashpartitioning(")[1].startswith("window#")
 
 
+@pytest.mark.parametrize("window, large_rows", [("1 day", 3), ("1 day", 40), ("1 hour", 3), ("5 minutes", 300)])
+def test_slicing_windowed_figures_changes_nothing(skewed, window, large_rows):
+    rounded = lambda df: df.withColumns({c: F.round(c, 7) for c, t in df.dtypes if t == "double"})
+    same(rounded(reports.vehicle_stats(skewed, window)), rounded(reports.vehicle_stats(skewed, window, large_rows)))
+
+
+def test_a_vehicle_of_one_day_is_cut_into_slices(skewed):
+    day = skewed.withColumn("event_timestamp", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id % 800 * 100)"))
+    cut = reports.legs_within(day, "1 day", 100)
+    text = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(_window#" in text and "_slice#" in text.split("Exchange hashpartitioning(_window#")[1].split(")")[0]
+    same(cut.withColumn("leg_km", F.round("leg_km", 7)), reports.legs_within(day, "1 day").withColumn("leg_km", F.round("leg_km", 7)))
+    text = reports.legs_within(day, "1 day", 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "_slice#" not in text
+
+
 def in_order(skewed):
     return sorted(skewed.collect(), key=lambda r: (r.vehicle_id, r.event_timestamp, r.id))
 
