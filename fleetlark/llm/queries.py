@@ -13,7 +13,8 @@ from fleetlark.llm.pieces import op2_pieces
 from fleetlark.llm.pii import op1_pii
 from fleetlark.llm.quality import op6_quality
 from fleetlark.llm.resampling import OP11_SQL, op11_resampling
+from fleetlark.llm.toxicity import op13_toxicity
 from fleetlark.llm.vectors import op10_near_vectors
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_pieces, op3_fingerprint, op4_line_dedup, op5_html, op6_quality, op7_ngram_join, op8_language, op9_mixing, op10_near_vectors, op11_resampling, op12_negatives)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_pieces, op3_fingerprint, op4_line_dedup, op5_html, op6_quality, op7_ngram_join, op8_language, op9_mixing, op10_near_vectors, op11_resampling, op12_negatives, op13_toxicity)}
 ORACLES: dict[str, str] = {"op11_resampling": OP11_SQL, "op12_negatives": OP12_SQL}
