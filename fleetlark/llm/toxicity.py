@@ -31,7 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,28 +50,39 @@ _LANDMARK_LETTERS = 12
 # Toxic landmarks are less alike than this.
 _DISTINCT = 0.7
 _KEPT_WORDS = 400_000
-_CHUNK = 256
+_CHUNK = 512
 # Marks before and after a word, so that its ends count as letters do.
 _BEGIN, _END = "\x02", "\x03"
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
-_STOP = re.compile(r"[.!?…。]+\s+|[\n\r]+")
-_SPACED = re.compile(r"(?<!\S)\S\s\S\s\S(?!\S)")
-_WORD = re.compile(r"(?:\S\s){2,}\S(?!\S)|\S+")
+_STOPS = ".!?…。"
 _SPELT = re.compile(r"\w(?:[\W_]\w){2,}")
 _INSERTED = ".-*_'xe"
 
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence, as they stand, in lower case."""
-    text = text.lower()
-    split = _WORD.findall if _SPACED.search(text) else str.split
     found = []
-    for part in _STOP.split(text):
-        words = split(part)
-        found += [words[a:a + SENTENCE_WORDS] for a in range(0, len(words), SENTENCE_WORDS)]
+    for line in text.lower().split("\n"):
+        words = joined(line.split())
+        start = 0
+        for stop in [k + 1 for k, w in enumerate(words) if w[-1] in _STOPS] + [len(words)]:
+            found += [words[a:min(a + SENTENCE_WORDS, stop)] for a in range(start, stop, SENTENCE_WORDS)]
+            start = stop
     return found
 
 
+def joined(words: list[str]) -> list[str]:
+    """Three and more single characters in a row as one word."""
+    single = [k for k, w in enumerate(words) if len(w) == 1]
+    if not any(b - a == 2 for a, b in zip(single, single[2:])):
+        return words
+    out: list[str] = []
+    for alone, run in groupby(words, key=lambda w: len(w) == 1):
+        run = list(run)
+        out += ["".join(run)] if alone and len(run) > 2 else run
+    return out
+
+
 def units(word: str) -> list[str]:
     """The word between its marks, or overlapping stretches of a long one; nothing for mere punctuation."""
     word = word.strip(_EDGE)
@@ -91,42 +102,52 @@ def _codes(words: list[str]) -> np.ndarray:
 
 def subsequence_kernel(words: list[str], others: list[str]) -> np.ndarray:
     """The kernel of each word with each other one, not scaled. Dynamic programming over the letters of the words, for
-    all others and all their letters at once: ``state[q]`` holds, up to a letter of the other, the weight of common
-    subsequences of q letters."""
-    target = _codes(others)
-    alphabet = np.unique(target[target > 0])
-    equal = (target == alphabet[:, None, None]).astype(np.float32)  # letter, other, place
-    equal = np.concatenate((equal, np.zeros((1, *target.shape), np.float32)))
-    place = np.arange(target.shape[1])
-    gap = place[None, :] - place[:, None]
-    onward = np.where(gap > 0, DECAY ** (gap + 1.0), 0).astype(np.float32)
+    many others of like length and all their letters at once: ``state[q]`` holds, up to a letter of the other, the weight of
+    common subsequences of q + 1 letters."""
     out = np.zeros((len(words), len(others)), np.float32)
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for a in range(0, len(order), _CHUNK):
-        rows = order[a:a + _CHUNK]
-        codes = _codes([words[k] for k in rows])
-        at = np.minimum(np.searchsorted(alphabet, codes), max(0, len(alphabet) - 1))
-        letters = np.where(alphabet[at] == codes, at, len(alphabet)) if len(alphabet) else np.zeros(codes.shape, np.int64)
-        out[rows] = _chunk(letters, equal, onward)
+    by_length = sorted(range(len(others)), key=lambda k: len(others[k]))
+    for part in np.array_split(np.array(by_length, np.int64), min(3, len(others))):
+        target = _codes([others[k] for k in part])
+        alphabet = np.unique(target[target > 0])
+        equal = (target == alphabet[:, None, None]).astype(np.float32)  # letter, other, place
+        equal = np.concatenate((equal, np.zeros((1, *target.shape), np.float32)))
+        onward = _onward(target.shape[1])
+        for a in range(0, len(order), _CHUNK):
+            rows = order[a:a + _CHUNK]
+            codes = _codes([words[k] for k in rows])
+            at = np.minimum(np.searchsorted(alphabet, codes), max(0, len(alphabet) - 1))
+            letters = np.where(alphabet[at] == codes, at, len(alphabet)) if len(alphabet) else np.zeros(codes.shape, np.int64)
+            out[np.ix_(rows, part)] = _chunk(letters, equal, onward)
     return out
 
 
+def _onward(size: int) -> np.ndarray:
+    """Weight with which a subsequence that ends at one place counts at each later one."""
+    gap = np.arange(size)[None, :] - np.arange(size)[:, None]
+    return np.where(gap > 0, DECAY ** (gap + 1.0), 0).astype(np.float32)
+
+
 def _chunk(letters: np.ndarray, equal: np.ndarray, onward: np.ndarray) -> np.ndarray:
     first = equal @ onward  # what one letter adds to the subsequences of one letter
     shape = (len(letters), *equal.shape[1:])
     state = [np.zeros(shape, np.float32) for _ in range(LENGTH - 1)]
     total, same, part, sent = (np.zeros(shape, np.float32) for _ in range(4))
-    flat = (-1, shape[2])
-    for column in letters.T:
-        np.take(equal, column, axis=0, out=same)
-        total += np.multiply(same, state[-1], out=part)
-        for q in range(LENGTH - 2, 0, -1):
-            state[q] *= DECAY
+    flat, last = (-1, shape[2]), letters.shape[1] - 1
+    for place, column in enumerate(letters.T):
+        if place:
+            np.take(equal, column, axis=0, out=same, mode="clip")
+        if place >= LENGTH - 1:  # states before are still zero
+            total += np.multiply(same, state[-1], out=part)
+        if place == last:
+            break
+        for q in range(min(LENGTH - 2, place), 0, -1):
             np.multiply(same, state[q - 1], out=part)
             np.matmul(part.reshape(flat), onward, out=sent.reshape(flat))
+            state[q] *= DECAY
             state[q] += sent
         state[0] *= DECAY
-        state[0] += np.take(first, column, axis=0, out=part)
+        state[0] += np.take(first, column, axis=0, out=part, mode="clip")
     return total.sum(axis=2) * np.float32(DECAY ** 2)
 
 
@@ -134,15 +155,13 @@ def self_kernel(words: list[str]) -> np.ndarray:
     """The kernel of each word with itself."""
     out = np.zeros(len(words), np.float32)
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for a in range(0, len(order), 16 * _CHUNK):
-        rows = order[a:a + 16 * _CHUNK]
+    for a in range(0, len(order), 8 * _CHUNK):
+        rows = order[a:a + 8 * _CHUNK]
         codes = _codes([words[k] for k in rows])
-        place = np.arange(codes.shape[1])
-        gap = place[None, :] - place[:, None]
-        onward = np.where(gap > 0, DECAY ** (gap + 1.0), 0).astype(np.float32)
+        onward = _onward(codes.shape[1])
         state = [np.zeros(codes.shape, np.float32) for _ in range(LENGTH - 1)]
         total = np.zeros(codes.shape, np.float32)
-        for i in place:
+        for i in range(codes.shape[1]):
             same = ((codes == codes[:, i, None]) & (codes > 0)).astype(np.float32)
             total += same * state[-1]
             for q in range(LENGTH - 2, 0, -1):
@@ -327,8 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
     y = got["toxic"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return sizes[1] / (sizes[0] + sizes[1])
-    split = lambda s: _WORD.findall(s) if _SPACED.search(s) else s.split()
-    docs_found = [[split(s) for s in found] for found in got["found"].to_pylist()]
+    docs_found = [[joined(s.split()) for s in found] for found in got["found"].to_pylist()]
     return train(docs_found, y, np.array([sizes[0], sizes[1]], float))
 
 
