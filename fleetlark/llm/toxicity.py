@@ -20,7 +20,7 @@ exclamation mark before white space, at a newline, and after ``SENTENCE_WORDS``
 The model is fitted on a bounded sample: about ``sample`` labelled documents of each class, chosen by a hash of the id, of each at
 most ``SAMPLE_SENTENCES`` sentences, chosen by a hash. Scoring takes whole texts.
 
-Defined cases: null and empty texts, and those without a word, get the score of a document without a sentence. With one
+Defined cases: null and empty texts, and those without a word, get the score of a sentence without words. With one
 class only, the score is that class, and 0 without labels. A row without doc_id is held out. Labels of null
 toxic are not used; of repeated labels each counts. Repeated rows get equal scores. Other columns are not looked at.
 """
@@ -216,7 +216,7 @@ class Model:
         ends = np.concatenate(([0], np.cumsum(sizes)))
         margins = total[ends[1:]] - total[ends[:-1]] + self.bias
         bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
-        return np.array([summary(margins[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]).reshape(-1, 3)
+        return np.array([summary(margins[a:b] if b > a else np.array([self.bias])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]).reshape(-1, 3)
 
     def scores(self, texts: list[list[list[str]]], shares: Shares) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.summaries(texts, shares) @ self.curve, -60, 60)))
@@ -284,7 +284,7 @@ def train(docs: list[list[list[str]]], labels: np.ndarray, frequency: np.ndarray
     fitted = [(d, y) for d, y, s in zip(docs, labels.tolist(), seen, strict=True) if s and d]
     landmarks = chosen_landmarks([d for d, _ in fitted], np.array([y for _, y in fitted], np.int64), count)
     if not landmarks:
-        return Model(["\x02\x02\x02\x02"], np.zeros(1), 0.0, logistic(np.array([summary(np.zeros(0))] * len(docs)), labels, frequency[labels]))
+        return Model(["\x02\x02\x02\x02"], np.zeros(1), 0.0, logistic(np.array([summary(np.zeros(1))] * len(docs)), labels, frequency[labels]))
     own = self_kernel(landmarks)
     values, vectors = np.linalg.eigh(similarities(landmarks, landmarks, own).astype(np.float64) + 1e-3 * np.eye(len(landmarks)))
     whiten = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
@@ -317,7 +317,10 @@ def train(docs: list[list[list[str]]], labels: np.ndarray, frequency: np.ndarray
     found = plain.summaries([docs[k] for k in rest], Shares(landmarks, plain.beta))
     each = np.bincount(labels[rest], minlength=2)
     weights = (frequency / frequency.sum() / np.maximum(each, 1))[labels[rest]] * len(rest)
-    return Model(landmarks, plain.beta, bias, logistic(found, labels[rest].astype(float), weights))
+    curve = logistic(found, labels[rest].astype(float), weights)
+    if (curve[:2] < 0).any():  # more toxic sentences never make a document less so
+        curve = logistic(found * np.append(curve[:2] >= 0, True), labels[rest].astype(float), weights)
+    return Model(landmarks, plain.beta, bias, curve)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:

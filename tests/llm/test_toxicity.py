@@ -43,7 +43,7 @@ def test_a_document_at_a_time(spark, sf, model, small_docs):
     got = {r["doc_id"]: r["score"] for r in tx.score(small_docs, model).collect()}
     own = tx.self_kernel(model.landmarks)
     for r in small_docs.orderBy("doc_id").limit(40).collect():
-        margins = [model.bias + sum(float(tx.similarities([u], model.landmarks, own)[0] @ model.beta) for w in s for u in tx.units(w)) for s in tx.sentences(r["text"] or "")]
+        margins = [model.bias + sum(float(tx.similarities([u], model.landmarks, own)[0] @ model.beta) for w in s for u in tx.units(w)) for s in tx.sentences(r["text"] or "")] or [model.bias]
         top, size = min(max([*margins, -1.5]), 0.0), np.log1p(sum(m for m in margins if m > 0))
         assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-(np.array([top, size, 1.0]) @ model.curve)))) < 1e-3
 
