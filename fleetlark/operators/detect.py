@@ -193,6 +193,32 @@ def status_changes(status: DataFrame, as_of: Instant, **thresholds: float) -> Da
             .where(~F.col("old_status").eqNullSafe(F.col("new_status"))))
 
 
+def apply_changes(status: DataFrame, as_of: Instant, **thresholds: float) -> DataFrame:
+    """Statuses reclassified at an instant; those that change carry it as the time of their update."""
+    fresh = V.vehicle_status(F.col("last_seen"), F.col("last_speed"), V.moment(as_of), **thresholds)
+    updated = F.when(F.col("status").eqNullSafe(fresh), F.col("status_updated_at")).otherwise(V.moment(as_of))
+    return status.withColumns({"status": fresh, "status_updated_at": updated})
+
+
+def newest_readings(readings: DataFrame) -> DataFrame:
+    """The newest reading of each vehicle: its position, speed and time."""
+    return (readings.groupBy("vehicle_id")
+            .agg(F.max_by(F.struct(F.col("lat").alias("last_lat"), F.col("lng").alias("last_lng"), F.col("speed_kph").alias("last_speed"),
+                                   F.col("event_timestamp").alias("last_seen")), F.struct("event_timestamp", "id")).alias("r"))
+            .select("vehicle_id", "r.*"))
+
+
+def merge_status(known: DataFrame, newest: DataFrame) -> DataFrame:
+    """Statuses after newer readings (of ``newest_readings``): a vehicle with a reading at least as new as its status takes its
+    values and the status at its time; the others stay as they are."""
+    seen = F.col("last_seen")
+    fresh = newest.select("vehicle_id", "last_lat", "last_lng", "last_speed", "last_seen", F.lit(1).alias("_new"),
+                          V.vehicle_status(seen, F.col("last_speed"), seen).alias("status"), seen.alias("status_updated_at"))
+    both = known.withColumn("_new", F.lit(0)).unionByName(fresh)
+    values = F.struct("last_lat", "last_lng", "last_speed", "last_seen", "status", "status_updated_at")
+    return both.groupBy("vehicle_id").agg(F.max_by(values, F.struct("last_seen", "_new")).alias("s")).select("vehicle_id", "s.*")
+
+
 def normalize_type(alerts: DataFrame) -> DataFrame:
     """Adds ``normal_type`` and ``alert_group``."""
     kind = F.col("alert_type")

@@ -1,7 +1,5 @@
-"""Deletes and retention, over frames and over tables partitioned by date.
-
-A table here is a folder of parquet partitioned by ``event_date`` and ``batch_id`` (see
-``fleetlark.streaming.sinks``). Deletes rewrite only the partitions that hold a deleted row.
+"""Deletes and retention, over frames and over stored tables (``fleetlark.sources.store``), whose manifest
+tells which files a delete, retention or compaction must touch.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlark.functions.values import before, moment
 from fleetlark.operators.lookups import alert_filter
+from fleetlark.sources.store import SMALL_FILE_ROWS, Store
 
 Instant = str | datetime | Column
 
@@ -99,66 +98,43 @@ def retain(table: DataFrame, time: str, as_of: Instant, keep: str) -> Deletion:
     return delete_where(table, F.col(time) < before(as_of, keep))
 
 
-def delete_from_table(spark: SparkSession, path: str, condition: Column) -> int:
-    """Deletes rows of a stored table and returns how many.
-
-    Partitions that keep rows are replaced by dynamic partition overwrite, those that lose
-    all of them are removed. A run that was cut off can be repeated.
-    """
-    table = spark.read.parquet(path)
-    hit = F.coalesce(condition, F.lit(False))
-    touched = (table.groupBy("event_date", "batch_id")
-               .agg(F.count_if(hit).alias("gone"), F.count_if(~hit).alias("kept"))
-               .where("gone > 0"))
-    # One row per touched partition; the table has a bounded number of partitions.
-    parts = touched.collect()
-    rewritten = [p for p in parts if p["kept"] > 0]
-    if rewritten:
-        chosen = _any_partition(rewritten)
-        order = ["event_date", "batch_id", *_file_order(table)]
-        (table.where(chosen & ~hit).repartitionByRange(*order).sortWithinPartitions(*order)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("event_date", "batch_id").parquet(path))
-    _remove(spark, path, [p for p in parts if p["kept"] == 0])
-    return sum(p["gone"] for p in parts)
+def delete_from_table(spark: SparkSession, path: str, condition: Column, start: str | None = None, end: str | None = None,
+                      vehicle: str | None = None) -> int:
+    """Deletes rows of a stored table and returns how many; only files with such a row are written anew. Bounds on the
+    table's time and vehicle spare files by the manifest."""
+    return Store(spark, path).delete(condition, start, end, vehicle)
 
 
-def drop_before(spark: SparkSession, path: str, time: str, cutoff: str) -> int:
-    """Retention of a stored table: whole days go without being read, only the day of the
-    cutoff is rewritten. Returns the number of partitions dropped plus rows deleted."""
-    day = str(cutoff)[:10]
-    old = (spark.read.parquet(path).where(F.col("event_date") < F.lit(day).cast("date"))
-           .select("event_date", "batch_id").distinct().collect())
-    _remove(spark, path, old)
-    if not _partitions_left(spark, path):
-        return len(old)
-    boundary = F.col("event_date") == F.lit(day).cast("date")
-    return len(old) + delete_from_table(spark, path, boundary & (F.col(time) < moment(cutoff)))
-
-
-def _file_order(table: DataFrame) -> list[str]:
-    return [c for c in ("vehicle_id", "event_timestamp", "detected_at", "id") if c in table.columns]
+def delete_filtered_from_table(spark: SparkSession, path: str, vehicle: str | None = None, type: str | None = None,
+                               start: str | None = None, end: str | None = None, compat: bool = False) -> int:
+    """``delete_filtered`` on stored alerts."""
+    kind = None if type == "all" else type
+    if not any([vehicle, kind]) and start is None and end is None:
+        raise ValueError("a filtered delete needs a filter")
+    return delete_from_table(spark, path, matching(vehicle, kind and kind.upper(), start, end, compat), start, end, vehicle)
 
 
-def _any_partition(parts: list) -> Column:
-    pairs = F.array(*[F.lit(f"{p['event_date']}/{p['batch_id']}") for p in parts])
-    days = sorted({p["event_date"] for p in parts})
-    key = F.concat_ws("/", F.col("event_date").cast("string"), F.col("batch_id").cast("string"))
-    return F.col("event_date").isin(*days) & F.array_contains(pairs, key)
+def truncate_table(spark: SparkSession, path: str, confirm: bool = False) -> int:
+    """Empties a stored table and returns how many rows it had; refused unless confirmed."""
+    if not confirm:
+        raise ValueError("set confirm=True to delete all rows")
+    return Store(spark, path).truncate()
 
 
-def _filesystem(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+def drop_before(spark: SparkSession, path: str, time: str, cutoff: str) -> int:
+    """Retention of a stored table by its time: files that end before the cutoff go unread, those around it are
+    rewritten. Returns the number of rows deleted."""
+    store = Store(spark, path)
+    if store.time() != time:
+        raise ValueError(f"the table is kept by {store.time()}, not by {time}")
+    return store.drop_before(cutoff)
 
 
-def _remove(spark: SparkSession, path: str, parts: list) -> None:
-    fs, hadoop = _filesystem(spark, path)
-    for p in parts:
-        fs.delete(hadoop.Path(f"{path}/event_date={p['event_date']}/batch_id={p['batch_id']}"), True)
+def compact_table(spark: SparkSession, path: str, small_rows: int = SMALL_FILE_ROWS) -> int:
+    """Merges small files, as a stream leaves them; returns how many went."""
+    return Store(spark, path).compact(small_rows)
 
 
-def _partitions_left(spark: SparkSession, path: str) -> bool:
-    fs, hadoop = _filesystem(spark, path)
-    return len(fs.globStatus(hadoop.Path(f"{path}/event_date=*/batch_id=*"))) > 0
+def vacuum_table(spark: SparkSession, path: str, older_than_ms: int = 86_400_000) -> int:
+    """Removes files that no version of the last while needs."""
+    return Store(spark, path).vacuum(older_than_ms)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlark import schemas as S
 from fleetlark.operators import detect, lookups, maintain, reports, spatial
 from fleetlark.plans import oracle as O
 from fleetlark.plans.oracle import ALERTS, AS_OF, NOW, READINGS, select
@@ -19,6 +20,7 @@ ORACLES: dict[str, str] = {}
 VEHICLE = "VH-0008"
 FROM, TO = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
 SINCE = "2024-01-15 12:00:00"
+LATER = "2024-01-31 05:00:00"
 _RANGE = f"BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"
 _READING = ["id", "vehicle_id", "lat", "lng", "speed_kph", "heading", "event_timestamp"]
 _ALERT = ["id", "vehicle_id", "alert_type", "detected_at", "lat", "lng"]
@@ -139,6 +141,26 @@ on_readings("a12_backfill", lambda r: gps.backfill_location(r).select(
     "SELECT id, lng, lat, NOT located AS location_filled FROM readings")
 
 
+on_readings("a5_located_readings", lambda r: gps.located(r.withColumn("lat", F.when(F.col("id") % 89 != 0, F.col("lat")))).select(
+    *_READING, F.col("location.lng").alias("point_lng"), F.col("location.lat").alias("point_lat")),
+    """SELECT id, vehicle_id, CASE WHEN id % 89 <> 0 THEN lat END AS lat, lng, speed_kph, heading, event_timestamp,
+    CASE WHEN located OR id % 89 <> 0 THEN lng END AS point_lng, CASE WHEN located OR id % 89 <> 0 THEN lat END AS point_lat FROM readings""")
+on_alerts("a6_alert_rows", lambda a: gps.alert_records(a.withColumns({
+    "details": F.struct(F.col("alert_type").alias("kind"), "id"), "lng": F.when(F.col("id") % 89 != 0, F.col("lng"))})).select(
+    *_ALERT, "details", F.col("location.lng").alias("point_lng"), F.col("location.lat").alias("point_lat")),
+    """SELECT id, vehicle_id, alert_type, detected_at, lat, CASE WHEN id % 89 <> 0 THEN lng END AS lng, '{"kind":"' || alert_type || '","id":' || id || '}' AS details,
+    CASE WHEN id % 89 <> 0 THEN lng END AS point_lng, CASE WHEN id % 89 <> 0 THEN lat END AS point_lat FROM alerts""")
+
+
+@query("a7_merge_status", select(
+    """SELECT vehicle_id, lat AS last_lat, lng AS last_lng, speed_kph AS last_speed, event_timestamp AS last_seen,
+    CASE WHEN speed_kph <= 1 THEN 'IDLE' ELSE 'ONLINE' END AS status, event_timestamp AS status_updated_at FROM readings
+    QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_timestamp DESC, id % 2 DESC, id DESC) = 1""", READINGS))
+def a7(spark, sf):
+    halves = [detect.newest_readings(tables.readings(spark, sf).where(F.col("id") % 2 == half)) for half in (0, 1)]
+    return detect.merge_status(detect.merge_status(spark.createDataFrame([], S.STATUS), halves[0]), halves[1])
+
+
 @query("a13_normalize_alerts", select(
     f"""SELECT id, vehicle_id, CASE WHEN alert_type = 'UNKNOWN' THEN 'SPEEDING' ELSE alert_type END AS alert_type,
     CASE WHEN id % 83 = 0 THEN {AS_OF} ELSE detected_at END AS detected_at,
@@ -351,6 +373,15 @@ def d8(spark, sf):
     return detect.status_changes(stored, NOW, idle_minutes=240, offline_minutes=720)
 
 
+@query("d8_apply_changes", select(
+    f"""SELECT vehicle_id, last_seen, new_status AS status, CASE WHEN old_status = new_status THEN {AS_OF} ELSE {AS_OF} + INTERVAL 6 HOUR END AS status_updated_at
+    FROM (SELECT vehicle_id, last_seen, {O.DASHBOARD_STATUS} AS old_status, {O.service_status(240, 720).replace('age', '(age + 360)')} AS new_status FROM aged)""",
+    READINGS, O.STATUS))
+def d8_apply(spark, sf):
+    stored = detect.build_status(tables.readings(spark, sf), NOW, "dashboard")
+    return detect.apply_changes(stored, LATER, idle_minutes=240, offline_minutes=720).select("vehicle_id", "last_seen", "status", "status_updated_at")
+
+
 _NORMAL = "CASE WHEN alert_type = 'UNKNOWN' THEN 'SPEEDING' ELSE alert_type END"
 _GROUP = ("CASE WHEN contains(alert_type, 'GEOFENCE') THEN 'GEOFENCE' WHEN alert_type = 'IDLE' THEN 'IDLE' "
           "ELSE 'SPEEDING' END")
@@ -492,6 +523,7 @@ def f2(spark, sf):
     return maintain.delete_ids(tables.alerts(spark, sf), ids).remaining.select(*_KEPT)
 
 
+on_alerts("f9_delete_all", lambda a: maintain.delete_all(a, confirm=True).counts(), "SELECT count(*) AS deleted_count FROM alerts")
 on_alerts("f10_delete_newest", lambda a: maintain.delete_newest(a.where("alert_type = 'IDLE'"), 40).remaining.select(*_KEPT),
           f"""SELECT {_K} FROM alerts WHERE alert_type = 'IDLE'
           QUALIFY row_number() OVER (ORDER BY detected_at DESC, id DESC) > 40""")

@@ -124,6 +124,21 @@ EVENT_NAMES = {"vehicle_id": "vehicleId", "speed_kph": "speedKph", "event_timest
                "alert_type": "alertType", "detected_at": "timestamp"}
 
 
+_POINT = "CASE WHEN lat IS NOT NULL AND lng IS NOT NULL THEN named_struct('lng', lng, 'lat', lat) END"
+
+
+def located(readings: DataFrame) -> DataFrame:
+    """Readings as they are stored: with the location point wherever position is known."""
+    return readings.withColumn("location", F.coalesce("location", F.expr(_POINT)) if "location" in readings.columns else F.expr(_POINT))
+
+
+def alert_records(alerts: DataFrame) -> DataFrame:
+    """Alerts as they are stored: with a location point, and details as JSON text."""
+    if dict(alerts.dtypes)["details"] != "string":
+        alerts = alerts.withColumn("details", F.to_json("details"))
+    return alerts.withColumn("location", F.expr(_POINT))
+
+
 def backfill_location(readings: DataFrame) -> DataFrame:
     """Fills the missing location points; ``location_filled`` marks the rows that changed."""
     fill = F.col("location").isNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()

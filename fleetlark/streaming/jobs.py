@@ -12,6 +12,7 @@ from fleetlark.functions.geo import haversine_km
 from fleetlark.operators import detect, reports
 from fleetlark.operators.zones import chosen_zone, with_zones
 from fleetlark.sources import gps
+from fleetlark.sources.store import writer_of
 from fleetlark.streaming import sinks
 from fleetlark.streaming.processors import FOUND, LATE, LEGS, AlertProcessor, LegProcessor
 
@@ -63,16 +64,16 @@ def ingest(messages: DataFrame, readings_path: str, status_path: str, dead_lette
            available_now: bool = False) -> StreamingQuery:
     """Parses and checks messages; stores readings and statuses, and refused messages as
     dead letters."""
-    routed = gps.route_events(gps.parse_gps(messages))
+    routed, writer = gps.route_events(gps.parse_gps(messages)), writer_of(messages.sparkSession, checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             readings = gps.to_readings(batch)
-            sinks.write_readings(readings, readings_path, batch_id)
-            sinks.upsert_status(readings, status_path, batch_id)
+            sinks.write_readings(readings, readings_path, batch_id, writer)
+            sinks.upsert_status(readings, status_path, batch_id, writer)
             letters = gps.to_dlq(batch, F.current_timestamp())
-            sinks.write_dead_letters(letters, dead_letter_path, batch_id)
+            sinks.write_dead_letters(letters, dead_letter_path, batch_id, writer)
         finally:
             batch.unpersist()
 
@@ -112,12 +113,14 @@ def detect_stream(readings: DataFrame, fences: DataFrame, *, speed_limit: float
 def run_detection(alerts: DataFrame, alerts_path: str, late_path: str, checkpoint: str,
                   available_now: bool = False) -> StreamingQuery:
     """Stores detected alerts, and apart from them the readings that came too late."""
+    writer = writer_of(alerts.sparkSession, checkpoint)
+
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             late = F.col("alert_type") == LATE
-            sinks.write_alerts(batch.where(~late), alerts_path, batch_id)
-            sinks.write_alerts(batch.where(late), late_path, batch_id)
+            sinks.write_alerts(batch.where(~late), alerts_path, batch_id, writer)
+            sinks.write_alerts(batch.where(late), late_path, batch_id, writer)
         finally:
             batch.unpersist()
 
@@ -139,10 +142,12 @@ def stats_stream(readings: DataFrame, window: str = "5 minutes", lateness: str =
 
 
 def run_stats(stats: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    writer = writer_of(stats.sparkSession, checkpoint)
+
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # the range partitioning of the write reads it twice
         try:
-            sinks.write_partitioned(batch, path, "window_start", batch_id)
+            sinks.write_partitioned(batch, path, "window_start", batch_id, writer, unique=["vehicle_id"])
         finally:
             batch.unpersist()
 
@@ -150,6 +155,17 @@ def run_stats(stats: DataFrame, path: str, checkpoint: str, available_now: bool
                     .outputMode("append").foreachBatch(store), available_now)
 
 
+def run_ageing(spark: SparkSession, status_path: str, checkpoint: str, every: str = "1 minute", available_now: bool = False) -> StreamingQuery:
+    """Reclassifies the stored statuses at the time of every tick, so that vehicles without readings turn idle and offline."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def age(batch: DataFrame, batch_id: int) -> None:
+        sinks.age_statuses(spark, status_path, F.current_timestamp())
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(age).trigger(**trigger).start()
+
+
 def publish(rows: DataFrame, checkpoint: str, *, path: str | None = None, servers: str | None = None,
             topic: str = "vehicle-alerts", available_now: bool = False) -> StreamingQuery:
     """Sends rows as keyed JSON to a Kafka topic, or to files that Spark commits once."""

@@ -1,62 +1,60 @@
-"""Stored tables written batch by batch.
+"""Stored tables of the engine: readings, alerts, dead letters, windowed figures, statuses.
 
-Every write names its batch and replaces what that batch wrote before, so a batch that is
-repeated after a failure leaves one copy. Tables are parquet, partitioned by
-``event_date`` and ``batch_id``, and sorted so that file statistics serve vehicle lookups.
+Every write names its writer and batch (see ``fleetlark.sources.store``): a batch that is repeated after a failure, on another
+day too, leaves one copy, and writers do not touch each other's rows. Event tables lie in files by date, sorted so that
+file statistics serve vehicle lookups; the status table lies in hash buckets of vehicles, of which a write replaces those it touches.
 """
 
 from __future__ import annotations
 
-import re
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlark import schemas as S
 from fleetlark.functions import values as V
+from fleetlark.operators import detect
+from fleetlark.sources import gps
+from fleetlark.sources.store import Store
 
-# Earlier versions of the status table that stay readable while a newer one is written.
-_KEPT_VERSIONS = 2
+# Hash buckets of the status table; fixed for a table's life.
+STATUS_BUCKETS = 64
+# Writer of a batch that names none.
+BATCH_WRITER = "batch"
 
 
-def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int, by_date: bool = True) -> None:
-    """Writes rows of one batch by the date of ``time`` (``by_date=False``: by batch alone, where a
-    repeat may fall on another date). Ranges over (date, vehicle, time)
-    keep tasks even when most rows are of one day or one vehicle; dead letters, which may
-    share key and time, are told apart by their payload."""
-    order = ["event_date", *[c for c in ("vehicle_id", "key", time, "id", "payload") if c in rows.columns]]
-    dated = rows.withColumns({"event_date": F.to_date(time), "batch_id": F.lit(int(batch_id)).cast("long")})
-    (dated.repartitionByRange(*order).sortWithinPartitions(*order)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*(["event_date"] if by_date else []), "batch_id").parquet(path))
+def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int, writer: str = BATCH_WRITER, key: str = "vehicle_id",
+                      unique: list[str] | None = None, same_time: bool = True) -> int:
+    """Stores the rows of a writer's batch by the date of ``time``; returns how many were new."""
+    dated = rows.withColumn("event_date", F.to_date(time))
+    return Store(rows.sparkSession, path).append(dated, time, key, writer, batch_id, unique, same_time)
 
 
-def write_readings(readings: DataFrame, path: str, batch_id: int) -> None:
-    """Writes a batch of readings, replacing what that batch wrote before, and filling the location point where position is known."""
-    point = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lng", "lat"))
-    located = readings.withColumn("location", F.coalesce("location", point) if "location" in readings.columns else point)
-    write_partitioned(located, path, "event_timestamp", batch_id)
+def write_readings(readings: DataFrame, path: str, batch_id: int, writer: str = BATCH_WRITER) -> int:
+    """Stores a batch of readings, filling the location point where position is known."""
+    return write_partitioned(gps.located(readings), path, "event_timestamp", batch_id, writer, unique=["id"])
 
 
-def write_alerts(alerts: DataFrame, path: str, batch_id: int) -> None:
-    """Writes a batch of alerts, replacing what that batch wrote before, with a location point; ``details`` that are not yet text become JSON."""
-    if dict(alerts.dtypes)["details"] != "string":
-        alerts = alerts.withColumn("details", F.to_json("details"))
-    point = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lng", "lat"))
-    write_partitioned(alerts.withColumn("location", point), path, "detected_at", batch_id)
+def write_alerts(alerts: DataFrame, path: str, batch_id: int, writer: str = BATCH_WRITER) -> int:
+    """Stores a batch of alerts, with a location point; ``details`` that are not yet text become JSON."""
+    return write_partitioned(gps.alert_records(alerts), path, "detected_at", batch_id, writer, unique=["id", "alert_type"])
 
 
-def write_dead_letters(letters: DataFrame, path: str, batch_id: int) -> None:
-    """Writes a batch of dead letters, replacing what that batch wrote before: also when it is repeated
-    on another day, as the time of failure is then another one."""
-    failed = F.timestamp_millis(F.col("headers")["dlq-failed-at"].cast("long"))
-    write_partitioned(letters.withColumn("failed_at", failed), path, "failed_at", batch_id, by_date=False)
+def write_dead_letters(letters: DataFrame, path: str, batch_id: int, writer: str = BATCH_WRITER) -> int:
+    """Stores a batch of dead letters by the day of their failure. A message is known by topic, partition and offset, as its
+    time of failure is another one when it is read again."""
+    header = lambda name: F.col("headers")[name]
+    origin = F.concat_ws("/", header(gps.HEADER_TOPIC), header(gps.HEADER_PARTITION), header(gps.HEADER_OFFSET))
+    whole = header(gps.HEADER_TOPIC).isNotNull() & header(gps.HEADER_PARTITION).isNotNull() & header(gps.HEADER_OFFSET).isNotNull()
+    dated = letters.withColumns({"failed_at": F.timestamp_millis(header(gps.HEADER_FAILED_AT).cast("long")), "origin": F.when(whole, origin)})
+    return write_partitioned(dated, path, "failed_at", batch_id, writer, key="key", unique=["origin"], same_time=False)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table, with its layout columns ``event_date`` and ``batch_id``; for a range
-    of times ``between_days`` reads only the days concerned."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, vehicle: str | None = None) -> DataFrame:
+    """A stored table, with its layout columns ``commit`` and ``event_date``; bounds on its time and vehicle leave out files."""
+    return Store(spark, path).read(start, end, vehicle)
 
 
 def between_days(table: DataFrame, time: str, start: str, end: str) -> DataFrame:
@@ -65,63 +63,43 @@ def between_days(table: DataFrame, time: str, start: str, end: str) -> DataFrame
     return table.where(days & F.col(time).between(V.moment(start), V.moment(end)))
 
 
-def upsert_status(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Merges a batch of readings into the status table: the newest reading per vehicle wins.
-
-    The table is a folder of versions ``v=<batch>``; the current one is the highest that
-    was finished. A repeated batch starts again from the version before it.
-    """
-    spark = batch.sparkSession
-    version = current_version(spark, path, below=batch_id)
-    incoming = batch.select(
-        "vehicle_id", F.col("lat").alias("last_lat"), F.col("lng").alias("last_lng"),
-        F.col("speed_kph").alias("last_speed"), F.col("event_timestamp").alias("last_seen"),
-        F.col("id").alias("_tie"))
-    if version is not None:
-        known = spark.read.schema(S.STATUS).parquet(f"{path}/v={version}")
-        # A stored row yields to a new one of the same instant.
-        incoming = incoming.unionByName(known.select(
-            "vehicle_id", "last_lat", "last_lng", "last_speed", "last_seen",
-            F.lit(-(2 ** 63)).cast("long").alias("_tie")))
-    values = F.struct("last_lat", "last_lng", "last_speed", "last_seen")
-    newest = (incoming.groupBy("vehicle_id")
-              .agg(F.max_by(values, F.struct("last_seen", "_tie")).alias("s")).select("vehicle_id", "s.*"))
-    seen = F.col("last_seen")
-    merged = newest.withColumns({"status": V.vehicle_status(seen, F.col("last_speed"), seen),
-                                 "status_updated_at": seen})
-    merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-    for old in _versions(spark, path):
-        if old < batch_id - _KEPT_VERSIONS and old != version:
-            fs, folder = _filesystem(spark, path, f"v={old}")
-            fs.delete(folder, True)
+_STATUS_ROWS = T.StructType([*S.STATUS.fields, T.StructField("bucket", T.IntegerType())])
 
 
-def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """The current status table, empty before the first batch."""
-    version = current_version(spark, path)
-    if version is None:
-        return spark.createDataFrame([], S.STATUS)
-    return spark.read.schema(S.STATUS).parquet(f"{path}/v={version}")
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("vehicle_id"), F.lit(STATUS_BUCKETS)).cast("int")
+
 
+def _statuses(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, part="bucket")
 
-def current_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """The highest finished version (below a batch)."""
-    for version in sorted(_versions(spark, path), reverse=True):
-        if below is None or version < below:
-            fs, marker = _filesystem(spark, path, f"v={version}/_SUCCESS")
-            if fs.exists(marker):
-                return version
-    return None
 
+def upsert_status(batch: DataFrame, path: str, batch_id: int, writer: str = BATCH_WRITER) -> int:
+    """Merges a batch of readings into the status table: the newest reading per vehicle wins. Only the buckets of the
+    batch's vehicles are rewritten; returns their rows."""
+    table = _statuses(batch.sparkSession, path)
+    newest = detect.newest_readings(batch).withColumn("bucket", _bucket())
+    return table.replace_parts(
+        lambda known: detect.merge_status(known.select(*S.STATUS.names), newest).withColumn("bucket", _bucket()),
+        lambda: [str(r["bucket"]) for r in newest.select("bucket").distinct().collect()],  # STATUS_BUCKETS at most
+        _STATUS_ROWS, "last_seen", "vehicle_id", writer, batch_id)
 
-def _filesystem(spark: SparkSession, path: str, child: str = ""):
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{child}" if child else path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
+def age_statuses(spark: SparkSession, path: str, as_of: str | datetime | Column, **thresholds: float) -> int:
+    """Reclassifies the stored statuses at an instant, so that a vehicle without readings turns idle and offline. Only
+    buckets with a changed status are rewritten; returns their rows."""
+    table = _statuses(spark, path)
+    if table.current().schema is None:
+        return 0
+    changed = lambda: detect.status_changes(read_status(spark, path), as_of, **thresholds).select(_bucket().alias("bucket")).distinct()
+    return table.replace_parts(
+        lambda known: detect.apply_changes(known.select(*S.STATUS.names), as_of, **thresholds).withColumn("bucket", _bucket()),
+        lambda: [str(r["bucket"]) for r in changed().collect()], _STATUS_ROWS, "last_seen", "vehicle_id")
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, root = _filesystem(spark, path)
-    if not fs.exists(root):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(root)]
-    return [int(m.group(1)) for m in (re.fullmatch(r"v=(\d+)", name) for name in names) if m]
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """The current status table, empty before the first batch. What it reads stays whole while newer versions are written."""
+    table = _statuses(spark, path)
+    if table.current().schema is None:
+        return spark.createDataFrame([], S.STATUS)
+    return table.read().select(*S.STATUS.names)
