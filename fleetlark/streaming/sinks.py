@@ -34,12 +34,12 @@ def write_partitioned(rows: DataFrame, path: str, time: str, batch_id: int, writ
 
 def write_readings(readings: DataFrame, path: str, batch_id: int, writer: str = BATCH_WRITER) -> int:
     """Stores a batch of readings, filling the location point where position is known."""
-    return write_partitioned(gps.located(readings), path, "event_timestamp", batch_id, writer, unique=["id"])
+    return write_partitioned(gps.located(readings), path, "event_timestamp", batch_id, writer, unique=["id", "vehicle_id"])
 
 
 def write_alerts(alerts: DataFrame, path: str, batch_id: int, writer: str = BATCH_WRITER) -> int:
     """Stores a batch of alerts, with a location point; ``details`` that are not yet text become JSON."""
-    return write_partitioned(gps.alert_records(alerts), path, "detected_at", batch_id, writer, unique=["id", "alert_type"])
+    return write_partitioned(gps.alert_records(alerts), path, "detected_at", batch_id, writer, unique=["id", "vehicle_id", "alert_type"])
 
 
 def write_dead_letters(letters: DataFrame, path: str, batch_id: int, writer: str = BATCH_WRITER) -> int:
