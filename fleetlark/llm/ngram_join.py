@@ -11,9 +11,9 @@ threshold; the join returns every document's set size and the smallest id reacha
    documents still share a key, while documents that merely have passages in common do not.
 3. Documents that share a key form a block; blocks of over ``BLOCK_SHINGLES`` shingles are cut
    into parts, and each pair of parts is a block of its own, so no task takes a large group.
-   In a block each document searches an inverted index by DivideSkip: the short lists are
-   merged over a heap, the long ones probed by bisection, and those that reach the required
-   overlap are kept. A block returns a spanning forest, never all pairs.
+   In a block a document searches an inverted index by DivideSkip: the short lists are
+   merged, the long ones probed by bisection, and those that reach the required overlap are kept. Searches end
+   as soon as all documents not yet searched hang together. A block returns a spanning forest, never all pairs.
 4. The first round of blocks takes one key for each document. The second takes every key whose
    documents still lie in different components, so that no link between components is missed;
    documents that hang together through such keys make one block where they fit one.
@@ -25,9 +25,7 @@ is linked with nothing and is its own (null) component. Other columns are not lo
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -42,7 +40,7 @@ from fleetlark.llm.shingles import shingle_sets
 
 BLOCK_SHINGLES = 600_000
 # Weight of a probe against a merge step in DivideSkip's choice of long lists.
-_MU = 0.0085
+_MU = 5.0
 
 
 def _signatures(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
@@ -76,101 +74,77 @@ def _ceil(x: Fraction) -> int:
     return -(-x.numerator // x.denominator)
 
 
-def t_occurrence(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
-    """Numbers that occur in at least ``least`` of the sorted lists, with how often they do."""
-    lists = sorted(lists, key=len)
+def t_occurrence(lists: list, least: int) -> list[tuple[int, int]]:
+    """Numbers (not negative) that occur in at least ``least`` of the sorted lists, with how often they do.
+
+    The longest lists are set aside; what occurs often enough in the others, merged, is looked up in each long one by
+    bisection, and dropped once the lists left cannot make up what it lacks. (The merge adds up occurrences of all short lists at
+    once. A heap over them gives the same counts one element at a time.)"""
     if len(lists) < least:
         return []
+    lists = sorted((np.asarray(x) for x in lists), key=len)
     longest = max(2, len(lists[-1]))
     n_long = max(0, min(least - 1, int(least / (_MU * math.log2(longest) + 1))))
     short, long = lists[:len(lists) - n_long], lists[len(lists) - n_long:][::-1]
-    need = least - n_long
-    heap = [(x[0], k) for k, x in enumerate(short)]
-    heapq.heapify(heap)
-    place, found = [0] * len(short), []
-
-    def onward(k: int, bound: int) -> None:
-        place[k] = bisect_left(short[k], bound, place[k])
-        if place[k] < len(short[k]):
-            heapq.heappush(heap, (short[k][place[k]], k))
-
-    while len(heap) >= need:
-        value, popped = heap[0][0], []
-        while heap and heap[0][0] == value:
-            popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= need:
-            count, left = len(popped), len(long)
-            for x in long:
-                if count + left < least:
-                    break
-                i = bisect_left(x, value)
-                count += i < len(x) and x[i] == value
-                left -= 1
-            if count >= least:
-                found.append((value, count))
-            bound = value + 1
-        else:  # fewer than needed so far: all of these may jump to the next value that can still count
-            while heap and len(popped) < need - 1:
-                popped.append(heapq.heappop(heap)[1])
-            if not heap:
-                break
-            bound = max(value + 1, heap[0][0])
-        for k in popped:
-            onward(k, bound)
-    return found
+    counts = np.bincount(np.concatenate(short))
+    found = np.flatnonzero(counts >= least - n_long)
+    counts = counts[found]
+    for left, x in zip(range(n_long, 0, -1), long, strict=True):
+        may = counts + left >= least
+        if not may.all():
+            found, counts = found[may], counts[may]
+        if not len(found):
+            return []
+        at = np.searchsorted(x, found)
+        counts = counts + (x[np.minimum(at, len(x) - 1)] == found)
+    enough = counts >= least
+    return list(zip(found[enough].tolist(), counts[enough].tolist(), strict=True))
 
 
 def block_links(ids: list[int], sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
     """A spanning forest of the links among some documents.
 
-    Jaccard distance is a metric, which saves indexing every member of a dense group: a document
-    within ``ball`` of an indexed one joins its ball instead of the index. A search reaches
-    ``ball`` further than the threshold; where the centre itself is too far, members of its
-    ball are compared one by one unless they are connected already.
+    A search finds all links of one document. Two documents of different components need no search if one of them has
+    been searched, so searches go on only until all documents not yet searched hang together: a dense group is settled by a
+    few of its members. Those whose shingles most others share go first, as they link most; members of
+    the component with the most documents left wait.
     """
-    ball = min((1 - t) / 2, Fraction(1, 20))
-    reach = t - ball
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    root, links = list(range(len(ids))), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def link(a: int, b: int) -> None:
-        if (ra := find(a)) != (rb := find(b)):
-            root[max(ra, rb)] = min(ra, rb)
-            links.append((ids[a], ids[b]))
-
-    def similar(common: int, n: int, m: int, least: Fraction) -> bool:
-        return common * least.denominator >= least.numerator * (n + m - common)
-
-    index: dict[int, list[int]] = {}
-    members: dict[int, list[int]] = {}
-    for q in range(len(ids)):  # ascending, so the inverted lists are sorted
-        keys, n = sets[q].tolist(), len(sets[q])
-        smallest = _ceil(reach * n)
-        least = max(1, _ceil(reach * (n + smallest) / (1 + reach)))
-        home = None
-        for x, common in t_occurrence([index[k] for k in keys if k in index], least):
-            m = len(sets[x])
-            if similar(common, n, m, t):
-                link(q, x)
-                if home is None and similar(common, n, m, 1 - ball):
-                    home = x
-            elif similar(common, n, m, reach):
-                for y in members[x]:
-                    if find(y) != find(q) and similar(len(np.intersect1d(sets[q], sets[y], True)), n, len(sets[y]), t):
-                        link(q, y)
-        if home is not None:
-            members[home].append(q)
-        else:
-            members[q] = []
-            for k in keys:
-                index.setdefault(k, []).append(q)
+    n, sizes = len(ids), np.array([len(x) for x in sets], np.int64)
+    if n < 2:
+        return []
+    owner = np.repeat(np.arange(n), sizes)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    index = np.split(owner[np.argsort(token, kind="stable")], np.cumsum(df)[:-1])  # documents of each shingle, ascending
+    tokens = np.split(token, np.cumsum(sizes)[:-1])
+    shared = np.bincount(owner, weights=df[token], minlength=n) / np.maximum(sizes, 1)
+    root, links, searched = np.arange(n), [], np.zeros(n, bool)
+
+    def search(q: int) -> None:
+        size = int(sizes[q])
+        low, high = np.searchsorted(sizes, [_ceil(t * size), size * t.denominator // t.numerator + 1])
+        least = max(1, _ceil(t * (size + _ceil(t * size)) / (1 + t)))
+        lists = [index[k] for k in tokens[q].tolist() if df[k] > 1]
+        for x, common in t_occurrence(lists, least):
+            if low <= x < high and root[x] != root[q] and common * t.denominator >= t.numerator * (size + int(sizes[x]) - common):
+                links.append((ids[q], ids[x]))
+                root[root == root[x]] = root[q]
+        searched[q] = True
+
+    waiting = np.lexsort((np.arange(n), -shared))
+    while len(waiting) > 1 and (root[waiting] != root[waiting[0]]).any():
+        later = []
+        for place, q in enumerate(waiting.tolist()):
+            left = np.concatenate((np.array(later, np.int64), waiting[place:]))
+            groups = np.bincount(root[left], minlength=n)
+            if groups[root[q]] == len(left):
+                return links
+            if groups[root[q]] > 1 and groups[root[q]] == groups.max():
+                later.append(q)
+            else:
+                search(q)
+        waiting = np.array(later, np.int64)
     return links
 
 
