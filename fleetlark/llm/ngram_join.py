@@ -75,30 +75,41 @@ def _ceil(x: Fraction) -> int:
 
 
 def t_occurrence(lists: list, least: int) -> list[tuple[int, int]]:
-    """Numbers (not negative) that occur in at least ``least`` of the sorted lists, with how often they do.
+    """Numbers (not negative) that occur in at least ``least`` of the sorted lists, with how often they do."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    ends = np.cumsum(sizes)
+    found, counts = occurring(np.concatenate([np.asarray(x, np.int64) for x in lists]), ends - sizes, sizes, least)
+    return list(zip(found.tolist(), counts.tolist(), strict=True))
+
+
+def occurring(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of lists that lie in one array.
 
     The longest lists are set aside; what occurs often enough in the others, merged, is looked up in each long one by
     bisection, and dropped once the lists left cannot make up what it lacks. (The merge adds up occurrences of all short lists at
     once. A heap over them gives the same counts one element at a time.)"""
-    if len(lists) < least:
-        return []
-    lists = sorted((np.asarray(x) for x in lists), key=len)
-    longest = max(2, len(lists[-1]))
-    n_long = max(0, min(least - 1, int(least / (_MU * math.log2(longest) + 1))))
-    short, long = lists[:len(lists) - n_long], lists[len(lists) - n_long:][::-1]
-    counts = np.bincount(np.concatenate(short))
+    none = np.zeros(0, np.int64)
+    if len(sizes) < least or not len(sizes):
+        return none, none
+    n_long = max(0, min(least - 1, int(least / (_MU * math.log2(max(2, sizes.max())) + 1))))
+    order = np.argsort(sizes, kind="stable")
+    short, long = order[:len(order) - n_long], order[len(order) - n_long:][::-1]
+    lengths = sizes[short]
+    before = np.cumsum(lengths) - lengths
+    merged = flat[np.repeat(starts[short] - before, lengths) + np.arange(lengths.sum())]
+    counts = np.bincount(merged)
     found = np.flatnonzero(counts >= least - n_long)
     counts = counts[found]
-    for left, x in zip(range(n_long, 0, -1), long, strict=True):
+    for left, k in zip(range(n_long, 0, -1), long.tolist(), strict=True):
         may = counts + left >= least
-        if not may.all():
-            found, counts = found[may], counts[may]
+        found, counts = found[may], counts[may]
         if not len(found):
-            return []
+            return none, none
+        x = flat[starts[k]:starts[k] + sizes[k]]
         at = np.searchsorted(x, found)
         counts = counts + (x[np.minimum(at, len(x) - 1)] == found)
     enough = counts >= least
-    return list(zip(found[enough].tolist(), counts[enough].tolist(), strict=True))
+    return found[enough], counts[enough]
 
 
 def block_links(ids: list[int], sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
@@ -116,21 +127,21 @@ def block_links(ids: list[int], sets: list[np.ndarray], t: Fraction) -> list[tup
         return []
     owner = np.repeat(np.arange(n), sizes)
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    index = np.split(owner[np.argsort(token, kind="stable")], np.cumsum(df)[:-1])  # documents of each shingle, ascending
-    tokens = np.split(token, np.cumsum(sizes)[:-1])
+    index, begin = owner[np.argsort(token, kind="stable")], np.cumsum(df) - df  # documents of each shingle, ascending
+    at = np.concatenate(([0], np.cumsum(sizes)))
     shared = np.bincount(owner, weights=df[token], minlength=n) / np.maximum(sizes, 1)
-    root, links, searched = np.arange(n), [], np.zeros(n, bool)
+    root, links = np.arange(n), []
 
     def search(q: int) -> None:
         size = int(sizes[q])
         low, high = np.searchsorted(sizes, [_ceil(t * size), size * t.denominator // t.numerator + 1])
         least = max(1, _ceil(t * (size + _ceil(t * size)) / (1 + t)))
-        lists = [index[k] for k in tokens[q].tolist() if df[k] > 1]
-        for x, common in t_occurrence(lists, least):
+        lists = token[at[q]:at[q + 1]]
+        lists = lists[df[lists] > 1]
+        for x, common in zip(*(v.tolist() for v in occurring(index, begin[lists], df[lists], least)), strict=True):
             if low <= x < high and root[x] != root[q] and common * t.denominator >= t.numerator * (size + int(sizes[x]) - common):
                 links.append((ids[q], ids[x]))
                 root[root == root[x]] = root[q]
-        searched[q] = True
 
     waiting = np.lexsort((np.arange(n), -shared))
     while len(waiting) > 1 and (root[waiting] != root[waiting[0]]).any():

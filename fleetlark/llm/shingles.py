@@ -42,7 +42,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: dict[int, list[np
     first = ~blank & (np.concatenate(([True], blank[:-1])) | edge[:-1])
     last = ~blank & (np.concatenate((blank[1:], [True])) | edge[1:])
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = 1 << max(20, int(len(text)).bit_length())
+    size = 1 << max(10, int(len(text)).bit_length())
     powers = {} if powers is None else powers
     if size not in powers:
         powers[size] = _powers(size)
