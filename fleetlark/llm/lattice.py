@@ -52,24 +52,18 @@ class Vocabulary:
     def __init__(self, model: bytes):
         read = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = read.get_piece_size()
-        self.bytes: list[bytes] = []
+        self.bytes = [_bytes_of(read, k) for k in range(self.size)]
         self.byte_ids = np.zeros(256, np.int64)
         edges: dict[int, int] = {}
         final = [-1]
         rank = np.full(self.size, float(self.size))
         for k in range(self.size):
-            piece = read.id_to_piece(k)
             if read.is_byte(k):
-                value = int(piece[3:5], 16)
-                self.byte_ids[value] = k
-                self.bytes.append(bytes([value]))
-            elif read.is_control(k) or read.is_unknown(k):
-                self.bytes.append(b"")
-            else:
-                surface = piece.replace("▁", " ")
+                self.byte_ids[self.bytes[k][0]] = k
+            elif not (read.is_control(k) or read.is_unknown(k)):
+                surface = self.bytes[k].decode()
                 if not re.fullmatch(UNIT, surface):
-                    raise ValueError(f"the piece {piece!r} crosses a boundary of units")
-                self.bytes.append(surface.encode())
+                    raise ValueError(f"the piece {surface!r} crosses a boundary of units")
                 rank[k] = max(0.0, -read.get_score(k))
                 node = 0
                 for c in surface:
@@ -103,7 +97,23 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text that ids spell; a lossless inverse of every encoding."""
-        return b"".join([self.bytes[k] for k in ids]).decode("utf-8", "replace")[1:]
+        return spell(self.bytes, ids)
+
+
+def piece_bytes(model: bytes) -> list[bytes]:
+    """The bytes that each id stands for."""
+    read = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return [_bytes_of(read, k) for k in range(read.get_piece_size())]
+
+
+def _bytes_of(read: sentencepiece.SentencePieceProcessor, k: int) -> bytes:
+    if read.is_byte(k):
+        return bytes([int(read.id_to_piece(k)[3:5], 16)])
+    return b"" if read.is_control(k) or read.is_unknown(k) else read.id_to_piece(k).replace("▁", " ").encode()
+
+
+def spell(table: list[bytes], ids: list[int]) -> str:
+    return b"".join([table[k] for k in ids]).decode("utf-8", "replace")[1:]
 
 
 def spelt(vocabulary: Vocabulary, char: int) -> np.ndarray:

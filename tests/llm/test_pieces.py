@@ -43,7 +43,8 @@ def test_decoding_is_lossless(vocabulary):
 def test_draws_do_not_depend_on_what_was_met_before(vocabulary, monkeypatch):
     keys = np.arange(len(TEXTS), dtype=np.uint64)
     one_by_one = [pieces.Sampler(vocabulary).sample([t], keys[k:k + 1])[0].tolist() for k, t in enumerate(TEXTS)]
-    monkeypatch.setattr(pieces, "_KEPT_UNITS", 5)
+    monkeypatch.setattr(pieces, "_KEPT_BYTES", 1000)
+    monkeypatch.setattr(pieces, "_SLICE_CHARS", 7)  # runs end within texts
     sampler = pieces.Sampler(vocabulary)
     assert [x.tolist() for x in sampler.sample(TEXTS, keys)] == one_by_one
     assert [sampler.sample([t], keys[k:k + 1])[0].tolist() for k, t in enumerate(TEXTS)] == one_by_one
@@ -75,3 +76,22 @@ def test_rows(spark, make_docs):
     other = pieces.encode(docs, seed=1).collect()
     assert sorted(map(key, other)) != sorted(map(key, out))
     assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_long_text_is_lossless_in_bounded_memory(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "_KEPT_BYTES", 4 << 20)
+    text = " ".join(f"word{k} {k * 7919}, naïve" for k in range(50_000))[:1_000_000]
+    sampler = pieces.Sampler(vocabulary)
+    ids = sampler.sample([text, "the"], np.arange(2, dtype=np.uint64))
+    assert len(text) == 1_000_000 and vocabulary.decode(ids[0].tolist()) == text
+    # what one run adds to the kept lattices stays below this
+    assert sampler.nbytes < (4 << 20) + 200 * pieces._SLICE_CHARS
+
+
+def test_decoded_in_the_same_pass(spark, make_docs):
+    docs = make_docs([*enumerate(TEXTS), (99, None), (None, "the")], extra=("_key", "decoded"))
+    both = pieces.encode(docs, decoded="decoded")
+    assert both.columns == [*[c for c in docs.columns if c != "decoded"], "tokens", "decoded"]
+    assert all(r["decoded"] == (r["text"] or "") for r in both.collect())
+    apart = pieces.decode(pieces.encode(docs.drop("decoded"))).select("doc_id", "tokens", "decoded")
+    assert sorted(map(str, both.select("doc_id", "tokens", "decoded").collect())) == sorted(map(str, apart.collect()))
