@@ -3,7 +3,8 @@
 Expressions over polygons are SQL text: they nest lambdas, and a text reaches the JVM in
 one call where a Column tree takes hundreds. Arguments named ``ring``, ``edges``, ``x`` and
 ``y`` are SQL expressions. A ring is array<struct<lng,lat>>, edges are
-array<struct<x1,y1,x2,y2>>.
+array<struct<x1,y1,x2,y2>>. A polygon is an array of rings, the outer one first; the edges of
+all its rings together are one edge set, in which holes are outside by the even-odd test.
 """
 
 from __future__ import annotations
@@ -51,6 +52,19 @@ def ring_edges(ring: str) -> str:
             "struct(p.lng AS x1, p.lat AS y1, q.lng AS x2, q.lat AS y2))")
 
 
+def polygon_edges(polygon: str) -> str:
+    """Edges of all rings of a polygon."""
+    return f"flatten(transform({polygon}, ring -> {ring_edges('ring')}))"
+
+
+def polygons_area(polygons: str) -> str:
+    """Area in square degrees of some polygons, holes taken off; where polygons overlap, both count."""
+    ring_area = f"transform(array({ring_edges('ring')}), edges -> {edges_area('edges')})[0]"
+    sizes = f"transform(polygon, ring -> {ring_area})"
+    return (f"aggregate(transform({polygons}, polygon -> aggregate({sizes}, CAST(NULL AS double), "
+            "(left, size) -> coalesce(left - size, size))), 0D, (total, size) -> total + size)")
+
+
 def edges_area(edges: str) -> str:
     """Area in square degrees; coordinates are taken relative to the first vertex."""
     dx, dy = f"{edges}[0].x1", f"{edges}[0].y1"

@@ -59,17 +59,22 @@ class FenceIndex:
 
 
 def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
-    """Index of the fences, each box grown by a margin; fences without a ring are left out.
+    """Index of the fences, each box grown by a margin; fences without a ring are left out. A fence is
+    where one of its ``polygons`` is, or without such a column the inside of its ``ring``.
     Measures the (small) fence table first, to choose how it will be joined; what was read
     for that stays cached for the join, until ``release``."""
     pad_x, pad_y = geo.grown_box(margin_m)
-    edged = fences.where("size(ring) >= 4").selectExpr(
-        "id", "name", f"{geo.ring_edges('ring')} AS edges",
-        *[f"{pick}(transform(ring, p -> p.{axis})) AS {name}" for name, pick, axis in (
+    polygons = "polygons" if "polygons" in fences.columns else "array(array(ring))"
+    whole_rings = f"transform(filter({polygons}, p -> size(get(p, 0)) >= 4), p -> filter(p, r -> size(r) >= 4))"
+    usable = fences.selectExpr("id", "name", f"{whole_rings} AS polygons").where("size(polygons) > 0")
+    edged = usable.selectExpr(
+        "id", "name", f"transform(polygons, polygon -> {geo.polygon_edges('polygon')}) AS parts",
+        f"{geo.polygons_area('polygons')} AS area",
+        *[f"{pick}(flatten(transform(polygons, polygon -> transform(polygon[0], p -> p.{axis})))) AS {name}" for name, pick, axis in (
             ("west", "array_min", "lng"), ("east", "array_max", "lng"),
             ("south", "array_min", "lat"), ("north", "array_max", "lat"))])
-    padded = edged.selectExpr("*", f"{geo.edges_area('edges')} AS area", f"{pad_x} AS pad_x", f"{pad_y} AS pad_y")
-    grown = padded.selectExpr("id", "name", "edges", "area", "pad_x", "pad_y", "west - pad_x AS west",
+    padded = edged.selectExpr("*", f"{pad_x} AS pad_x", f"{pad_y} AS pad_y")
+    grown = padded.selectExpr("id", "name", "parts", "area", "pad_x", "pad_y", "west - pad_x AS west",
                               "east + pad_x AS east", "south - pad_y AS south", "north + pad_y AS north")
     span = "greatest(east - west, north - south)"
     fits = " ".join(f"WHEN {span} <= {_SPAN_CELLS * side!r}D THEN {n}" for n, side in enumerate(CELL_SIDES[:-1]))
@@ -85,20 +90,20 @@ def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
                     f"c.cy * side - 90 - pad_y - {_CELL_SLACK} AS cell_south",
                     f"(c.cy + 1) * side - 90 + pad_y + {_CELL_SLACK} AS cell_north"))
     # Edges west of a cell, above or below it are never crossed by a ray from it to the east.
-    kept = ("filter(edges, e -> greatest(e.y1, e.y2) >= cell_south AND least(e.y1, e.y2) <= cell_north"
-            " AND greatest(e.x1, e.x2) >= cell_west)")
+    kept = ("filter(transform(parts, edges -> filter(edges, e -> greatest(e.y1, e.y2) >= cell_south AND least(e.y1, e.y2) <= cell_north"
+            " AND greatest(e.x1, e.x2) >= cell_west)), edges -> size(edges) > 0)")
     middle = ("(cell_west + cell_east) / 2", "(cell_south + cell_north) / 2")
     exploded = (
-        cut.withColumn("edges", F.expr(kept))
-        .selectExpr("*", "exists(edges, e -> least(e.x1, e.x2) <= cell_east) AS touched",
-                    f"{geo.inside_edges('edges', *middle)} AS holds_middle")
+        cut.withColumn("parts", F.expr(kept))
+        .selectExpr("*", "exists(parts, edges -> exists(edges, e -> least(e.x1, e.x2) <= cell_east)) AS touched",
+                    f"exists(parts, edges -> {geo.inside_edges('edges', *middle)}) AS holds_middle")
         .where("touched OR holds_middle")
         .selectExpr("level", "c.cx * 100000 + c.cy AS cell", "struct(id, name, area, west, east, south, north, "
-                    "NOT touched AS whole, IF(touched, edges, slice(edges, 1, 0)) AS edges) AS fence")
+                    "NOT touched AS whole, IF(touched, parts, slice(parts, 1, 0)) AS parts) AS fence")
     ).persist()
     per_cell = exploded.groupBy("level", "cell").agg(
         F.expr("count(*) AS fences"),
-        F.expr(f"sum(size(fence.edges) * {_EDGE_BYTES} + {_FENCE_BYTES}) AS nbytes"))
+        F.expr(f"sum(size(flatten(fence.parts)) * {_EDGE_BYTES} + {_FENCE_BYTES}) AS nbytes"))
     measured = per_cell.selectExpr("collect_set(level) AS levels", "max(fences) AS densest", "sum(nbytes) AS nbytes").first()
     return FenceIndex(exploded, tuple(sorted(measured["levels"])), measured["nbytes"] or 0, measured["densest"] or 0)
 
@@ -109,18 +114,18 @@ def _in_box(fence: str, x: str, y: str) -> str:
 
 def covering(fence: str, x: str, y: str) -> str:
     """A candidate fence covers the point."""
-    return f"({fence}.whole OR ({_in_box(fence, x, y)} AND {geo.covers(f'{fence}.edges', x, y)}))"
+    return f"({fence}.whole OR ({_in_box(fence, x, y)} AND exists({fence}.parts, edges -> {geo.covers('edges', x, y)})))"
 
 
 def strictly_covering(fence: str, x: str, y: str) -> str:
     """A candidate fence has the point in its interior."""
-    return f"({fence}.whole OR ({_in_box(fence, x, y)} AND {geo.strictly_within(f'{fence}.edges', x, y)}))"
+    return f"({fence}.whole OR ({_in_box(fence, x, y)} AND exists({fence}.parts, edges -> {geo.strictly_within('edges', x, y)})))"
 
 
 def distance_m(fence: str, x: str, y: str) -> str:
     """Metres to a candidate fence, right up to the margin of its index and null or greater
     beyond."""
-    return f"CASE WHEN {covering(fence, x, y)} THEN 0D ELSE {geo.edge_distance_m(f'{fence}.edges', x, y)} END"
+    return f"CASE WHEN {covering(fence, x, y)} THEN 0D ELSE {geo.edge_distance_m(f'flatten({fence}.parts)', x, y)} END"
 
 
 def candidate_pairs(points: DataFrame, index: FenceIndex, lng: str = "lng", lat: str = "lat") -> DataFrame:
@@ -138,7 +143,7 @@ def _zones(candidates: str, x: str, y: str) -> str:
 
 
 def _near(candidates: str, x: str, y: str, metres: float) -> str:
-    close = f"filter({candidates}, f -> NOT f.whole AND {_in_box('f', x, y)} AND {geo.boundary_near('f.edges', x, y, metres)})"
+    close = f"filter({candidates}, f -> NOT f.whole AND {_in_box('f', x, y)} AND {geo.boundary_near('flatten(f.parts)', x, y, metres)})"
     return f"coalesce(transform({close}, f -> f.name), {_NO_NAMES})"
 
 
@@ -181,7 +186,7 @@ def _with_zones_regrouped(points: DataFrame, index: FenceIndex, buffer_m: float
     position; ids need not be unique. Points without position spread over many keys."""
     known = f"{lng} IS NOT NULL AND {lat} IS NOT NULL"
     spots = points.where(known).selectExpr(f"{lng} AS _x", f"{lat} AS _y").distinct()
-    near = "false" if buffer_m is None else geo.boundary_near("fence.edges", "_x", "_y", buffer_m)
+    near = "false" if buffer_m is None else geo.boundary_near("flatten(fence.parts)", "_x", "_y", buffer_m)
     found = (candidate_pairs(spots, index, "_x", "_y").selectExpr(
         "_x", "_y", f"CASE WHEN {covering('fence', '_x', '_y')} THEN struct(fence.area, fence.id, fence.name) END AS _zone",
         f"CASE WHEN {near} THEN fence.name END AS _near")

@@ -116,6 +116,28 @@ def a8(spark, sf):
         "id", "name", "seq", "p.lng", "p.lat")
 
 
+def _yards(spark: SparkSession, sf: str) -> DataFrame:
+    return geofences.load_geofences(tables.yard_geojson(spark, sf))
+
+
+@query("a8_polygon_forms", select(
+    """SELECT id, name, part, ring, seq, (CASE WHEN dx = 0 THEN x0 ELSE x1 END)::DOUBLE / 100000::DOUBLE AS lng,
+    (CASE WHEN dy = 0 THEN y0 ELSE y1 END)::DOUBLE / 10000::DOUBLE AS lat
+    FROM rectangles, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(seq, dx, dy)""", O.YARDS))
+def a8_forms(spark, sf):
+    rings = (_yards(spark, sf).selectExpr("id", "name", "posexplode(polygons) AS (part, polygon)")
+             .selectExpr("id", "name", "part", "posexplode(polygon) AS (ring, corners)"))
+    return rings.selectExpr("id", "name", "part", "ring", "posexplode(corners) AS (seq, p)").select(
+        "id", "name", "part", "ring", "seq", "p.lng", "p.lat")
+
+
+@query("a8_refused", select(
+    f"""SELECT id, name, CASE fault WHEN 0 THEN '{geofences.NO_POLYGON}' WHEN 1 THEN '{geofences.FEW_CORNERS}'
+    WHEN 2 THEN '{geofences.NO_POSITION}' ELSE '{geofences.NOT_JSON}' END AS reason FROM yards WHERE form = 4""", O.YARDS))
+def a8_refused(spark, sf):
+    return geofences.refused_geofences(tables.yard_geojson(spark, sf))
+
+
 @query("a9_latest_stats", select(
     """SELECT vehicle_id, avg_speed, max_speed, total_distance, reading_count, window_start, window_end FROM stats
     QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY window_start DESC) = 1""", READINGS, O.windowed(86400)))
@@ -254,6 +276,25 @@ def c1_depots(spark, sf):
     return spatial.covers_join(tables.readings(spark, sf), _depots(spark, sf)).select("id", "fence_id", "fence_name")
 
 
+_YARD_HITS = """hits AS (SELECT DISTINCT r.id, o.id AS fence_id, o.name AS fence_name FROM readings r JOIN rectangles o
+    ON o.ring = 0 AND r.lng * 100000 BETWEEN o.x0 - 0.01 AND o.x1 + 0.01 AND r.lat * 10000 BETWEEN o.y0 - 0.01 AND o.y1 + 0.01
+    WHERE NOT EXISTS (SELECT 1 FROM rectangles h WHERE h.id = o.id AND h.part = o.part AND h.ring > 0
+      AND r.lng * 100000 > h.x0 + 0.01 AND r.lng * 100000 < h.x1 - 0.01 AND r.lat * 10000 > h.y0 + 0.01 AND r.lat * 10000 < h.y1 - 0.01))"""
+
+
+@query("c1_covers_forms", select("SELECT id, fence_id, fence_name FROM hits", READINGS, O.YARDS, _YARD_HITS))
+def c1_forms(spark, sf):
+    return spatial.covers_join(tables.readings(spark, sf), _yards(spark, sf)).select("id", "fence_id", "fence_name")
+
+
+@query("c6_zone_forms", select(
+    """SELECT r.id, z.zone FROM readings r LEFT JOIN (SELECT h.id, fence_name AS zone FROM hits h JOIN
+    (SELECT id AS fence_id, sum(CASE WHEN ring = 0 THEN 1 ELSE -1 END * (x1 - x0) * (y1 - y0)) AS area FROM rectangles GROUP BY id) a USING (fence_id)
+    QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY area, fence_id) = 1) z USING (id)""", READINGS, O.YARDS, _YARD_HITS))
+def c6_forms(spark, sf):
+    return spatial.assign_zone(tables.readings(spark, sf), _yards(spark, sf)).select("id", "zone")
+
+
 on_sites("c2_within_distance", lambda r, g: spatial.within_distance_join(r, g, 250).select(
     "id", "fence_id", F.round("distance_m", 4).alias("distance_m")),
     """SELECT id, fence_id::BIGINT AS fence_id, round(CASE WHEN inside OR on_edge THEN 0 ELSE edge_m END, 4) AS distance_m

@@ -64,6 +64,16 @@ DEPOTS = """depots AS (SELECT s_suppkey::BIGINT AS id, 'Depot ' || s_suppkey AS
   corners AS (SELECT id, name, seq, (x + dx*w)::DOUBLE / 100000::DOUBLE AS lng, (y + dy*h)::DOUBLE / 10000::DOUBLE AS lat
     FROM depots, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(seq, dx, dy))"""
 
+# Rectangles of the yards: which polygon and ring of it, and integer sides (in 1/100000 and 1/10000 degree).
+YARDS = """yards AS (SELECT s_suppkey::BIGINT AS id, 'Yard ' || s_suppkey AS name, s_suppkey % 5 AS form,
+    6700000 + s_suppkey*613 % 6000 AS x, 248800 + s_suppkey*389 % 600 AS y,
+    40 + s_suppkey % 7 * 30 AS w, 4 + s_suppkey % 5 * 2 AS h, s_suppkey % 4 AS fault FROM supplier),
+  rectangles AS (SELECT id, name, 0 AS part, 0 AS ring, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM yards WHERE form < 4
+    UNION ALL SELECT id, name, 0, 1, x + 10, y + 1, x + w - 10, y + h - 1 FROM yards WHERE form IN (0, 3)
+    UNION ALL SELECT id, name, 1, 0, x + w + 50, y, x + 2*w + 50, y + h FROM yards WHERE form = 1
+    UNION ALL SELECT id, name, 1, 1, x + w + 60, y + 1, x + 2*w + 40, y + h - 1 FROM yards WHERE form = 1
+    UNION ALL SELECT id, name, 1, 0, x + 20, y + 2, x + 20 + w, y + 2 + h FROM yards WHERE form = 2)"""
+
 _ON_EDGE = """p.lng BETWEEN least(x1, x2) AND greatest(x1, x2) AND p.lat BETWEEN least(y1, y2) AND greatest(y1, y2)
     AND (x2 - x1) * (p.lat - y1) - (y2 - y1) * (p.lng - x1) = 0"""
 _CROSSES = "(y1 > p.lat) <> (y2 > p.lat) AND p.lng < (x2 - x1) * (p.lat - y1) / (y2 - y1) + x1"

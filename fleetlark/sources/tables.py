@@ -92,3 +92,35 @@ def depot_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.cast("long").alias("id"),
         F.concat(F.lit("Depot "), key.cast("string")).alias("name"),
         F.when(key % 3 == 0, feature).when(key % 3 == 1, polygon).otherwise(collection).alias("polygon_geojson"))
+
+
+def yard_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One GeoJSON text per supplier, in turn: a Feature with a hole, a MultiPolygon of which one has a hole, a
+    FeatureCollection of two overlapping features and a point, a GeometryCollection with a line, and texts to be refused."""
+    key = F.col("s_suppkey")
+    x, y = 6700000 + key * 613 % 6000, 248800 + key * 389 % 600
+    width, height = 40 + key % 7 * 30, 4 + key % 5 * 2
+    number = lambda v, by: (v / F.lit(by)).cast("string")
+
+    def ring(x, y, width, height):
+        corners = ((x, y), (x + width, y), (x + width, y + height), (x, y + height))
+        return F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit("["), number(cx, 100000.0), F.lit(","), number(cy, 10000.0), F.lit("]"))
+                                                       for cx, cy in corners]), F.lit("]"))
+
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    main, hole = ring(x, y, width, height), ring(x + 10, y + 1, width - 20, height - 2)
+    apart, over = ring(x + width + 50, y, width, height), ring(x + 20, y + 2, width, height)
+    polygon = lambda *rings: text('{"type":"Polygon","coordinates":[', F.concat_ws(",", *rings), "]}")
+    feature = lambda shape: text('{"type":"Feature","properties":{"a":[1]},"geometry":', shape, "}")
+    point, line = F.lit('{"type":"Point","coordinates":[67.0,24.9]}'), F.lit('{"type":"LineString","coordinates":[[67.0,24.9],[67.1,24.9]]}')
+    forms = [
+        feature(polygon(main, hole)),
+        text('{"type":"MultiPolygon","coordinates":[[', main, "],[", apart, ",", ring(x + width + 60, y + 1, width - 20, height - 2), "]]}"),
+        text('{"type":"FeatureCollection","features":[', feature(polygon(main)), ",", feature(point), ",", feature(polygon(over)), "]}"),
+        feature(text('{"type":"GeometryCollection","geometries":[', line, ",", polygon(main, hole), "]}")),
+        F.when(key % 4 == 0, feature(point)).when(key % 4 == 1, F.lit('{"type":"Polygon","coordinates":[[[67.0,24.9],[67.1,24.9]]]}'))
+        .when(key % 4 == 2, F.lit('{"type":"Polygon","coordinates":[[[67.0,24.9],[67.1],[67.1,25.0]]]}')).otherwise(F.lit('{"type":"Polygon",')),
+    ]
+    chosen = F.element_at(F.array(*forms), (key % len(forms) + 1).cast("int"))
+    return prepare(spark).read.parquet(f"{sf_dir}/supplier.parquet").select(
+        key.cast("long").alias("id"), F.concat(F.lit("Yard "), key.cast("string")).alias("name"), chosen.alias("polygon_geojson"))

@@ -1,5 +1,6 @@
 """Hand-written cases with expected rows."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetlark import schemas as S
 from fleetlark.functions import geo
 from fleetlark.functions import values as V
-from fleetlark.operators import detect, lookups, maintain, reports, spatial
+from fleetlark.operators import detect, lookups, maintain, reports, spatial, zones
 from fleetlark.sources import geofences, gps
 
 START = datetime(2024, 3, 1, 12)
@@ -172,6 +173,56 @@ def test_geojson_kinds(spark):
     assert rings[0] == rings[1] == rings[2] and rings[3:] == [None, None, None]
 
 
+def _square(x, y, side):
+    return [[x, y], [x + side, y], [x + side, y + side], [x, y + side]]
+
+
+def _loaded(spark, documents):
+    texts = [(n, f"F{n}", d if d is None or isinstance(d, str) else json.dumps(d)) for n, d in enumerate(documents)]
+    return spark.createDataFrame(texts, "id long, name string, polygon_geojson string")
+
+
+def test_holes_and_several_polygons(spark):
+    holed = {"type": "Polygon", "coordinates": [_square(0, 0, 10), _square(4, 4, 2)]}
+    island = {"type": "MultiPolygon", "coordinates": [holed["coordinates"], [_square(4.5, 4.5, 1)]]}
+    overlapping = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [_square(x, 0, 6)]}}
+                                                             for x in (0, 3)]}
+    fences = geofences.load_geofences(_loaded(spark, [holed, island, overlapping]))
+    spots = {"middle": (5.0, 5.0), "hole": (4.2, 4.2), "hole's edge": (4.0, 5.0), "solid": (1.0, 1.0), "both": (4.0, 1.0), "outside": (11.0, 1.0)}
+    points = spark.createDataFrame([(k, *v) for k, v in spots.items()], "id string, lng double, lat double")
+    expected = {"middle": ["F1", "F2"], "hole": ["F2"], "hole's edge": ["F0", "F1", "F2"], "solid": ["F0", "F1", "F2"], "both": ["F0", "F1", "F2"],
+                "outside": []}
+    found = {r.id: r for r in zones.with_zones(points, fences).collect()}
+    assert {k: sorted(z.name for z in r.zones) for k, r in found.items()} == expected
+    assert {z.name: z.area for z in found["solid"].zones} == {"F0": 96.0, "F1": 97.0, "F2": 72.0}
+    pairs = sorted((r.id, r.fence_name) for r in spatial.covers_join(points, fences).collect())
+    assert pairs == sorted((k, f) for k, names in expected.items() for f in names)
+    near = {(r.id, r.fence_name): r.distance_m for r in spatial.within_distance_join(points, fences, 30_000).collect()}
+    assert near["hole", "F0"] == pytest.approx(0.2 * 110574, rel=0.02) and near["hole's edge", "F0"] == 0
+    assert ("middle", "F0") not in near and near["middle", "F1"] == 0
+
+
+def test_a_crowd_of_holed_fences_has_the_same_zones(spark):
+    fences = geofences.load_geofences(_loaded(spark, [{"type": "Polygon", "coordinates": [_square(0, 0, 0.01), _square(0.004, 0.004, 0.002)]}]
+                                              * (zones.ARRAY_FENCES + 6)))
+    points = spark.createDataFrame([(1, 0.005, 0.005), (2, 0.001, 0.001)], "id long, lng double, lat double")
+    assert {r.id: len(r.zones) for r in zones.with_zones(points, fences).collect()} == {1: 0, 2: zones.ARRAY_FENCES + 6}
+
+
+def test_refused_geofences(spark):
+    polygon = lambda *rings: {"type": "Polygon", "coordinates": list(rings)}
+    texts = [None, "not json", "[1]", "{}", {"type": "Point", "coordinates": [1, 2]}, polygon([[0, 0], [1, 1]]), polygon([[0, 0], [1, 1], [0, 0]]),
+             polygon(_square(0, 0, 3), [[1, 1], [2, 2]]), polygon([[0, 0], [1], [1, 1], [0, 1]]), polygon(), {"type": "Polygon", "coordinates": "x"},
+             {"type": "MultiPolygon", "coordinates": [[_square(0, 0, 1)], [[]]]}, {"type": "FeatureCollection", "features": []},
+             {"type": "Feature", "geometry": None}, polygon([[0, 0], ["a", 1], [1, 1], [0, 1]])]
+    frame = _loaded(spark, texts)
+    refused = {r.id: r.reason for r in geofences.refused_geofences(frame).collect()}
+    g = geofences
+    assert refused == dict(enumerate([g.NOT_JSON, g.NOT_JSON, g.NOT_JSON, g.NO_POLYGON, g.NO_POLYGON, g.FEW_CORNERS, g.FEW_CORNERS, g.FEW_CORNERS,
+                                      g.NO_POSITION, g.UNREADABLE, g.UNREADABLE, g.FEW_CORNERS, g.NO_POLYGON, g.NO_POLYGON, g.UNREADABLE]))
+    assert all(r.ring is None and r.polygons is None for r in geofences.load_geofences(frame).collect())
+
+
 def test_duplicate_geofence_names_are_refused(spark, fences):
     twice = fences.unionByName(fences.withColumn("id", F.col("id") + 100))
     with pytest.raises(Exception, match="geofence name is not unique"):
