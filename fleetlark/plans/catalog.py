@@ -105,6 +105,28 @@ def a4(spark, sf):
     return gps.dlq_report(gps.to_dlq(_routed(spark, sf), NOW))
 
 
+def _alert_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The alerts as messages, every 97th cut short and every 89th without type."""
+    alerts = tables.alerts(spark, sf).select(*_ALERT, "details").withColumn("alert_type", F.expr("IF(id % 89 <> 0, alert_type, NULL)"))
+    return gps.to_keyed_json(alerts, rename=gps.EVENT_NAMES).select(
+        "key", F.expr("IF(get_json_object(value, '$.id') % 97 = 0, left(value, 30), value) AS value"), F.lit("vehicle-alerts").alias("topic"),
+        F.lit(0).alias("partition"), F.lit(1).cast("long").alias("offset"))
+
+
+@query("a6_alert_messages", select(
+    f"SELECT {_A}, details FROM alerts WHERE id % 97 <> 0 AND id % 89 <> 0", ALERTS))
+def a6_messages(spark, sf):
+    return gps.to_alerts(gps.route_alerts(gps.parse_alerts(_alert_messages(spark, sf))))
+
+
+@query("a6_refused_messages", select(
+    f"""SELECT CASE WHEN id % 97 = 0 THEN 'Malformed JSON' ELSE 'Missing required fields: vehicleId or alertType' END AS error_message,
+    count(*) AS failures FROM alerts WHERE id % 97 = 0 OR id % 89 = 0 GROUP BY 1""", ALERTS))
+def a6_refused(spark, sf):
+    routed = gps.route_alerts(gps.parse_alerts(_alert_messages(spark, sf)))
+    return gps.dlq_report(gps.to_dlq(routed, NOW)).groupBy("error_message").agg(F.sum("failures").alias("failures"))
+
+
 def _depots(spark: SparkSession, sf: str) -> DataFrame:
     return geofences.load_geofences(tables.depot_geojson(spark, sf))
 

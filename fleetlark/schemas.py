@@ -18,6 +18,9 @@ RING = T.ArrayType(POINT)
 GPS_EVENT = _struct(vehicleId=_S, lat=_D, lng=_D, speedKph=_D, heading=_D, timestamp=_TS,
                     status=_S, statusColor=_S, message=_S, region=_S)
 
+# One alert message. ``details`` stays JSON text.
+ALERT_EVENT = _struct(id=_L, vehicleId=_S, alertType=_S, details=_S, timestamp=_TS, lat=_D, lng=_D)
+
 READING = _struct(id=_L, vehicle_id=_S, lat=_D, lng=_D, location=POINT, speed_kph=_D,
                   heading=_D, event_timestamp=_TS, created_at=_TS)
 

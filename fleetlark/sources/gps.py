@@ -23,30 +23,31 @@ HEADER_LENGTH = "dlq-original-payload-length"
 DEAD_LETTER_TOPIC = "vehicle-gps-dlq"
 
 _PARSED = T.StructType(S.GPS_EVENT.fields + [T.StructField("_malformed", T.StringType())])
+_PARSED_ALERT = T.StructType(S.ALERT_EVENT.fields + [T.StructField("_malformed", T.StringType())])
 
 
-def parse_gps(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    """Adds one typed column per GPS field and ``malformed``; a text that is not a JSON
-    object of the expected types leaves every field null. Works on streams too."""
-    document = F.from_json(F.col(value_col).cast("string"), _PARSED,
+def _parse(messages: DataFrame, value_col: str, names: list[str], kind: T.StructType) -> DataFrame:
+    document = F.from_json(F.col(value_col).cast("string"), kind,
                            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
     # A generator keeps the text from being parsed again for every field and filter.
-    parsed = messages.select("*", F.explode(F.array(document)).alias("_gps"))
-    bad = F.col("_gps").isNull() | F.col("_gps._malformed").isNotNull()
-    fields = [F.when(~bad, F.col(f"_gps.{name}")).alias(name) for name in S.GPS_EVENT.names]
+    parsed = messages.select("*", F.explode(F.array(document)).alias("_document"))
+    bad = F.col("_document").isNull() | F.col("_document._malformed").isNotNull()
+    fields = [F.when(~bad, F.col(f"_document.{name}")).alias(name) for name in names]
     return parsed.select(*messages.columns, bad.alias("malformed"), *fields)
 
 
-def route_events(parsed: DataFrame) -> DataFrame:
-    """Adds ``error_type`` and ``error_message``, both null for a valid event."""
-    missing = F.col("vehicleId").isNull() | F.col("lat").isNull() | F.col("lng").isNull()
-    rules: list[tuple[Column, str, str]] = [
-        (F.col("malformed"), PROCESSING_ERROR, "Malformed JSON"),
-        (missing, INVALID_PAYLOAD, "Missing required fields: vehicleId, lat, or lng"),
-        (F.col("timestamp").isNull(), PROCESSING_ERROR, "Missing timestamp"),
-        (F.length("vehicleId") > S.VEHICLE_ID_LENGTH, PROCESSING_ERROR,
-         f"vehicleId longer than {S.VEHICLE_ID_LENGTH} characters"),
-    ]
+def parse_gps(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    """Adds one typed column per GPS field and ``malformed``; a text that is not a JSON
+    object of the expected types leaves every field null. Works on streams too."""
+    return _parse(messages, value_col, S.GPS_EVENT.names, _PARSED)
+
+
+def parse_alerts(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    """The same of alert messages; ``details`` is JSON text, whether it was sent as text or as an object."""
+    return _parse(messages, value_col, S.ALERT_EVENT.names, _PARSED_ALERT)
+
+
+def _route(parsed: DataFrame, rules: list[tuple[Column, str, str]]) -> DataFrame:
     kind = message = F.lit(None).cast("string")
     for condition, error, text in reversed(rules):
         kind = F.when(condition, error).otherwise(kind)
@@ -54,10 +55,43 @@ def route_events(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({"error_type": kind, "error_message": message})
 
 
+def _common_rules(missing: Column, names: str) -> list[tuple[Column, str, str]]:
+    return [
+        (F.col("malformed"), PROCESSING_ERROR, "Malformed JSON"),
+        (missing, INVALID_PAYLOAD, f"Missing required fields: {names}"),
+        (F.col("timestamp").isNull(), PROCESSING_ERROR, "Missing timestamp"),
+        (F.length("vehicleId") > S.VEHICLE_ID_LENGTH, PROCESSING_ERROR,
+         f"vehicleId longer than {S.VEHICLE_ID_LENGTH} characters"),
+    ]
+
+
+def route_alerts(parsed: DataFrame) -> DataFrame:
+    """Adds ``error_type`` and ``error_message`` to alert messages, both null for a valid one."""
+    missing = F.col("vehicleId").isNull() | F.col("alertType").isNull()
+    return _route(parsed, _common_rules(missing, "vehicleId or alertType"))
+
+
+def to_alerts(routed: DataFrame) -> DataFrame:
+    """Valid alert messages as rows of the alert table. A message without id takes partition and offset, as readings do."""
+    return routed.where(F.col("error_type").isNull()).select(
+        F.coalesce("id", _place()).alias("id"), F.col("vehicleId").alias("vehicle_id"), F.col("alertType").alias("alert_type"),
+        "details", F.col("timestamp").alias("detected_at"), "lat", "lng")
+
+
+def route_events(parsed: DataFrame) -> DataFrame:
+    """Adds ``error_type`` and ``error_message``, both null for a valid event."""
+    missing = F.col("vehicleId").isNull() | F.col("lat").isNull() | F.col("lng").isNull()
+    return _route(parsed, _common_rules(missing, "vehicleId, lat, or lng"))
+
+
+def _place() -> Column:
+    return F.shiftleft(F.col("partition").cast("long"), 48) + F.col("offset")
+
+
 def to_readings(routed: DataFrame, id_col: Column | None = None) -> DataFrame:
     """Valid events as readings with their location point. The id defaults to partition and
     offset in one number: unique within a topic, and the same in a replay."""
-    key = id_col if id_col is not None else F.shiftleft(F.col("partition").cast("long"), 48) + F.col("offset")
+    key = id_col if id_col is not None else _place()
     return routed.where(F.col("error_type").isNull()).select(
         key.alias("id"), F.col("vehicleId").alias("vehicle_id"), "lat", "lng",
         F.struct("lng", "lat").alias("location"), F.col("speedKph").alias("speed_kph"), "heading",

@@ -1,7 +1,8 @@
 """Stateful detection per vehicle for streams.
 
 Readings of a vehicle are taken in event-time order: sorted within a micro-batch, and a
-reading older than one already taken comes out as a LATE row instead of changing state.
+reading older than one already taken comes out as a LATE row instead of changing state. One marked
+``early``, being dated in the future, comes out as an EARLY row and changes nothing either, so that it makes no later one late.
 The memory a vehicle needs is bounded by the micro-batch, so sources must limit it
 (``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``; the readers in ``jobs`` do). Instants travel as microseconds.
 """
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetlark import schemas as S
 
-LATE = "LATE"
+LATE, EARLY = "LATE", "EARLY"
 
 FOUND = ("id long, vehicle_id string, alert_type string, at long, lat double, lng double, speed_kph double, "
          "zone string, action string, overlapping_zones array<string>, first_idle_us long, idle_minutes long")
@@ -29,7 +30,7 @@ def _found(row: Row, alert_type: str, **values) -> Row:
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Feeds a vehicle's rows (with ``at`` and ``id``) in order to ``take``."""
+    """Feeds a vehicle's rows (with ``at``, ``id`` and ``early``) in order to ``take``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._seen = handle.getValueState("seen", "at long, id long")
@@ -39,12 +40,15 @@ class OrderedProcessor(StatefulProcessor):
         self.load()
         for row in sorted(rows, key=lambda r: (r.at, r.id)):
             place = (row.at, row.id)
-            if seen is not None and place <= seen:
+            if row.early:
+                yield from self.early(row)
+            elif seen is not None and place <= seen:
                 yield from self.late(row)
             else:
                 seen = place
                 yield from self.take(row)
-        self._seen.update(seen)
+        if seen is not None:
+            self._seen.update(seen)
         self.save()
 
     def load(self) -> None: ...
@@ -55,18 +59,20 @@ class OrderedProcessor(StatefulProcessor):
 
     def late(self, row: Row) -> Iterator[Row]: ...
 
+    def early(self, row: Row) -> Iterator[Row]: ...
+
     def close(self) -> None: ...
 
 
 class AlertProcessor(OrderedProcessor):
-    """Idle and geofence alerts in one pass over a vehicle's readings.
+    """Idle and geofence alerts, and with a speed limit speeding alerts, in one pass over a vehicle's readings.
 
     Rows also carry ``raw_zone`` (the zone covering the point, or null), ``near`` (names of
     zones within the buffer) and ``overlapping_zones``.
     """
 
-    def __init__(self, idle_us: int, idle_speed: float) -> None:
-        self._idle_us, self._idle_speed = idle_us, idle_speed
+    def __init__(self, idle_us: int, idle_speed: float, speed_limit: float | None = None) -> None:
+        self._idle_us, self._idle_speed, self._speed_limit = idle_us, idle_speed, speed_limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -86,8 +92,17 @@ class AlertProcessor(OrderedProcessor):
 
     def late(self, row: Row) -> Iterator[Row]:
         yield _found(row, LATE)
+        yield from self._speeding(row)
+
+    def early(self, row: Row) -> Iterator[Row]:
+        yield _found(row, EARLY)
+
+    def _speeding(self, row: Row) -> Iterator[Row]:
+        if self._speed_limit is not None and row.speed_kph is not None and row.speed_kph > self._speed_limit:
+            yield _found(row, S.SPEEDING)
 
     def take(self, row: Row) -> Iterator[Row]:
+        yield from self._speeding(row)
         yield from self._take_speed(row)
         yield from self._take_position(row)
 

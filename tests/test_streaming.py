@@ -111,3 +111,60 @@ def test_events_enriched_and_published_on_the_way(spark, readings, folder):
         "key", F.from_json("value", "id long, vehicleId string, status string, status_color string").alias("v"))
     assert sent.where("key = v.vehicleId").count() == readings.count()
     same(sent.select("v.id", "v.status", "v.status_color"), detect.enrich_events(readings, known), ["id", "status", "status_color"])
+
+
+def test_messages_to_alerts_in_one_job(spark, sf, fences, folder):
+    messages = tables.gps_json(spark, sf).drop("received_at")
+    options = dict(idle_speed=10, buffer_m=250)
+    read = 0
+    for low in (0, 400):  # two files, two runs: state and offsets are kept
+        messages.where(f"offset * 3 >= {low} and offset * 3 < {low + 400 if low == 0 else 10**9}").coalesce(1).write.mode("append").json(f"{folder}/in")
+        stream = jobs.detect_messages(jobs.read_messages(spark, f"{folder}/in", 1), fences, **options)
+        query = jobs.run_detection(stream, f"{folder}/alerts", f"{folder}/late", f"{folder}/checkpoint", True)
+        query.awaitTermination()
+        read += sum(p.numInputRows for p in query.recentProgress)
+    assert read == messages.count()  # the source is read once in a micro-batch
+    valid = gps.to_readings(gps.route_events(gps.parse_gps(messages)))
+    assert sinks.read_table(spark, f"{folder}/late").count() == 0
+    same(sinks.read_table(spark, f"{folder}/alerts"), detect.detect_alerts(valid, fences, **options), ROWS)
+
+
+def test_a_reading_dated_in_the_future_silences_nobody(spark, fences, folder):
+    inside, far = (24.895, 67.015), (24.86, 67.08)
+    ahead = datetime.now().replace(microsecond=0) + timedelta(days=3650)
+    future = (9, "A", *far, None, 200.0, 0.0, ahead, ahead)
+    for rows in ([reading(1, 0, 0.0, inside), future], [reading(2, 3, 0.0, inside), reading(3, 6, 0.0, far)]):
+        arrive(spark.createDataFrame(rows, S.READING), f"{folder}/in")
+        stream = jobs.detect_stream(jobs.read_readings(spark, f"{folder}/in", 1), fences.where("id = 1"))
+        jobs.run_detection(stream, f"{folder}/alerts", f"{folder}/late", f"{folder}/checkpoint", True).awaitTermination()
+    stored = sinks.read_table(spark, f"{folder}/alerts").orderBy("detected_at", "alert_type").collect()
+    assert [(r.id, r.alert_type) for r in stored] == [(1, "GEOFENCE_ENTER"), (2, "IDLE"), (3, "GEOFENCE_EXIT")]
+    assert [(r.id, r.alert_type) for r in sinks.read_table(spark, f"{folder}/late").collect()] == [(9, "EARLY")]
+
+
+def test_a_reading_dated_in_the_future_closes_no_window(spark, folder):
+    ahead = datetime.now().replace(microsecond=0) + timedelta(days=3650)
+    for rows in ([reading(1, 0, 10.0, (24.9, 67.0)), (9, "B", 24.9, 67.0, None, 1.0, 0.0, ahead, ahead)],
+                 [reading(2, 1, 20.0, (24.9, 67.0))], [reading(3, 60, 5.0, (24.9, 67.0))], [reading(4, 61, 5.0, (24.9, 67.0))]):
+        arrive(spark.createDataFrame(rows, S.READING), f"{folder}/in")
+        stream = jobs.stats_stream(jobs.read_readings(spark, f"{folder}/in", 1))
+        jobs.run_stats(stream, f"{folder}/stats", f"{folder}/checkpoint", True).awaitTermination()
+    assert [(r.vehicle_id, r.reading_count) for r in sinks.read_table(spark, f"{folder}/stats").collect()] == [("A", 2)]
+
+
+def test_published_alerts_are_read_back(spark, readings, fences, folder):
+    alerts = detect.detect_alerts(readings, fences)
+    keyed = gps.to_keyed_json(alerts, rename=gps.EVENT_NAMES).selectExpr(
+        "*", "'vehicle-alerts' AS topic", "0 AS partition", "monotonically_increasing_id() AS offset")
+    broken = spark.createDataFrame([("k", "{", "vehicle-alerts", 1, 0), ("k", '{"alertType":"IDLE"}', "vehicle-alerts", 1, 1)], keyed.schema)
+    plain = spark.createDataFrame([("V", '{"vehicleId":"V","alertType":"IDLE","timestamp":"2024-03-01T12:00:00","details":{"a":1}}',
+                                    "vehicle-alerts", 1, 2)], keyed.schema)
+    for part in (keyed, broken.unionByName(plain)):
+        part.coalesce(1).write.mode("append").json(f"{folder}/in")
+    jobs.consume_alerts(jobs.read_messages(spark, f"{folder}/in", 1), f"{folder}/alerts", f"{folder}/dead", f"{folder}/checkpoint",
+                        True).awaitTermination()
+    stored = sinks.read_table(spark, f"{folder}/alerts")
+    same(stored.where("vehicle_id <> 'V'"), alerts, ROWS)
+    one = stored.where("vehicle_id = 'V'").first()
+    assert (one.id, one.details, one.lat, one.location) == ((1 << 48) + 2, '{"a":1}', None, None)
+    assert sinks.read_table(spark, f"{folder}/dead").count() == 2
