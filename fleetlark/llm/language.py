@@ -82,10 +82,11 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str = MO
     return classified(docs.select("doc_id", "text"), langs, logp, model).drop("text")
 
 
-def classified(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str = MODEL) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the documents (columns of these names are replaced)."""
+def classified(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str = MODEL,
+               into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds predicted language and score to the documents, in columns of the names ``into`` (which are replaced)."""
     data = read_model(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*into)
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +121,9 @@ def classified(docs: DataFrame, langs: list[str], logp: np.ndarray, model: str =
                     out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
                 a = b
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*names, "lang_pred", "score"])
+                [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*names, *into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, model: str = MODEL) -> DataFrame:

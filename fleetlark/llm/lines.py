@@ -189,7 +189,6 @@ def dedup_lines(docs: DataFrame, threshold: float | str = "0.8", drop_emptied: b
     such a column. ``drop_emptied`` leaves out documents of which no line with content stays; those
     without content from the start stay."""
     decided = checkpoint(line_decisions(docs, threshold).where("size(dropped) > 0").dropDuplicates(["doc_id", "text_hash"]))
-    decided = decided.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "n_lines", "dropped")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
@@ -199,18 +198,22 @@ def dedup_lines(docs: DataFrame, threshold: float | str = "0.8", drop_emptied: b
             out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
         return pd.Series(out)
 
+    # A row travels as one struct, so that its columns may have any names.
     hashed = F.xxhash64(text_or_empty())
-    flagged = docs.withColumns({"_text": hashed, "_touched": match_flag(hashed, decided, "_text")})
-    moved = (flagged.where("_touched").alias("f").join(decided.withColumnsRenamed({"dropped": "_gone", "n_lines": "_lines"}).alias("d"),
-                                                     F.col("f.doc_id").cast("long").eqNullSafe(F.col("d._doc")) & (F.col("f._text") == F.col("d._text")), "left"))
+    flagged = docs.select(F.struct(*docs.columns).alias("row"), hashed.alias("text_hash"), match_flag(hashed, decided, "text_hash").alias("touched"))
+    moved = (flagged.where("touched").alias("f")
+             .join(decided.alias("d"), F.col("f.row.doc_id").cast("long").eqNullSafe(F.col("d.doc_id")) & (F.col("f.text_hash") == F.col("d.text_hash")), "left"))
     if drop_emptied:
-        moved = moved.where("_gone IS NULL OR size(_gone) < _lines")
-    cleaned = {"text": F.when(F.col("_gone").isNotNull(), without("f.text", F.coalesce("_gone", F.array().cast("array<int>")))).otherwise(F.col("f.text"))}
-    moved = moved.select(*[(cleaned[c] if c in cleaned else F.col(f"f.{c}")).alias(c) for c in docs.columns], F.col("_gone").isNotNull().alias("_changed"))
+        moved = moved.where("d.dropped IS NULL OR size(d.dropped) < d.n_lines")
+    changed = F.col("d.dropped").isNotNull()
+    content = F.when(changed, without("f.row.text", F.coalesce("d.dropped", F.array().cast("array<int>")))).otherwise(F.col("f.row.text"))
+    moved = moved.select("f.row", content.alias("content"), changed.alias("changed"))
+    cleaned = {"text": F.col("content")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        moved = moved.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return flagged.where("NOT _touched").drop("_text", "_touched").unionByName(moved.drop("_changed"))
+        cleaned["n_chars"] = F.when(F.col("changed"), F.length("content").cast(kind)).otherwise(F.col("row.n_chars"))
+    moved = moved.select(*[cleaned.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return flagged.where("NOT touched").select("row.*").unionByName(moved)
 
 
 def op4_line_dedup(spark, sf_dir) -> DataFrame:

@@ -161,7 +161,7 @@ class Sampler:
         return out, np.repeat(row, width)
 
 
-def _name(columns: list[str], wish: str) -> str:
+def free_name(columns: list[str], wish: str) -> str:
     while wish in columns:
         wish = "_" + wish
     return wish
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, key: str = "doc_id", seed: int = 0, alpha: float = 1
     data = read_model(model)
     added = ["tokens", *([decoded] if decoded else [])]
     rest = [c for c in docs.columns if c not in added]
-    sources = docs.select(*rest).withColumns({(hashed := _name(rest, "_key")): F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(key).isNull())})
+    sources = docs.select(*rest).withColumns({(hashed := free_name(rest, "_key")): F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(key).isNull())})
     at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

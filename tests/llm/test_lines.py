@@ -63,3 +63,13 @@ def test_texts_without_their_lines(make_docs):
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect() if r["text"] is not None) == [(1, rows[0][1], 29), (2, "second", 6), (4, "", 0)]
     assert out.where("text IS NULL").count() == 1
     assert ll.dedup_lines(docs, drop_emptied=False).where("doc_id = 3").first()["text"] == ""
+
+
+def test_columns_may_have_any_names(make_docs):
+    names = ("_text", "_touched", "_gone", "_lines", "_changed", "row", "content", "changed", "touched", "text_hash", "dropped", "n_lines", "f", "d")
+    rows = [(1, "a line that comes twice\nfirst"), (2, "a line that comes twice\nsecond"), (None, "a line that comes twice\nthird")]
+    docs = make_docs(rows, extra=names)
+    out = ll.dedup_lines(docs)
+    assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+    found = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"], {r[n] for n in names}) for r in out.collect()), key=lambda r: r[0])
+    assert found == [(0, "a line that comes twice\nthird", 29, {"x"}), (1, "first", 5, {"x"}), (2, "second", 6, {"x"})]
