@@ -20,11 +20,15 @@ LEAST_CERTAIN = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language with at least LEAST_CERTAIN, go. A missing
-    ``lang`` takes the prediction."""
+    ``lang`` takes the prediction; other columns stay, whatever their names. Where no document has a
+    ``lang``, no language can be learnt and all documents stay as they are."""
     langs, logp = language.fit(docs)
-    found = language.classified(docs, langs, logp)
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_CERTAIN))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    if not langs:
+        return docs
+    predicted, score = pieces.free_name(docs.columns, "lang_pred"), pieces.free_name(docs.columns, "score")
+    found = language.classified(docs, langs, logp, into=(predicted, score))
+    kept = found.where((F.col(predicted) != language.UNDETERMINED) & (F.col(score) >= LEAST_CERTAIN))
+    return kept.withColumn("lang", F.coalesce("lang", predicted)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
