@@ -4,19 +4,20 @@ Documents link when the Jaccard similarity of their sets of distinct word shingl
 threshold; the join returns every document's set size and the smallest id reachable by links.
 
 1. Documents of equal sets form a class; its smallest id stands for it from here on.
-2. Let ``s = n - ceil(t n)`` be how many shingles of a set may lack in a linked one. Of each set
-   its ``s + k`` smallest hashes are its keys: two linked sets have at least ``k`` keys in common
-   (``k`` is ``s // 2 + 1``). Each document then leaves out its ``k - 1`` keys that most documents
-   have, counted exactly over all keys; the rarest common key is never among them, so linked
-   documents still share a key, while documents that merely have passages in common do not.
+2. A set of ``n`` hashes has its ``L(n)`` smallest as keys, a fixed share of ``n``, and keeps the ``R(n) = floor(n / t) - n + 1``
+   of them that fewest documents have, counted exactly. Linked sets share a kept key: let the larger one, by ``d``, lack
+   ``a`` hashes in the other, which lacks ``a - d``; ``a`` is below both R. The i-th common hash has at most ranks ``i + a`` and
+   ``i + a - d``, and L grows by no more than n does, so at most ``a`` keys of either are not keys of both, and the
+   rarest common key is among the ``a + 1`` rarest of each. Documents that merely have passages in common share frequent keys only.
+   This is done twice, with few keys for all documents and with more for those that then share one.
 3. Documents that share a key form a block; blocks of over ``BLOCK_SHINGLES`` shingles are cut
    into parts, and each pair of parts is a block of its own, so no task takes a large group.
    In a block a document searches an inverted index by DivideSkip: the short lists are
    merged, the long ones probed by bisection, and those that reach the required overlap are kept. Searches end
    as soon as all documents not yet searched hang together. A block returns a spanning forest, never all pairs.
-4. The first round of blocks takes one key for each document. The second takes every key whose
-   documents still lie in different components, so that no link between components is missed;
-   documents that hang together through such keys make one block where they fit one.
+4. Documents that hang together through kept keys make one block where they fit one. Larger clusters are searched by key: first each
+   document under the most frequent key it keeps, then under every key whose documents still lie in
+   different components, so that no link between components is missed.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked
 with nothing; rows of equal text, and rows that repeat a doc_id, share one class; a null doc_id
@@ -41,10 +42,12 @@ from fleetlark.llm.shingles import shingle_sets
 BLOCK_SHINGLES = 600_000
 # Weight of a probe against a merge step in DivideSkip's choice of long lists.
 _MU = 5.0
+# Keys of a set as a share of its hashes: so many times 1/t - 1 at first, then at least MORE_KEYS (and 2 times 1/t - 1).
+FIRST_KEYS, MORE_KEYS = Fraction(3, 2), Fraction(2, 5)
 
 
-def _signatures(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Per document: set size, a 128-bit digest of the set, and its smallest hashes."""
+def _signatures(docs: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """Per document: set size, a 128-bit digest of the set, and this share of its hashes, the smallest."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, first, second, keys_of = [], [], [], [np.zeros(0, np.int64)]
@@ -53,8 +56,7 @@ def _signatures(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
                 sizes.append(n)
                 first.append(int(keys.sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(mix(keys + np.uint64(n)).sum(dtype=np.uint64).astype(np.int64)))
-                spare = n - _ceil(t * n)
-                keys_of.append(keys[:spare + _surplus(spare) + 1 if n else 0].view(np.int64))
+                keys_of.append(keys[:_ceil(min(Fraction(1), share) * n)].view(np.int64))
             ends = np.cumsum([len(x) for x in keys_of], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys_of)))
             yield pa.RecordBatch.from_arrays(
@@ -65,11 +67,6 @@ def _signatures(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
         sign, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
-def _surplus(spare: int) -> int:
-    """Keys that a document leaves out, being the most frequent of its own."""
-    return spare // 2
-
-
 def _ceil(x: Fraction) -> int:
     return -(-x.numerator // x.denominator)
 
@@ -187,22 +184,21 @@ def _shared_keys(signed: DataFrame, t: Fraction) -> DataFrame:
     keys = (signed.dropDuplicates(["doc_id", "set_a", "set_b"])
             .select("doc_id", F.col("n_shingles").alias("n"), "set_a", F.explode("keys").alias("key")))
     counted = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")), "key")
-    ceil = F.expr(f"CAST((n * {t.numerator} + {t.denominator - 1}) DIV {t.denominator} AS long)")
-    most = Window.partitionBy("doc_id", "n", "set_a").orderBy(F.col("df").desc(), F.col("key").desc())
-    kept = counted.withColumn("rank", F.row_number().over(most)).where(F.col("rank") > F.floor((F.col("n") - ceil) / 2))
-    return kept.where("df > 1").select("key", "df", "doc_id", "n")
+    rarest = Window.partitionBy("doc_id", "n", "set_a").orderBy("df", "key")
+    most = F.expr(f"n * {t.denominator} DIV {t.numerator} - n + 1")
+    return counted.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= most) & (F.col("df") > 1)).select("key", "df", "doc_id", "n")
 
 
-def _by_cluster(postings: DataFrame) -> DataFrame:
-    """Regroups postings by what hangs together through keys, where that fits one block: there
-    each document is searched once instead of once for each key. What is larger stays as it is."""
+def _by_cluster(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings under one key for all that hang together through keys, where that fits one block (there each document
+    is searched once instead of once for each key), and the postings of larger clusters as they are."""
     first = postings.groupBy("key").agg(F.min("doc_id").alias("b"))
     clusters = components(postings.join(first, "key").select(F.col("doc_id").alias("a"), "b"))
     placed = postings.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
     whole = placed.select("component", "doc_id", "n").distinct()
-    small = whole.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") <= BLOCK_SHINGLES).select("component")
-    return checkpoint(whole.join(small, "component").select(F.xxhash64(F.lit("cluster"), "component").alias("key"), "doc_id", "n")
-                      .unionByName(placed.join(small, "component", "leftanti").select("key", "doc_id", "n")))
+    fits = checkpoint(whole.groupBy("component").agg((F.sum("n") <= BLOCK_SHINGLES).alias("fits")))
+    small = whole.join(fits.where("fits"), "component").select(F.xxhash64(F.lit("cluster"), "component").alias("key"), "doc_id", "n")
+    return small, placed.join(fits.where("NOT fits"), "component").select("key", "df", "doc_id", "n")
 
 
 def ngram_jaccard_join(docs: DataFrame, threshold: float | str = "0.9", width: int = 3) -> DataFrame:
@@ -211,17 +207,21 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float | str = "0.9", width: i
     if not 0 < t <= 1:
         raise ValueError("the threshold must lie above 0 and not above 1")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = checkpoint(_signatures(docs, width, t))
+    fewest = 1 / t - 1
+    signed = checkpoint(_signatures(docs, width, FIRST_KEYS * fewest))
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    postings = checkpoint(_shared_keys(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "leftsemi"), t))
-    first = postings.groupBy("doc_id", "n").agg(F.min(F.struct("df", "key")).getField("key").alias("key"))
-    links = checkpoint(_search(docs, first, width, t))
-    found = components(links)
-    placed = postings.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    near = checkpoint(_shared_keys(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "leftsemi"), t).select("doc_id").distinct())
+    again = _signatures(may_match(docs, "doc_id", near, "doc_id").join(near, "doc_id"), width, max(MORE_KEYS, 2 * fewest))
+    postings = checkpoint(_shared_keys(checkpoint(again.where("n_shingles > 0")), t))
+    small, large = _by_cluster(postings)
+    large = checkpoint(large)
+    first = large.groupBy("doc_id", "n").agg(F.max(F.struct("df", "key")).getField("key").alias("key"))
+    links = checkpoint(_search(docs, checkpoint(small.unionByName(first)), width, t))
+    found = components(links.join(large.select(F.col("doc_id").alias("a")).distinct(), "a", "leftsemi"))
+    placed = large.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = checkpoint(postings.join(apart, "key"))
-    rest = _by_cluster(rest)
+    rest = checkpoint(large.join(apart, "key").select("key", "doc_id", "n"))
     copies = filled.join(classes, ["n_shingles", "set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(_search(docs, rest, width, t)).unionByName(copies))
     return (signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
