@@ -182,11 +182,13 @@ def _shared_keys(signed: DataFrame, t: Fraction) -> DataFrame:
     """Rows ``(key, df, doc_id, n)`` of the keys that a document keeps and shares with another.
     A doc_id of several texts takes part with each of them."""
     keys = (signed.dropDuplicates(["doc_id", "set_a", "set_b"])
-            .select("doc_id", F.col("n_shingles").alias("n"), "set_a", F.explode("keys").alias("key")))
-    counted = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")), "key")
-    rarest = Window.partitionBy("doc_id", "n", "set_a").orderBy("df", "key")
+            .select("doc_id", F.col("n_shingles").alias("n"), "set_a", F.size("keys").alias("n_keys"), F.explode("keys").alias("key")))
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
+    # Keys that no other document has are the rarest; they take the first ranks without being moved.
+    of_one = Window.partitionBy("doc_id", "n", "set_a")
+    rank = F.col("n_keys") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("df", "key"))
     most = F.expr(f"n * {t.denominator} DIV {t.numerator} - n + 1")
-    return counted.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= most) & (F.col("df") > 1)).select("key", "df", "doc_id", "n")
+    return shared.withColumn("rank", rank).where(F.col("rank") <= most).select("key", "df", "doc_id", "n")
 
 
 def _by_cluster(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
