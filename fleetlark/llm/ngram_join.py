@@ -148,7 +148,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], t: Fraction) -> list[tup
             groups = np.bincount(root[left], minlength=n)
             if groups[root[q]] == len(left):
                 return links
-            if groups[root[q]] > 1 and groups[root[q]] == groups.max():
+            if groups[root[q]] > 1 and root[q] == groups.argmax():  # one group only, so that every pass searches
                 later.append(q)
             else:
                 search(q)

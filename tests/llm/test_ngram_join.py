@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from fleetlark.llm import ngram_join as nj
@@ -111,3 +113,29 @@ def test_block_links_connect_what_brute_force_connects():
                 x, y = set(sets[a].tolist()), set(sets[b].tolist())
                 if Fraction(len(x & y), len(x | y)) >= Fraction(t):
                     assert root[a] == root[b]
+
+
+@pytest.mark.parametrize("families,members", [(2, 3), (3, 4), (7, 2), (5, 40)])
+def test_block_links_of_families_of_like_size(families, members):
+    sets = [np.array([*range(f * 1000, f * 1000 + 100), f * 1000 + 500 + k], np.uint64) for f in range(families) for k in range(members)]
+    links = nj.block_links(list(range(len(sets))), sets, Fraction("0.9"))
+    assert len(links) == families * (members - 1)
+    assert all(a // members == b // members for a, b in links)
+
+
+@pytest.mark.parametrize("t", ["0.3", "0.5", "0.8", "0.9", "0.95"])
+def test_linked_sets_share_a_kept_key(t):
+    """The rule of keys, for frequencies of any order and both shares of keys."""
+    t, rng = Fraction(t), random.Random(5)
+    for _ in range(3000):
+        n = rng.randint(1, 40)
+        a = set(rng.sample(range(1000), n))
+        b = set(rng.sample(sorted(a), n - rng.randint(0, min(n - 1, 1 + n // 4)))) | set(rng.sample(range(1000, 2000), rng.randint(0, 1 + n // 8)))
+        if len(a & b) < t * len(a | b):
+            continue
+        df = {x: rng.random() for x in a | b}
+        for share in (nj.FIRST_KEYS * (1 / t - 1), max(nj.MORE_KEYS, 2 * (1 / t - 1))):
+            place = {x: rng.random() for x in a | b}
+            kept = [set(sorted(sorted(x, key=place.get)[:nj._ceil(min(Fraction(1), share) * len(x))], key=df.get)[:math.floor(len(x) / t) - len(x) + 1])
+                    for x in (a, b)]
+            assert kept[0] & kept[1]
