@@ -15,7 +15,8 @@ threshold; the join returns every document's set size and the smallest id reacha
    In a block a document searches an inverted index by DivideSkip: the short lists are
    merged, the long ones probed by bisection, and those that reach the required overlap are kept. Searches end
    as soon as all documents not yet searched hang together. A block returns a spanning forest, never all pairs.
-4. Documents that hang together through kept keys make one block where they fit one. Larger clusters are searched by key: first each
+4. Documents that hang together through kept keys are searched together, unless so many that the pairs of parts would hold more
+   copies of them than their keys do. Such clusters are searched by key: first each
    document under the most frequent key it keeps, then under every key whose documents still lie in
    different components, so that no link between components is missed.
 
@@ -192,13 +193,14 @@ def _shared_keys(signed: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _by_cluster(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings under one key for all that hang together through keys, where that fits one block (there each document
-    is searched once instead of once for each key), and the postings of larger clusters as they are."""
+    """Postings under one key for all that hang together through keys, where cutting that into blocks copies documents
+    less often than searching under each key does, and the postings of other clusters as they are."""
     first = postings.groupBy("key").agg(F.min("doc_id").alias("b"))
     clusters = components(postings.join(first, "key").select(F.col("doc_id").alias("a"), "b"))
     placed = postings.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
-    whole = placed.select("component", "doc_id", "n").distinct()
-    fits = checkpoint(whole.groupBy("component").agg((F.sum("n") <= BLOCK_SHINGLES).alias("fits")))
+    whole = placed.groupBy("component", "doc_id", "n").agg(F.count("*").alias("n_keys"))
+    copies = F.ceil(F.sum("n") / BLOCK_SHINGLES) * F.count("*")
+    fits = checkpoint(whole.groupBy("component").agg((copies <= F.sum("n_keys")).alias("fits")))
     small = whole.join(fits.where("fits"), "component").select(F.xxhash64(F.lit("cluster"), "component").alias("key"), "doc_id", "n")
     return small, placed.join(fits.where("NOT fits"), "component").select("key", "df", "doc_id", "n")
 
