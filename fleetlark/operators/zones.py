@@ -20,6 +20,12 @@ from fleetlark.functions import geo
 # most so many cells each way; whatever is larger takes the last.
 CELL_SIDES = tuple(0.0025 * 4 ** n for n in range(7))
 _SPAN_CELLS = 24
+# Where the fences of the first level have more than so many others in their cells, they get a
+# level of smaller cells, halved until the mean fence spans so many of them.
+CROWDED_FENCES = 16
+_SMALL_SPAN, _MOST_HALVINGS = 4, 6
+# Cells of a level are numbered by row and column; a row has fewer cells than this.
+_ROW_CELLS = 100_000_000
 # Cells are taken this much larger, in degrees, so that rounding puts no point outside.
 _CELL_SLACK = "1e-9D"
 # An index is broadcast up to this size, and its candidates travel as one array per cell
@@ -32,7 +38,7 @@ _NULL_KEYS = 1024
 
 
 def _cell(x: str, y: str, side: float) -> str:
-    return f"(floor(({x} + 180) / {side}D) * 100000 + floor(({y} + 90) / {side}D))"
+    return f"(floor(({x} + 180) / {side}D) * {_ROW_CELLS} + floor(({y} + 90) / {side}D))"
 
 
 @dataclass(frozen=True)
@@ -42,6 +48,7 @@ class FenceIndex:
     levels: tuple[int, ...]
     nbytes: int
     densest: int
+    sides: tuple[float, ...] = CELL_SIDES
 
     @property
     def small(self) -> bool:
@@ -62,11 +69,13 @@ def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
     """Index of the fences, each box grown by a margin; fences without a ring are left out. A fence is
     where one of its ``polygons`` is, or without such a column the inside of its ``ring``.
     Measures the (small) fence table first, to choose how it will be joined; what was read
-    for that stays cached for the join, until ``release``."""
+    for that stays cached for the join, until ``release``. Fences are dealt to all cores and kept once
+    read, as otherwise filters on what is worked out from them would read their texts again."""
     pad_x, pad_y = geo.grown_box(margin_m)
     polygons = "polygons" if "polygons" in fences.columns else "array(array(ring))"
-    whole_rings = f"transform(filter({polygons}, p -> size(get(p, 0)) >= 4), p -> filter(p, r -> size(r) >= 4))"
-    usable = fences.selectExpr("id", "name", f"{whole_rings} AS polygons").where("size(polygons) > 0")
+    whole_rings = "transform(filter(polygons, p -> size(get(p, 0)) >= 4), p -> filter(p, r -> size(r) >= 4))"
+    known = fences.selectExpr("id", "name", f"{polygons} AS polygons").repartition(fences.sparkSession.sparkContext.defaultParallelism).persist()
+    usable = known.selectExpr("id", "name", f"{whole_rings} AS polygons").where("size(polygons) > 0")
     edged = usable.selectExpr(
         "id", "name", f"transform(polygons, polygon -> {geo.polygon_edges('polygon')}) AS parts",
         f"{geo.polygons_area('polygons')} AS area",
@@ -76,36 +85,63 @@ def fence_index(fences: DataFrame, margin_m: float = 0.0) -> FenceIndex:
     padded = edged.selectExpr("*", f"{pad_x} AS pad_x", f"{pad_y} AS pad_y")
     grown = padded.selectExpr("id", "name", "parts", "area", "pad_x", "pad_y", "west - pad_x AS west",
                               "east + pad_x AS east", "south - pad_y AS south", "north + pad_y AS north")
-    span = "greatest(east - west, north - south)"
-    fits = " ".join(f"WHEN {span} <= {_SPAN_CELLS * side!r}D THEN {n}" for n, side in enumerate(CELL_SIDES[:-1]))
-    sides = f"array({', '.join(f'{side!r}D' for side in CELL_SIDES)})"
-    steps = lambda low, high, shift: f"sequence(floor(({low} + {shift}) / side), floor(({high} + {shift}) / side))"
+    sides = _sides(grown)
+    fits = " ".join(f"WHEN {_SPAN} <= {_SPAN_CELLS * side!r}D THEN {n}" for n, side in enumerate(sides[:-1]))
     cut = (
-        grown.selectExpr("*", f"CASE {fits} ELSE {len(CELL_SIDES) - 1} END AS level")
-        .selectExpr("*", f"{sides}[level] AS side")
-        .selectExpr("*", f"explode_outer(flatten(transform({steps('west', 'east', 180)}, cx -> "
-                    f"transform({steps('south', 'north', 90)}, cy -> struct(cx, cy))))) AS c")
+        grown.selectExpr("*", f"CASE {fits} ELSE {len(sides) - 1} END AS level")
+        .selectExpr("*", f"array({', '.join(f'{side!r}D' for side in sides)})[level] AS side")
+        .selectExpr("*", f"explode_outer({_BOX_CELLS}) AS c")
         .selectExpr("*", f"c.cx * side - 180 - pad_x - {_CELL_SLACK} AS cell_west",
                     f"(c.cx + 1) * side - 180 + pad_x + {_CELL_SLACK} AS cell_east",
                     f"c.cy * side - 90 - pad_y - {_CELL_SLACK} AS cell_south",
                     f"(c.cy + 1) * side - 90 + pad_y + {_CELL_SLACK} AS cell_north"))
-    # Edges west of a cell, above or below it are never crossed by a ray from it to the east.
-    kept = ("filter(transform(parts, edges -> filter(edges, e -> greatest(e.y1, e.y2) >= cell_south AND least(e.y1, e.y2) <= cell_north"
-            " AND greatest(e.x1, e.x2) >= cell_west)), edges -> size(edges) > 0)")
+    # Edges west of a cell, above or below it are never crossed by a ray from it to the east. Those east of
+    # it that pass its whole height always are, so that only their being odd in number matters.
+    passed = "least(e.x1, e.x2) > cell_east AND least(e.y1, e.y2) < cell_south AND greatest(e.y1, e.y2) > cell_north"
+    near = ("filter(edges, e -> greatest(e.y1, e.y2) >= cell_south AND least(e.y1, e.y2) <= cell_north"
+            f" AND greatest(e.x1, e.x2) >= cell_west AND NOT ({passed}))")
+    odd = f"transform(array(filter(edges, e -> {passed})), far -> slice(far, 1, size(far) % 2))[0]"
+    kept = f"filter(transform(parts, edges -> concat({near}, {odd})), edges -> size(edges) > 0)"
     middle = ("(cell_west + cell_east) / 2", "(cell_south + cell_north) / 2")
+    touched = "exists(parts, edges -> exists(edges, e -> least(e.x1, e.x2) <= cell_east))"
+    holds_middle = f"exists(parts, edges -> {geo.inside_edges('edges', *middle)})"
+    # A generator works the edges out once; a filter on them would do so again for each use.
+    pieces = cut.selectExpr(
+        "id", "name", "area", "west", "east", "south", "north", "level", "c",
+        f"inline_outer(transform(array({kept}), parts -> struct(parts AS kept, {touched} AS touched, {holds_middle} AS holds_middle)))")
     exploded = (
-        cut.withColumn("parts", F.expr(kept))
-        .selectExpr("*", "exists(parts, edges -> exists(edges, e -> least(e.x1, e.x2) <= cell_east)) AS touched",
-                    f"exists(parts, edges -> {geo.inside_edges('edges', *middle)}) AS holds_middle")
-        .where("touched OR holds_middle")
-        .selectExpr("level", "c.cx * 100000 + c.cy AS cell", "struct(id, name, area, west, east, south, north, "
-                    "NOT touched AS whole, IF(touched, parts, slice(parts, 1, 0)) AS parts) AS fence")
+        pieces.where("touched OR holds_middle")
+        .selectExpr("level", f"c.cx * {_ROW_CELLS} + c.cy AS cell", "struct(id, name, area, west, east, south, north, "
+                    "NOT touched AS whole, IF(touched, kept, slice(kept, 1, 0)) AS parts) AS fence")
     ).persist()
     per_cell = exploded.groupBy("level", "cell").agg(
         F.expr("count(*) AS fences"),
         F.expr(f"sum(size(flatten(fence.parts)) * {_EDGE_BYTES} + {_FENCE_BYTES}) AS nbytes"))
     measured = per_cell.selectExpr("collect_set(level) AS levels", "max(fences) AS densest", "sum(nbytes) AS nbytes").first()
-    return FenceIndex(exploded, tuple(sorted(measured["levels"])), measured["nbytes"] or 0, measured["densest"] or 0)
+    known.unpersist()
+    return FenceIndex(exploded, tuple(sorted(measured["levels"])), measured["nbytes"] or 0, measured["densest"] or 0, sides)
+
+
+_SPAN = "greatest(east - west, north - south)"
+_STEPS = "sequence(floor(({0} + {2}) / side), floor(({1} + {2}) / side))"
+_BOX_CELLS = (f"flatten(transform({_STEPS.format('west', 'east', 180)}, cx -> "
+              f"transform({_STEPS.format('south', 'north', 90)}, cy -> struct(cx, cy))))")
+
+
+def _sides(boxes: DataFrame) -> tuple[float, ...]:
+    """Sides of the levels. A point meets all fences of its cell, so where many fences are smaller than the first level's
+    cells and crowd in them, a level that fits them goes before it."""
+    first = CELL_SIDES[0]
+    cells = (boxes.where(f"{_SPAN} <= {_SPAN_CELLS * first!r}D").selectExpr(f"{_SPAN} AS span", f"{first!r}D AS side", "west", "east", "south", "north")
+             .selectExpr("span", f"explode_outer({_BOX_CELLS}) AS c"))
+    found = (cells.groupBy("c").agg(F.expr("count(*) AS fences"), F.expr("sum(span) AS spans"))
+             .selectExpr("sum(fences * fences) / sum(fences) AS crowd", "sum(spans) / sum(fences) AS span").first())
+    if (found["crowd"] or 0) <= CROWDED_FENCES:
+        return CELL_SIDES
+    halvings = 0
+    while halvings < _MOST_HALVINGS and found["span"] * 2 ** halvings < _SMALL_SPAN * first:
+        halvings += 1
+    return (first / 2 ** halvings, *CELL_SIDES) if halvings else CELL_SIDES
 
 
 def _in_box(fence: str, x: str, y: str) -> str:
@@ -130,7 +166,7 @@ def distance_m(fence: str, x: str, y: str) -> str:
 
 def candidate_pairs(points: DataFrame, index: FenceIndex, lng: str = "lng", lat: str = "lat") -> DataFrame:
     """Points with each fence that may cover them or be within the margin, as column ``fence``."""
-    keys = ", ".join(f"struct({n} AS level, {_cell(lng, lat, CELL_SIDES[n])} AS cell)" for n in index.levels)
+    keys = ", ".join(f"struct({n} AS level, {_cell(lng, lat, index.sides[n])} AS cell)" for n in index.levels)
     looked = points.where(f"{lng} IS NOT NULL AND {lat} IS NOT NULL").selectExpr(
         "*", f"inline({f'array({keys})' if keys else 'CAST(array() AS array<struct<level:int,cell:bigint>>)'})")
     return (looked.join(index.hinted(index.cells), ["level", "cell"])
@@ -166,7 +202,7 @@ def with_zones(points: DataFrame, fences: DataFrame, buffer_m: float | None = No
         cells = (index.cells.where(f"level = {n}").groupBy(F.col("cell").alias(f"_cell{n}"))
                  .agg(F.collect_list("fence").alias(f"_fences{n}")))
         spread = f"-1 - CAST(pmod(hash({row_key}), {_NULL_KEYS}) AS bigint)"
-        found = (found.selectExpr("*", f"coalesce({_cell(lng, lat, CELL_SIDES[n])}, {spread}) AS _cell{n}")
+        found = (found.selectExpr("*", f"coalesce({_cell(lng, lat, index.sides[n])}, {spread}) AS _cell{n}")
                  .join(index.hinted(cells), f"_cell{n}", "left"))
         names.append(f"_fences{n}")
     joined = lambda parts, none: f"concat({', '.join(parts)})" if parts else none

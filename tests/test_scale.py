@@ -181,3 +181,31 @@ def test_geofence_history_is_shuffled_once(spark, readings, fences):
     detect_plan.collect()
     final = detect_plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("hashpartitioning(vehicle_id") <= 3
+
+
+def test_crowded_fences_get_smaller_cells(spark):
+    """40 small frames (squares with a hole) of 0.0002 degrees beside each other, twice: they shared one cell."""
+    square = lambda x, y, side: "[" + ",".join(f"[{a},{b}]" for a, b in ((x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y))) + "]"
+    places = [(67.0001 + k % 8 * 0.0003, 24.0001 + k // 8 % 5 * 0.0003) for k in range(80)]
+    texts = [(k, f"F{k}", '{"type":"MultiPolygon","coordinates":[[' + square(x, y, 0.0002) + "," + square(x + 0.00005, y + 0.00005, 0.0001) + "],["
+              + square(x + 0.003, y, 0.0002) + "]]}") for k, (x, y) in enumerate(places)]
+    fences = geofences.load_geofences(spark.createDataFrame(texts, "id long, name string, polygon_geojson string"))
+    index = zones.fence_index(fences)
+    assert index.sides[1:] == zones.CELL_SIDES and index.densest < 80
+    index.release()
+    spots = [(k, 67.0 + k % 61 * 0.0001 + 0.00002, 24.0 + k // 61 * 0.00005 + 0.00002) for k in range(61 * 40)]
+    points = spark.createDataFrame(spots, "id long, lng double, lat double")
+    within = lambda a, low, side: low < a < low + side
+    want = {(k, n) for k, a, b in spots for n, (x, y) in enumerate(places) if within(b, y, 0.0002) and (
+        within(a, x + 0.003, 0.0002) or within(a, x, 0.0002) and not (within(a, x + 0.00005, 0.0001) and within(b, y + 0.00005, 0.0001)))}
+    found = [(r.id, r.fence_id) for r in spatial.covers_join(points, fences).collect()]
+    assert len(found) == len(want) > 500 and set(found) == want
+
+
+def test_fences_of_one_file_are_dealt_to_all_cores(spark):
+    """The index was built where the fences' texts lay: in one task, for a table of one small file."""
+    fences = spark.range(1).coalesce(1).selectExpr("explode(sequence(0, 99)) AS k").selectExpr(
+        "CAST(k AS long) AS id", "'F' AS name", "transform(array(0D, 1D, 2D, 0D), a -> struct(67 + k / 10D + a AS lng, 24 + a * a AS lat)) AS ring")
+    index = zones.fence_index(fences)
+    assert index.cells.select(F.spark_partition_id()).distinct().count() > 1
+    index.release()
