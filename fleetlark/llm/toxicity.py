@@ -31,7 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, groupby
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,10 @@ def sentences(text: str) -> list[list[str]]:
 
 def joined(words: list[str]) -> list[str]:
     """Three and more single characters in a row as one word."""
-    single = [k for k, w in enumerate(words) if len(w) == 1]
+    lengths = list(map(len, words))
+    if lengths.count(1) < 3:
+        return words
+    single = [k for k, n in enumerate(lengths) if n == 1]
     if not any(b - a == 2 for a, b in zip(single, single[2:])):
         return words
     out: list[str] = []
@@ -88,7 +91,7 @@ def units(word: str) -> list[str]:
     word = word.strip(_EDGE)
     if not word:
         return []
-    if _SPELT.fullmatch(word):
+    if not word.isalpha() and _SPELT.fullmatch(word):
         word = word[::2]
     word = _BEGIN + word + _END
     return [word] if len(word) <= _LONG else [word[a:a + _LONG] for a in range(0, len(word) - _LONG // 2, _LONG // 2)]
@@ -97,7 +100,7 @@ def units(word: str) -> list[str]:
 def _codes(words: list[str]) -> np.ndarray:
     """Code points in rows, filled up with zeros."""
     size = max(map(len, words))
-    return np.frombuffer("".join(w.ljust(size, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), size)
+    return np.frombuffer("".join([w.ljust(size, "\0") for w in words]).encode("utf-32-le"), np.uint32).reshape(len(words), size)
 
 
 def subsequence_kernel(words: list[str], others: list[str]) -> np.ndarray:
@@ -181,24 +184,32 @@ def similarities(words: list[str], landmarks: list[str], own: np.ndarray) -> np.
     return np.where(mine[:, None] > 0, scaled, 0) ** POWER
 
 
+class _Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Shares:
     """What each word adds to the margin of its sentence. Keeps words it has met."""
 
     def __init__(self, landmarks: list[str], beta: np.ndarray):
         self.landmarks, self.beta, self.own = landmarks, beta.astype(np.float32), self_kernel(landmarks)
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.values = np.zeros(0)
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.number) > _KEPT_WORDS:
-            self.number, self.values = {}, np.zeros(0)
+            self.number, self.values = _Numbers(), np.zeros(0)
         number, known = self.number, len(self.number)
-        at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         if len(number) > known:
-            fresh = [units(w) for w in list(number)[known:]]
-            distinct = {u: None for found in fresh for u in found}
+            fresh = [units(w) for w in islice(number, known, None)]
+            distinct = dict.fromkeys(chain.from_iterable(fresh))
             share = dict(zip(distinct, (similarities(list(distinct), self.landmarks, self.own) @ self.beta).tolist(), strict=True))
-            self.values = np.concatenate((self.values, [sum(share[u] for u in found) for found in fresh]))
+            self.values = np.concatenate((self.values, [share[found[0]] if len(found) == 1 else sum([share[u] for u in found]) for found in fresh]))
         return self.values[at]
 
 

@@ -100,3 +100,22 @@ def test_words_and_sentences():
     assert tx.units("(i.d.i.o.t!)") == tx.units("i d i o t") == tx.units("idiot!") == tx.units("idiot") == ["\x02idiot\x03"] and tx.units("***") == []
     assert "".join(u[:16] for u in tx.units("a" * 100)).count("a") >= 95 and max(map(len, tx.units("b" * 1000))) == 32
     assert [len(s) for s in tx.sentences("ww " * 100)] == [48, 48, 4]
+
+
+def test_plain_words_are_not_searched_for_signs(monkeypatch):
+    """Every word was matched against the pattern of spelt-out ones, and every word of a line looked at for single characters."""
+    from fleetlark.llm import toxicity as tx
+
+    class Pattern:
+        asked = []
+
+        def fullmatch(self, word, pattern=tx._SPELT):
+            self.asked.append(word)
+            return pattern.fullmatch(word)
+
+    monkeypatch.setattr(tx, "_SPELT", Pattern())
+    assert [tx.units(w) for w in ("plain,", "i.d.i.o.t", "ünï", "a_b_c", "x", "?!")] == [["\x02plain\x03"], ["\x02idiot\x03"], ["\x02ünï\x03"], ["\x02abc\x03"], ["\x02x\x03"], []]
+    assert Pattern.asked == ["i.d.i.o.t", "a_b_c"]
+    assert tx.joined(["i", "d", "i", "o", "t", "no", "a", "b"]) == ["idiot", "no", "a", "b"] and tx.joined(["a", "no", "b"]) == ["a", "no", "b"]
+    shares = tx.Shares(["\x02word\x03"], tx.np.ones(1))
+    assert shares.of(["word", "other", "word"]).tolist() == shares.of(["word", "other", "word"]).tolist() and list(shares.number.values()) == [0, 1]
