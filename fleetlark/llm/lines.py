@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlark.llm.common import checkpoint, components, match_flag, may_match, mix, table, text_or_empty
+from fleetlark.llm.common import checkpoint, components, match_flag, may_match, mix, slices, table, text_or_empty
 from fleetlark.llm.ngram_join import BLOCK_SHINGLES, block_links
 
 SHINGLE = 8
 BANDS, ROWS = 12, 5
 _BINS = BANDS * ROWS
 _SLICE_CHARS = 1 << 19
+SMALL_BLOCK = 6
 _P = 0x9E3779B97F4A7C15
 
 
@@ -77,6 +78,61 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by block, regrouped so that no block is cut: a task holds one block and one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        block = batch["block"].to_numpy()
+        if held and block[0] != held[-1]["block"][-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.searchsorted(block, block[-1]))
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def links_of_blocks(ids: np.ndarray, lines: list[str], starts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the lines of each of some blocks, which begin and end at ``starts``. Most blocks have a few lines: the pairs of
+    those of up to ``SMALL_BLOCK`` lines are compared all at once, and only larger ones are searched one by one."""
+    ids, first, at = np.unique(ids, return_index=True, return_inverse=True)
+    values, owner = line_shingles([lines[k] for k in first])
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    fresh = np.concatenate(([True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])))
+    values, owner = values[fresh], owner[fresh]
+    begin = np.searchsorted(owner, np.arange(len(ids) + 1))
+    counts, links = np.diff(starts), []
+    for k in np.flatnonzero(counts > SMALL_BLOCK):
+        who = at[starts[k]:starts[k + 1]]
+        links += block_links(ids[who].tolist(), [values[begin[i]:begin[i + 1]] for i in who], t)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for m in range(2, SMALL_BLOCK + 1):
+        who = at[starts[:-1][counts == m][:, None] + np.arange(m)]
+        pairs.append(np.stack([who[:, side].ravel() for side in np.triu_indices(m, 1)]))
+    pairs = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+    sizes = np.diff(begin)
+    small, large = np.take_along_axis(pairs, np.argsort(sizes[pairs], axis=0, kind="stable"), axis=0)
+    near = (small != large) & (sizes[small] * t.denominator >= sizes[large] * t.numerator)
+    small, large = small[near], large[near]
+    # Shingles of the smaller line are looked up among those of the larger one, all pairs together.
+    distinct, token = np.unique(values, return_inverse=True)
+    places = owner * len(distinct) + token
+    n = sizes[small]
+    asked = np.repeat(begin[small] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    wanted = np.repeat(large, n) * len(distinct) + token[asked]
+    hits = places[np.minimum(np.searchsorted(places, wanted), len(places) - 1)] == wanted
+    common = np.bincount(np.repeat(np.arange(len(n)), n)[hits], minlength=len(n))
+    linked = common * t.denominator >= (n + sizes[large] - common) * t.numerator
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return np.concatenate((a, ids[small[linked]])), np.concatenate((b, ids[large[linked]]))
+
+
 def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
@@ -125,8 +181,9 @@ def similar_lines(docs: DataFrame, threshold: float | str = "0.8") -> tuple[Data
     hashed = checkpoint(_hashed(docs))
     whole = Window.partitionBy("key")
     # Rows of two numbers, of a hot key too: the window reads them sorted and spills.
-    shared = (_banded(docs).distinct().withColumns({"low": F.min("line").over(whole), "high": F.max("line").over(whole)})
-              .where("low < high").select("key", "line"))
+    # A line that many batches have comes once with each of them, until the keys of one line are gone.
+    shared = (_banded(docs).withColumns({"low": F.min("line").over(whole), "high": F.max("line").over(whole)})
+              .where("low < high").select("key", "line").distinct())
     shared = checkpoint(shared)
     who = F.xxhash64("line")
     groups = (shared.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(who).alias("x"), F.sum(F.shiftright(who, 24)).alias("y"))
@@ -157,15 +214,17 @@ def similar_lines(docs: DataFrame, threshold: float | str = "0.8") -> tuple[Data
              .select(F.explode(F.arrays_zip(F.col("names"), picked("text", "nos").alias("content"))).alias("one"))
              .select(F.col("one.names").alias("line"), F.col("one.content").alias("content")))
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        lines = [x.strip() for x in rows["content"]]
-        values, owner = line_shingles(lines)
-        order = np.lexsort((values, owner))
-        cuts = np.searchsorted(owner[order], np.arange(1, len(lines)))
-        sets = [np.unique(x) for x in np.split(values[order], cuts)]
-        return pd.DataFrame(block_links(rows["line"].tolist(), sets, t), columns=["a", "b"])
-
-    links = blocks.join(texts, "line").groupBy("block").applyInPandas(search, "a long, b long")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_blocks(batches):
+            block, lines = rows["block"].to_numpy(), [x.strip() for x in rows["content"].to_pylist()]
+            starts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            chars = np.concatenate(([0], np.cumsum([len(x) for x in lines])))
+            for a, b in slices(chars[starts], _SLICE_CHARS):
+                low, high = starts[a], starts[b]
+                found = links_of_blocks(rows["line"].to_numpy()[low:high], lines[low:high], starts[a:b + 1] - low, t)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+    links = blocks.join(texts, "line").repartition("block").sortWithinPartitions("block").mapInArrow(search, "a long, b long")
     return hashed, components(links)
 
 

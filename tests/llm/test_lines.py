@@ -73,3 +73,33 @@ def test_columns_may_have_any_names(make_docs):
     assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
     found = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"], {r[n] for n in names}) for r in out.collect()), key=lambda r: r[0])
     assert found == [(0, "a line that comes twice\nthird", 29, {"x"}), (1, "first", 5, {"x"}), (2, "second", 6, {"x"})]
+
+
+def test_small_blocks_are_compared_together(monkeypatch):
+    """Each block of two lines was a call of its own, of more than a millisecond."""
+    rng = random.Random(7)
+    blocks = []
+    for k in range(300):
+        line = " ".join(str(rng.randrange(10**4)) for _ in range(rng.choice([1, 2, 12])))
+        blocks.append([line, *(line[:(c := rng.randrange(len(line)))] + rng.choice("xyz") * rng.randrange(1, 3) + line[c:] for _ in range(k % 8))])
+    names = {x: 3 * i for i, x in enumerate(dict.fromkeys(x for b in blocks for x in b))}
+    rows = [x for b in blocks for x in dict.fromkeys(b)]
+    starts = ll.np.cumsum([0] + [len(dict.fromkeys(b)) for b in blocks])
+    calls = []
+    monkeypatch.setattr(ll, "block_links", lambda ids, sets, t, search=ll.block_links: calls.append(len(ids)) or search(ids, sets, t))
+    found = ll.links_of_blocks(ll.np.array([names[x] for x in rows]), rows, starts, ll.Fraction("0.8"))
+    assert calls and min(calls) > ll.SMALL_BLOCK
+    alike = lambda x, y: 5 * len(shingles(x) & shingles(y)) >= 4 * len(shingles(x) | shingles(y))
+    want = {frozenset((names[x], names[y])) for b in blocks if len(set(b)) <= ll.SMALL_BLOCK for x in b for y in b if x != y and alike(x, y)}
+    found = {frozenset(pair) for pair in zip(*(x.tolist() for x in found), strict=True)}
+    of = {i: x for x, i in names.items()}
+    assert 20 < len(want) and want <= found and all(alike(*(of[i] for i in pair)) for pair in found)
+
+
+def test_blocks_are_not_cut_where_batches_end():
+    blocks = [1, 1, 1, 2, 3, 3, 3, 3, 3, 5]
+    for size in (1, 2, 3, 20):
+        batches = [ll.pa.RecordBatch.from_arrays([ll.pa.array(blocks[a:a + size])], ["block"]) for a in range(0, len(blocks), size)]
+        tables = [t["block"].to_pylist() for t in ll._whole_blocks(iter(batches))]
+        assert [x for t in tables for x in t] == blocks
+        assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
