@@ -184,7 +184,8 @@ def _shared_keys(signed: DataFrame, t: Fraction) -> DataFrame:
     A doc_id of several texts takes part with each of them."""
     keys = (signed.dropDuplicates(["doc_id", "set_a", "set_b"])
             .select("doc_id", F.col("n_shingles").alias("n"), "set_a", F.size("keys").alias("n_keys"), F.explode("keys").alias("key")))
-    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
+    # Counted where the rows of a key lie, so that keys are moved once. The sort of the window spills.
+    shared = keys.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
     # Keys that no other document has are the rarest; they take the first ranks without being moved.
     of_one = Window.partitionBy("doc_id", "n", "set_a")
     rank = F.col("n_keys") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("df", "key"))

@@ -139,3 +139,15 @@ def test_linked_sets_share_a_kept_key(t):
             kept = [set(sorted(sorted(x, key=place.get)[:nj._ceil(min(Fraction(1), share) * len(x))], key=df.get)[:math.floor(len(x) / t) - len(x) + 1])
                     for x in (a, b)]
             assert kept[0] & kept[1]
+
+
+def test_keys_are_moved_once(make_docs):
+    """Keys were moved twice, to be counted and to find their counts."""
+    from fractions import Fraction
+
+    from fleetlark.llm import ngram_join as nj
+
+    docs = make_docs([(k, " ".join(f"w{(k % 3) * 5 + i}" for i in range(40))) for k in range(9)])
+    signed = nj.checkpoint(nj._signatures(docs, 3, Fraction(1, 2)))
+    plan = nj._shared_keys(signed, Fraction("0.8"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1
